@@ -1,7 +1,7 @@
 """Operator 10: toxicity by non-negative positive-unlabelled learning.
 
 Training takes confirmed toxic documents (positives) and unlabelled text.  Lower-cased words are
-hashed; words that mark positives are chosen by a two-sample z score of document frequencies, and a
+hashed; words that mark positives are chosen by the likelihood ratio of document frequencies, and a
 logistic model on their presence is fitted in numpy by gradient descent on the non-negative risk
 
     prior * E_P[loss(+1)] + max(0, E_U[loss(-1)] - prior * E_P[loss(-1)])
@@ -27,18 +27,19 @@ from pyspark.sql import functions as F
 from .common import crc_mod4, flat, keyed, slices
 from .hashing import text_words
 
-MIN_DOCS, MIN_Z, MOST_WORDS = 4, 4.0, 4096
+MIN_DOCS, MIN_GAIN, MIN_POSTERIOR, MOST_WORDS, CAUTION = 4, 20.0, 0.4, 4096, 0.8
 
 
 @dataclass(frozen=True)
 class Model:
     keys: np.ndarray  # sorted hashes of the words that count
-    weights: np.ndarray
+    weights: np.ndarray  # none below zero
+    slope: float
     bias: float
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The probability of each document; ``data`` and ``offsets`` as :func:`flat` gives them."""
-        total = np.full(len(offsets) - 1, self.bias)
+        total = np.zeros(len(offsets) - 1)
         for lo, hi in slices(offsets):
             part = data[offsets[lo] : offsets[hi]]
             h, first = text_words(part, offsets[lo : hi + 1] - offsets[lo])
@@ -49,25 +50,43 @@ class Model:
             doc = np.searchsorted(first, hit, "right") - 1
             pair = np.unique(doc * len(self.keys) + at[hit])
             np.add.at(total, lo + pair // len(self.keys), self.weights[pair % len(self.keys)])
-        return 1 / (1 + np.exp(-np.clip(total, -60, 60))) if np.isfinite(self.bias) else np.zeros(len(total))
+        logit = self.slope * saturated(total) + self.bias
+        return 1 / (1 + np.exp(-np.clip(logit, -60, 60))) if np.isfinite(self.bias) else total
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 1500, rate: float = 0.5, decay: float = 1e-4) -> Model:
+def thinned(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Without near copies of earlier documents, whose rare words would look frequent: any of four keys of three minima agrees."""
+    odd = np.random.default_rng(5).integers(1, 2**63, 12, dtype=np.uint64) | np.uint64(1)
+    seen, out = set(), []
+    for h in docs:
+        low = [(h * a).min() for a in odd] if len(h) else []
+        keys = [(i, *map(int, low[i : i + 3])) for i in range(0, len(low), 3)]
+        if not any(k in seen for k in keys):
+            out.append(h)
+        seen.update(keys)
+    return out
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 1000, decay: float = 1e-3) -> Model:
     """``positive`` and ``unlabelled``: the distinct word hashes of each document."""
     if not positive or not unlabelled or prior <= 0:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
-    n_p, n_u = len(positive), len(unlabelled)
-    keys, counts = np.unique(np.concatenate(positive), return_counts=True)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, -np.inf)
+    distinct_p, distinct_u = thinned(positive), thinned(unlabelled)  # words are counted without near copies
+    n_p, n_u = len(distinct_p), len(distinct_u)
+    keys, counts = np.unique(np.concatenate(distinct_p), return_counts=True)
     some = counts >= min(MIN_DOCS, max(1, n_p // 2))
     keys, counts = keys[some], counts[some]
-    them = np.concatenate(unlabelled)
+    them = np.concatenate(distinct_u)
     at = np.minimum(np.searchsorted(keys, them), max(len(keys) - 1, 0))
     base = np.bincount(at[keys[at] == them] if len(keys) else at[:0], minlength=len(keys))
     p, q = counts / n_p, base / n_u
-    both = (counts + base) / (n_p + n_u)
-    z = (p - q) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-    best = np.argsort(-z, kind="stable")[:MOST_WORDS]
-    keys = np.sort(keys[best[z[best] >= MIN_Z]])
+    # Words whose class-prior-corrected posterior is high, and surely above the unlabelled rate (likelihood ratio).
+    mean = np.maximum(q, 0.5 / n_u)
+    gain = 2 * n_p * (p * np.log(p / mean) - (p - mean))
+    marks = (prior * p / mean >= MIN_POSTERIOR) & (p > mean)
+    gain = np.where(marks, gain, 0)
+    best = np.argsort(-gain, kind="stable")[:MOST_WORDS]
+    keys = np.sort(keys[best[gain[best] >= MIN_GAIN]])
 
     def design(docs: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(docs), len(keys)), np.float32)
@@ -77,21 +96,39 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return out
 
     if not len(keys):
-        return Model(keys, np.zeros(0), float(np.log(prior / (1 - prior))) if prior < 1 else 60.0)
+        return Model(keys, np.zeros(0), 0.0, float(np.log(prior / (1 - prior))) if prior < 1 else 60.0)
     x_p, x_u = design(positive), design(unlabelled)
-    w, b = np.zeros(len(keys)), float(np.log(prior / (1 - min(prior, 0.999))))
-    m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
+    prior *= CAUTION  # an overestimated prior would lift documents without any marked word
+    w, _ = descend(x_p, x_u, prior, steps, decay)
+    # The ridge finds the direction.  Evidence saturates where nearly all positives with any of it stand; how much it
+    # moves a score, and the bias, are then fitted alone, without a penalty.
+    seen = (x_p @ w)[x_p.any(1)]
+    full = max(float(np.quantile(seen, 0.05)) if len(seen) else 1.0, 1e-9)
+    a, b = descend(saturated(x_p @ w / full)[:, None], saturated(x_u @ w / full)[:, None], prior, steps, 1e-6)
+    return Model(keys, w / full, float(a[0]), b)
+
+
+def saturated(evidence: np.ndarray) -> np.ndarray:
+    """Linear up to 1; beyond, more evidence still ranks higher but hardly adds."""
+    return np.minimum(evidence, 1) + 0.02 * np.log1p(np.maximum(evidence - 1, 0))
+
+
+def descend(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int, decay: float) -> tuple[np.ndarray, float]:
+    """Weights (none below zero) and bias of the least non-negative risk, by Adam on the whole sample."""
+    n_p, n_u = len(x_p), len(x_u)
+    w, b = np.zeros(x_p.shape[1]), float(np.log(prior / (1 - min(prior, 0.999))))
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         s_p, s_u = 1 / (1 + np.exp(-(x_p @ w + b))), 1 / (1 + np.exp(-(x_u @ w + b)))
-        g_pos = prior * (s_p - 1) / n_p  # of the positives' loss as positives
         risk = float(np.mean(-np.log(1 - s_u + 1e-12)) - prior * np.mean(-np.log(1 - s_p + 1e-12)))
+        up = 1.0 if risk >= 0 else 0.0
         sign = 1.0 if risk >= 0 else -1.0  # below zero the step undoes the overfitted negative part
-        g_p, g_u = (g_pos if risk >= 0 else 0 * g_pos) - sign * prior * s_p / n_p, sign * s_u / n_u
+        g_p, g_u = up * prior * (s_p - 1) / n_p - sign * prior * s_p / n_p, sign * s_u / n_u
         grad = np.append(x_p.T @ g_p + x_u.T @ g_u + decay * w, g_p.sum() + g_u.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        step = rate / (1 + t / 300) * 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-        w, b = w - step[:-1], b - step[-1]
-    return Model(keys, w, float(b))
+        step = 0.1 / (1 + t / 300) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
+        w, b = np.maximum(w - step[:-1], 0), b - step[-1]  # a marked word never speaks against toxicity
+    return w, float(b)
 
 
 def train(documents: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000) -> Model:
