@@ -41,7 +41,7 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     cost at most the tasks that were running."""
     spark = frame.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(frame.schema).parquet(path)
     back._staged_at = path
     return back
@@ -59,11 +59,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """For maps that cost CPU: deal a few large input splits out evenly (rows move once)."""
-    return frame
-
-
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without nulls; offsets start at 0."""
     if isinstance(column, pa.ChunkedArray):

@@ -30,30 +30,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import flat, keyed, partitions, scratch, stage, unstage
-from .hashing import mix
+from .hashing import grams, mix
 from .segments import library_ids
 
-WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
-_ROLL = np.random.default_rng(77).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
-
-
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of content-defined chunks: after an id where the hash of the last WINDOW ids hits the mask, at least
-    LEAST and at most MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    wide = mix(ids.astype(np.uint64) + np.uint64(1))
-    roll = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        roll[k:] += wide[: n - k] * _ROLL[k]
-    hits = (np.flatnonzero((mix(roll) & np.uint64(MEAN - 1)) == 0) + 1).tolist()
-    ends, last = [], 0
-    for h in [*hits, n]:
+WINDOW, MEAN, LEAST, MOST = 16, 1024, 64, 8192
+
+
+def cut_places(ids: np.ndarray) -> np.ndarray:
+    """Places behind an id where the rolling hash of the last WINDOW ids hits the mask, ascending."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero((grams(mix(ids.astype(np.uint64) + np.uint64(1)), WINDOW) & np.uint64(MEAN - 1)) == 0) + WINDOW
+
+
+def chunk_ends(places: np.ndarray, lo: int, hi: int) -> list[int]:
+    """Ends of the chunks of the document [lo, hi): at places at least LEAST and at most MOST ids apart, and at hi.
+
+    No place within the first LEAST ids counts, so a hash that reaches back into the document before never does."""
+    ends, last = [], lo
+    for h in [*places[np.searchsorted(places, lo + LEAST) : np.searchsorted(places, hi)].tolist(), hi]:
         while h - last > MOST:
             last += MOST
             ends.append(last)
-        if h - last >= LEAST or (h == n and h > last):
+        if h - last >= LEAST or (h == hi and h > last):
             ends.append(h)
             last = h
     return ends
@@ -106,10 +105,15 @@ def chunked(documents: DataFrame, path: str, end_id: int) -> DataFrame:
             keys = batch.column("doc_id").to_pylist()
             for lo, ids, at in library.batches(data, offsets):
                 rows = []
-                for i in range(len(at) - 1):
-                    own = np.append(ids[at[i] : at[i + 1]], library.unit.type(end_id))
-                    last, row = 0, row + 1
-                    for k, e in enumerate(chunk_ends(own)):
+                at = at + np.arange(len(at))  # each document's end id takes a place
+                own = np.full(at[-1], end_id, library.unit)
+                kept = np.ones(at[-1], bool)
+                kept[at[1:] - 1] = False
+                own[kept] = ids
+                places = cut_places(own)
+                for i, (last, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    row += 1
+                    for k, e in enumerate(chunk_ends(places, last, hi)):
                         body = own[last:e].tobytes()
                         rows.append((keys[lo + i], row, k, e - last, hashlib.sha256(body).digest(), body))
                         last = e
@@ -127,7 +131,7 @@ def _root(chunks):
 def write(documents: DataFrame, path: str, folder: str, end_id: int = 2) -> None:
     """Write the store to a folder that the cluster shares."""
     made = stage(chunked(documents, path, end_id), "chunks")
-    made.groupBy("digest").agg(F.first("n").alias("n"), F.first("body").alias("body")).write.parquet(f"{folder}/chunks")
+    made.groupBy("digest").agg(F.first("n").alias("n"), F.first("body").alias("body")).write.option("compression", "zstd").parquet(f"{folder}/chunks")
     # A recipe is bounded by its own document; doc_id ranges give the order on disk.
     own = made.groupBy("doc_id", "row").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("k", "digest"))).alias("c"))
     own = own.select("doc_id", "row", "n_tokens", F.col("c.digest").alias("chunks"))
