@@ -86,3 +86,27 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 def crc_mod4(doc_id: Column) -> Column:
     """crc32 of the id written as text, modulo 4."""
     return F.crc32(doc_id.cast("string")) % 4
+
+
+def one_per_id(frame: DataFrame) -> DataFrame:
+    """:func:`keyed` rows with unique ids: where rows repeat a doc_id, the one with the least text stays.
+
+    Only ids are compared first, so tables that keep the rule pay no shuffle of texts."""
+    rows = keyed(frame)
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places the ranges [lo, hi) cover."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi, -1)
+    return np.cumsum(edge[:n]) > 0
