@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, matroska, packing, suffix_dedup, token_store, toxicity
+from . import byte_bpe, fingerprint, matroska, packing, suffix_dedup, token_store, toxicity, window_index
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_index.digest(window_index.dedup(table(spark, sf_dir, "documents"), 35))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
