@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, matroska, packing, suffix_dedup, token_store, toxicity, window_index
+from . import byte_bpe, fingerprint, matroska, minhash, packing, suffix_dedup, token_store, toxicity, window_index
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
 
 
+def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
