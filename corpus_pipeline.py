@@ -1,6 +1,57 @@
-STAGES = []
+"""A training-data pipeline over ``documents``: toxicity, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but
+the last return the columns of documents.  :func:`run` writes each stage's rows as Parquet to the
+folder that the cluster shares and reads them again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.llm import minhash, packing, toxicity, window_index
+from pagewright.llm.common import stage, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Scores from here on are rejected.
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (operator 10) doesn't reject."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return docs.select(*COLUMNS).where(toxicity.score_column(model, F.col("text")) < TOXIC)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (operator 6): five-word shingles, similarity of 0.8 or more."""
+    kept = minhash.near_duplicates(docs, 5, 80).where("kept").select("doc_id")
+    return minhash.one_per_id(docs, COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words under windows of 35 words that occur more than once (operator 9); others stay as they are."""
+    changed = window_index.dedup(docs, 35).where("n_removed > 0").select("doc_id", F.col("kept").alias("kept_text"))
+    text = F.coalesce("kept_text", "text")
+    return docs.join(changed, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequences (operator 2)."""
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("repeated passages", cut_repeated_passages), ("packing", pack)]
+#: SQL can't express a fitted classifier or a tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -88,14 +88,17 @@ def crc_mod4(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def one_per_id(frame: DataFrame) -> DataFrame:
-    """:func:`keyed` rows with unique ids: where rows repeat a doc_id, the one with the least text stays.
+def one_per_id(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows with unique ids: where rows repeat a doc_id, the one with the least text stays; null ids are left out.
 
-    Only ids are compared first, so tables that keep the rule pay no shuffle of texts."""
-    rows = keyed(frame)
+    Gives :func:`keyed` rows, or the columns asked for.  Only ids are compared first, so tables that keep the rule
+    pay no shuffle of texts."""
+    rows = keyed(frame) if columns is None else frame.where(F.col("doc_id").isNotNull()).select(*columns)
     if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         return rows
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    others = [c for c in rows.columns if c != "doc_id"]
+    least = F.min(F.struct(F.coalesce("text", F.lit("")).alias("_order"), *others)).alias("least")
+    return rows.groupBy("doc_id").agg(least).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"least.{c}") for c in rows.columns])
 
 
 def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

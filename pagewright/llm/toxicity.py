@@ -20,8 +20,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod4, flat, keyed, slices
@@ -170,7 +171,17 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return keyed(documents).mapInArrow(run, "doc_id long, score double")
 
 
-def held_out(doc_id):
+def score_column(model: Model, text: Column) -> Column:
+    """The score of a text column; null counts as empty."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(*flat(pa.array(texts, pa.large_string()))))
+
+    return scored(F.coalesce(text, F.lit("")))
+
+
+def held_out(doc_id: Column) -> Column:
     """Whether a document's label must not be learned from."""
     return crc_mod4(doc_id) == 2
 
