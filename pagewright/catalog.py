@@ -1,9 +1,20 @@
 """Every registered query of the library, with its SQL where SQL can express it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .plans import oracle
+from .plans import queries as plans
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.proportional_report(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return plans.queries()
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql()
