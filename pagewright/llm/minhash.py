@@ -34,8 +34,8 @@ BANDS, ROWS_IN_BAND, PLANES = 32, 4, 2
 HASHES = BANDS * ROWS_IN_BAND
 #: Rows of a bucket in one block of the pairwise step.
 BLOCK = 512
-#: How far below the threshold an estimate may lie (six standard deviations of HASHES comparisons).
-SLACK = 0.27
+#: How far below the threshold an estimate may lie: about five standard deviations of HASHES comparisons at the threshold.
+SLACK = 0.2
 _RANDOM = np.random.default_rng(6)
 _XOR = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64)
 _ODD = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -188,6 +188,29 @@ def components(edges: DataFrame) -> DataFrame:
 LINKS = "a long, b long"
 
 
+def plausible(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, doc, asks): the rows of each block with a partner of another component that set sizes and signatures
+    allow.  Only these need their sets."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[~group["asks"]], group[group["asks"]]
+        out = []
+        if len(left) and len(right):
+            planes, size, label = np.stack(left["planes"].tolist()).view(np.uint64), left["size"].to_numpy(), left["component"].to_numpy()
+            hit = np.zeros(len(left), bool)
+            for doc, bits, n, mine in zip(right["doc"], right["planes"], right["size"], right["component"]):
+                fit = (label != mine) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
+                fit &= estimate(planes, np.asarray(bits).view(np.uint64)) >= percent / 100 - SLACK
+                if fit.any():
+                    hit |= fit
+                    out.append((doc, True))
+            out += [(d, False) for d in left["doc"].to_numpy()[hit]]
+        key = group[["key", "i", "j"]].iloc[0]
+        return pd.DataFrame([(key["key"], key["i"], key["j"], d, a) for d, a in out], columns=["key", "i", "j", "doc", "asks"])
+
+    return rows.groupBy("key", "i", "j").applyInPandas(run, "key long, i int, j int, doc long, asks boolean")
+
+
 def bucket_links(rows: DataFrame, percent: int) -> DataFrame:
     """Exact links between components within blocks of a bucket: rows that ask against the others."""
 
@@ -227,19 +250,23 @@ def rest(members: DataFrame, labels: DataFrame, signed: DataFrame, sets_of, perc
     per = known.groupBy("key", "component").agg(F.count("*").alias("size"))
     most = per.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     open_rows = stage(known.join(most.select("key", F.col("top.component").alias("largest"), F.col("top.size").alias("size")), "key"), "open")
-    sets = sets_of(open_rows.select("doc").distinct())
-    full = open_rows.join(sets, "doc").join(signed.select(F.col("doc_id").alias("doc"), "planes"), "doc")
+    full = open_rows.join(signed.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("set_size"), "planes"), "doc")
     blocks, asking = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("size")) / BLOCK).cast("int")
     mine = F.xxhash64("doc")
     base = F.struct(F.lit(False).alias("asks"), F.pmod(mine, blocks).cast("int").alias("own"), F.sequence(F.lit(0), asking - 1).alias("others"))
     asked = F.struct(F.lit(True).alias("asks"), F.pmod(mine, asking).cast("int").alias("own"), F.sequence(F.lit(0), blocks - 1).alias("others"))
     roles = full.withColumn("role", F.explode(F.when(F.col("component") != F.col("largest"), F.array(base, asked)).otherwise(F.array(base))))
     dealt = roles.withColumn("other", F.explode("role.others")).select(
-        "key", "doc", "component", "set", "planes", "role.asks",
+        "key", "doc", "component", F.col("set_size").alias("size"), "planes", "role.asks",
         F.when(F.col("role.asks"), F.col("other")).otherwise(F.col("role.own")).alias("i"),
         F.when(F.col("role.asks"), F.col("role.own")).otherwise(F.col("other")).alias("j"),
     )
-    return bucket_links(dealt, percent)
+    close = stage(plausible(dealt, percent), "plausible")
+    if close.isEmpty():
+        return close.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    own = labels.withColumnRenamed("component", "known")
+    again = close.join(sets_of(close.select("doc").distinct()), "doc").join(signed.select(F.col("doc_id").alias("doc"), "planes"), "doc").join(own, "doc", "left")
+    return bucket_links(again.withColumn("component", F.coalesce("known", "doc")).drop("known"), percent)
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -56,8 +56,9 @@ def inversions(frame: DataFrame, group: str, order: str, value: str) -> DataFram
     return rows.select(group, count.alias("inversions"))
 
 
-def raster_order(frame: DataFrame, group: str, row: int = 45) -> DataFrame:
-    return frame.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.floor(F.col("vpos") / row), "hpos")))
+def raster_order(frame: DataFrame, group: str, row: int = 45, tie: str = "ord") -> DataFrame:
+    """Adds ``rank``: rows of the page from the top, from left to right in each; equal places by ``tie``."""
+    return frame.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.floor(F.col("vpos") / row), "hpos", tie)))
 
 
 def misattached(pairs: DataFrame, margin: float = 0.15, twin: float = 0.85) -> DataFrame:

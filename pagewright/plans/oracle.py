@@ -77,10 +77,6 @@ RECTANGLES = BOXES + """, a AS (SELECT file, ord AS id, hpos AS x0, vpos AS y0,
       FROM a JOIN b ON a.file = b.file AND a.x0 < b.x1 AND b.x0 < a.x1),
   iou AS (SELECT file, a_id, b_id, inter / greatest(both_areas - inter, 1) AS iou FROM i WHERE inter / greatest(both_areas - inter, 1) >= 0.2)
 """
-TURNS = """WITH t AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations),
-  e AS (SELECT role, levenshtein(text, other) AS edits, length(other) AS size, CASE WHEN length(text) < length(other) THEN 'longer' WHEN length(text) > length(other) THEN 'shorter' ELSE 'same' END AS kind FROM t WHERE other IS NOT NULL),
-  r AS (SELECT *, CASE WHEN edits / greatest(1, size) <= 0.05 THEN '0-5' WHEN edits / greatest(1, size) <= 0.15 THEN '5-15' WHEN edits / greatest(1, size) <= 0.30 THEN '15-30' ELSE '>30' END AS band FROM e)
-"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -114,12 +110,10 @@ def oracle_sql() -> dict[str, str]:
         "vocabulary_sets": WORDS + """, a AS (SELECT DISTINCT text FROM w WHERE corpus = 'en'), b AS (SELECT DISTINCT text FROM w WHERE corpus = 'fr')
           SELECT 'union' AS operation, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
         "last_correction": "SELECT source, lang, arg_max(n_chars, doc_id) AS last, max(doc_id) AS doc_id FROM documents GROUP BY 1, 2",
-        "cer_by_sets": TURNS + """SELECT role, band, kind, grouping(role, band, kind) AS level, count(*) AS pairs, sum(edits)::BIGINT AS edits, sum(size)::BIGINT AS size, round(sum(edits) / greatest(sum(size), 1), 6) AS cer, count(*) FILTER (edits = 0) AS equal
-          FROM r GROUP BY GROUPING SETS ((role, band), (role, kind), (role), ())""",
         "nearest_turn": """WITH t AS (SELECT conv_id AS "group", turn AS id, role, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 2)) AS w FROM conversations),
           p AS (SELECT a."group", a.id AS target, b.id AS source, len(list_intersect(a.w, b.w)) AS common, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS both_sets FROM t a JOIN t b ON a."group" = b."group" AND a.role = 'assistant' AND b.role = 'user')
           SELECT "group", target, source, round(common / both_sets, 6) AS score FROM p WHERE common > 0 QUALIFY row_number() OVER (PARTITION BY "group", target ORDER BY common / both_sets DESC, source) = 1""",
-        "order_inversions": BOXES + """, k AS (SELECT file, ord, row_number() OVER (PARTITION BY file ORDER BY vpos // 45, hpos) AS rank FROM boxes)
+        "order_inversions": BOXES + """, k AS (SELECT file, ord, row_number() OVER (PARTITION BY file ORDER BY vpos // 45, hpos, ord) AS rank FROM boxes)
           SELECT b.file, (SELECT count(*) FROM k p JOIN k q ON p.file = q.file AND p.ord < q.ord AND p.rank > q.rank WHERE p.file = b.file) AS inversions FROM (SELECT DISTINCT file FROM boxes) b""",
         "overlap_pairs": RECTANGLES + "SELECT file, a_id, b_id, round(iou, 6) AS iou FROM iou",
         "one_to_one_pairs": RECTANGLES + "SELECT file, a_id, b_id FROM iou QUALIFY count(*) OVER (PARTITION BY file, a_id) = 1 AND count(*) OVER (PARTITION BY file, b_id) = 1",

@@ -15,9 +15,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as documents: their lines are short enough for kernels that align characters."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("doc_id"), "text", F.col("role").alias("lang"))
+
+
+def words(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
     """(corpus, file, line_ord, k, n, text, width, hpos): one row for each word."""
-    lines = documents(spark, sf_dir).select(F.col("lang").alias("corpus"), F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_ord", "line"))
+    lines = (documents(spark, sf_dir) if texts is None else texts).select(F.col("lang").alias("corpus"), F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_ord", "line"))
     parts = lines.withColumn("ws", F.filter(F.split("line", " "), lambda w: w != ""))
     each = parts.select("corpus", "file", "line_ord", F.size("ws").alias("n"), F.posexplode("ws").alias("k", "text"))
     wide = each.withColumn("width", F.aggregate(F.split("text", ""), F.lit(0).cast("bigint"), lambda a, c: a + 4 + F.ascii(c) % 13))
@@ -25,9 +31,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.withColumn("hpos", 100 + F.coalesce(F.sum(F.col("width") + 6 + F.col("k") % 3).over(before), F.lit(0)))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
     """(corpus, file, line_ord, hpos, vpos, width, height, words): lines of two words or more."""
-    rows = words(spark, sf_dir).where("n >= 2").groupBy("corpus", "file", "line_ord").agg(F.array_sort(F.collect_list(F.struct("k", "text", "hpos", "width"))).alias("w"))
+    rows = words(spark, sf_dir, texts).where("n >= 2").groupBy("corpus", "file", "line_ord").agg(F.array_sort(F.collect_list(F.struct("k", "text", "hpos", "width"))).alias("w"))
     own = F.transform("w", lambda w: F.struct(w["text"].alias("text"), w["hpos"].alias("hpos"), w["width"].alias("width")))
     out = rows.select("corpus", "file", "line_ord", own.alias("words"))
     last = F.element_at("words", -1)
