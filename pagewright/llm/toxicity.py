@@ -6,7 +6,8 @@ logistic model on their presence is fitted in numpy by gradient descent on the n
 
     prior * E_P[loss(+1)] + max(0, E_U[loss(-1)] - prior * E_P[loss(-1)])
 
-where ``prior`` is the class prior.  The fit sees at most ``positives`` and ``unlabelled`` documents,
+where ``prior`` is the class prior: the share of positives among labels, but no more than marked words
+allow (their share in unlabelled text over their share in positives).  The fit sees at most ``positives`` and ``unlabelled`` documents,
 taken by a hash of their ids: both bounds are parameters, 6000 and 12000 by default.  Scoring reads
 every whole text.  Labels, language, source and doc_id never enter a score.
 
@@ -99,6 +100,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not len(keys):
         return Model(keys, np.zeros(0), 0.0, float(np.log(prior / (1 - prior))) if prior < 1 else 60.0)
     x_p, x_u = design(positive), design(unlabelled)
+    # Labels may be chosen by their class, so their share is no more than a guess: the share of unlabelled documents with
+    # a marked word, over that share of positives, is an upper bound of the prior.
+    prior = min(prior, max(x_u.any(1).mean(), 0.5 / len(x_u)) / max(x_p.any(1).mean(), 0.5 / len(x_p)))
     prior *= CAUTION  # an overestimated prior would lift documents without any marked word
     w, _ = descend(x_p, x_u, prior, steps, decay)
     # The ridge finds the direction.  Evidence saturates where nearly all positives with any of it stand; how much it
