@@ -188,59 +188,74 @@ def components(edges: DataFrame) -> DataFrame:
 LINKS = "a long, b long"
 
 
-def plausible(rows: DataFrame, percent: int) -> DataFrame:
+def dealt_blocks(rows: DataFrame, n_rows: int, run, schema: str) -> DataFrame:
+    """Apply ``run`` to groups of about BLOCK rows or of one block: blocks of small buckets are far too many for a Python
+    call each, so a group holds several whole ones."""
+    groups = max(1, -(-n_rows // BLOCK))
+    return rows.withColumn("deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).groupBy("deal").applyInPandas(run, schema)
+
+
+def each_block(group: pd.DataFrame):
+    """(rows to compare with, rows that ask) of every block in a group, where it has both, as places in the group."""
+    key, i, j, asks = (group[c].to_numpy() for c in ("key", "i", "j", "asks"))
+    order = np.lexsort((asks, j, i, key))
+    key, i, j, asks = key[order], i[order], j[order], asks[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    last = np.append(first[1:], len(order))
+    asking = np.add.reduceat(asks.astype(np.int64), first)
+    for a, b, n in zip(first.tolist(), last.tolist(), asking.tolist()):
+        if 0 < n < b - a:
+            yield order[a : b - n], order[b - n : b]
+
+
+def plausible(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
     """(key, i, j, doc, asks): the rows of each block with a partner of another component that set sizes and signatures
     allow.  Only these need their sets."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[~group["asks"]], group[group["asks"]]
-        out = []
-        if len(left) and len(right):
-            planes, size, label = np.stack(left["planes"].tolist()).view(np.uint64), left["size"].to_numpy(), left["component"].to_numpy()
-            hit = np.zeros(len(left), bool)
-            for doc, bits, n, mine in zip(right["doc"], right["planes"], right["size"], right["component"]):
-                fit = (label != mine) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
-                fit &= estimate(planes, np.asarray(bits).view(np.uint64)) >= percent / 100 - SLACK
-                if fit.any():
-                    hit |= fit
-                    out.append((doc, True))
-            out += [(d, False) for d in left["doc"].to_numpy()[hit]]
-        key = group[["key", "i", "j"]].iloc[0]
-        return pd.DataFrame([(key["key"], key["i"], key["j"], d, a) for d, a in out], columns=["key", "i", "j", "doc", "asks"])
-
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "key long, i int, j int, doc long, asks boolean")
-
-
-def bucket_links(rows: DataFrame, percent: int) -> DataFrame:
+        planes, size, label = np.stack(group["planes"].tolist()).view(np.uint64), group["size"].to_numpy(), group["component"].to_numpy()
+        keep = np.zeros(len(group), bool)
+        for left, right in each_block(group):
+            for ask in right:
+                some = left[label[left] != label[ask]]
+                some = some[100 * np.minimum(size[some], size[ask]) >= percent * np.maximum(size[some], size[ask])]
+                some = some[estimate(planes[some], planes[ask]) >= percent / 100 - SLACK]
+                if len(some):
+                    keep[some] = keep[ask] = True
+        return group.loc[keep, ["key", "i", "j", "doc", "asks"]]
+
+    return dealt_blocks(rows, n_rows, run, "key long, i int, j int, doc long, asks boolean")
+
+
+def bucket_links(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
     """Exact links between components within blocks of a bucket: rows that ask against the others."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[~group["asks"]], group[group["asks"]]
+        sets, docs, component = group["set"].tolist(), group["doc"].to_numpy(), group["component"].to_numpy()
+        planes, size = np.stack(group["planes"].tolist()).view(np.uint64), np.array([len(s) for s in sets])
         out = []
-        if len(left) and len(right):
-            sets, planes = left["set"].tolist(), np.stack(left["planes"].tolist()).view(np.uint64)
-            size = np.array([len(s) for s in sets])
-            label, docs = left["component"].to_numpy().copy(), left["doc"].to_numpy()
-            for doc, own, bits, component in zip(right["doc"], right["set"], right["planes"], right["component"]):
-                n = len(own)
-                mine = component
-                fit = (label != mine) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
-                fit[fit] = estimate(planes[fit], np.asarray(bits).view(np.uint64)) >= percent / 100 - SLACK
+        for left, right in each_block(group):
+            label = component[left]
+            for ask in right:
+                own, n, mine = sets[ask], size[ask], component[ask]
+                fit = (label != mine) & (100 * np.minimum(size[left], n) >= percent * np.maximum(size[left], n))
+                fit[fit] = estimate(planes[left[fit]], planes[ask]) >= percent / 100 - SLACK
                 at = np.flatnonzero(fit)
                 while len(at):
                     some, at = at[:64], at[64:]
-                    joined = np.concatenate([sets[i] for i in some])
+                    them = left[some]
+                    joined = np.concatenate([sets[i] for i in them])
                     place = np.minimum(np.searchsorted(own, joined), n - 1)
-                    begin = np.cumsum(size[some]) - size[some]
+                    begin = np.cumsum(size[them]) - size[them]
                     common = np.add.reduceat((own[place] == joined).astype(np.int64), begin)
-                    for i in some[100 * common >= percent * (size[some] + n - common)]:
+                    for i in some[100 * common >= percent * (size[them] + n - common)]:
                         if label[i] != mine:
-                            out.append((doc, docs[i]))
+                            out.append((docs[ask], docs[left[i]]))
                             label[label == label[i]] = mine
                     at = at[label[at] != mine]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(run, LINKS)
+    return dealt_blocks(rows, n_rows, run, LINKS)
 
 
 def rest(members: DataFrame, labels: DataFrame, signed: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -261,12 +276,14 @@ def rest(members: DataFrame, labels: DataFrame, signed: DataFrame, sets_of, perc
         F.when(F.col("role.asks"), F.col("other")).otherwise(F.col("role.own")).alias("i"),
         F.when(F.col("role.asks"), F.col("role.own")).otherwise(F.col("other")).alias("j"),
     )
-    close = stage(plausible(dealt, percent), "plausible")
-    if close.isEmpty():
+    n_dealt = open_rows.agg(F.sum(asking.cast("long") + F.when(F.col("component") != F.col("largest"), blocks).otherwise(0))).first()[0] or 0
+    close = stage(plausible(dealt, n_dealt, percent), "plausible")
+    n_close = close.count()
+    if not n_close:
         return close.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
     own = labels.withColumnRenamed("component", "known")
     again = close.join(sets_of(close.select("doc").distinct()), "doc").join(signed.select(F.col("doc_id").alias("doc"), "planes"), "doc").join(own, "doc", "left")
-    return bucket_links(again.withColumn("component", F.coalesce("known", "doc")).drop("known"), percent)
+    return bucket_links(again.withColumn("component", F.coalesce("known", "doc")).drop("known"), n_close, percent)
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
