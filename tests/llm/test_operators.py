@@ -274,6 +274,37 @@ def test_wrappers(spark):
     assert "(?" in wrappers.align(["<p>", "#", "</p>"], ["<h1>", "#", "</h1>", "<p>", "#", "</p>"])
 
 
+def test_wrapper_slots_take_the_text(spark):
+    """A slot that never changes over a host's pages is left out, in the article as well."""
+    page = '<html><body><article><h1>T{0}</h1><p>Body {0}</p><p class="licence">All rights kept</p></article></body></html>'
+    rows = [(i, "http://one.example/", page.format(i)) for i in range(6)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"T{r['page_id']}\n\nBody {r['page_id']}" for r in got) and len(got) == 6
+
+
+def test_wrappers_match_their_pages(spark, monkeypatch):
+    """Wrappers of random pages match each page, and a slot's path is the page's."""
+    monkeypatch.setattr(wrappers, "SLICE", 4)
+    r = random.Random(11)
+
+    def element(depth):
+        tag = r.choice(["div", "p", "h2", "ul", 'div class="a"', "section"])
+        inner = "".join(element(depth + 1) for _ in range(r.randint(1, 4))) if depth < 3 and r.random() < 0.6 else f"t{r.randrange(99)}"
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    streams = sorted({wrappers.read_page("<body>" + "".join(element(0) for _ in range(r.randint(1, 5))) + "</body>")[0] for _ in range(60)} | {""})
+    frame = spark.createDataFrame([("h", s, 1) for s in streams], "host string, stream string, n long")
+    (whole,) = wrappers.wrappers(frame).collect()
+    paths = [p for p, _ in wrappers.texts_in(wrappers.parsed(whole["wrapper"].split()))]
+    for s in streams:
+        own = [p for p, _ in wrappers.texts_in(wrappers.parsed(s.split()))]
+        assert [paths[k] for k in wrappers.matched(s, whole["wrapper"])] == own and wrappers.written(wrappers.parsed(s.split())) == s.split()
+    stream = wrappers.read_page("<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>")[0]
+    assert stream == "<dl> ( <dt> # </dt> <dd> # </dd> )+ </dl>"
+    deep = wrappers.read_page("<div>" * 3000 + "x" + "</div>" * 3000)
+    assert len(deep[2]) == 1 and wrappers.matched(deep[0], deep[0]) == [0]
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     clean = lambda: " ".join(f"w{r.randrange(400)}" for _ in range(80))
