@@ -8,14 +8,16 @@ matches.  Its slots are numbered, and each distinct tree is matched with it to f
 text of a page stands in.
 
 Extraction keeps the texts in the slots that hold content.  A slot whose text is the same on all pages
-that have it, five at least, is template text.  The content region belongs to a page's own layout, its distinct
+that have it, five pages of different content at least, is template text (copies of one page count once, and if
+nothing else would be left it stays).  The content region belongs to a page's own layout, its distinct
 tree: the article (or main) elements if it has them, else the element that holds most of the varying,
-link-poor text; there, slots that mostly hold links go too.  Never kept are menus,
+link-poor text; there, blocks of links in slots that mostly hold links go too.  Never kept are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, by element or
-by class and id words.
+by class and id words; a header inside the article is kept whatever its class says.
 
 Distinct trees are merged in SLICE slices for each host, and the partial wrappers in one task.  A
-null html gives an empty text; rows with a null page_id are left out; a null url is a host of its own; repeated rows give equal rows; an empty table gives an empty result.  Other columns
+null html gives an empty text; rows with a null page_id are left out; a null url is a host of its own
+for each page_id; repeated rows give equal rows; an empty table gives an empty result.  Other columns
 are not looked at.
 """
 
@@ -325,17 +327,18 @@ def banned(path: tuple[str, ...]) -> bool:
     """Whether any element on the path is no content by its tag, class, id or role."""
     for k, label in enumerate(path):
         tag, _, mark = label.partition(".")
+        # A header inside the article holds its title, not the site's, whatever its class says.
+        if tag == "header" and any(x.partition(".")[0] in ("article", "main") for x in path[:k]):
+            continue
         if tag in NEVER:
-            # A header inside the article holds its title, not the site's.
-            if not (tag == "header" and any(x.partition(".")[0] in ("article", "main") for x in path[:k])):
-                return True
+            return True
         if mark and tag not in ("html", "body", "article", "main") and WORDS.intersection(mark.split(".")):
             return True
     return False
 
 
 def host_of(url, page_id) -> object:
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    return F.when(url.isNull(), F.concat(F.lit("\0"), page_id.cast("string"))).otherwise(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
 
 
 TEXTS = pa.list_(pa.struct([("leaf", pa.int32()), ("text", pa.string()), ("link", pa.bool_())]))
@@ -413,7 +416,7 @@ def contents(seen: DataFrame, numbers: DataFrame) -> DataFrame:
     each = seen.select("host", "stream", "digest", F.posexplode("sizes").alias("leaf", "s")).select("host", "stream", "digest", "leaf", "s.*")
     by_page = each.join(numbers, ["host", "stream", "leaf"])
     # Over a host, a slot of the wrapper holds template text if it never changes while the pages do.
-    constant = by_page.groupBy("host", "slot").agg(F.count("*").alias("pages"), (F.min("text") == F.max("text")).alias("same"))
+    constant = by_page.groupBy("host", "slot").agg(F.count_distinct("digest").alias("pages"), (F.min("text") == F.max("text")).alias("same"))
     template = constant.where(F.col("same") & (F.col("pages") >= TEMPLATE_PAGES)).select("host", "slot", F.lit(True).alias("template"))
     sums = each.groupBy("host", "stream", "leaf").agg(F.sum("plain").alias("plain"), F.sum("linked").alias("linked"))
     rows = sums.join(numbers, ["host", "stream", "leaf"]).join(template, ["host", "slot"], "left")
@@ -438,7 +441,7 @@ def content_slots(weights: list[tuple[tuple[str, ...], int, int, bool]]) -> tupl
     anchor = next((w for w in ("article", "main") if any(inside(k, w) for k in own)), None)
     if anchor:
         own = [k for k in own if inside(k, anchor)]
-    own = [k for k in own if not weights[k][3]]
+    own = [k for k in own if not weights[k][3]] or own
     if anchor:
         return own, []
     where = tuple(region([weights[k][:3] for k in own]))
@@ -473,6 +476,6 @@ def extract(pages: DataFrame) -> DataFrame:
     numbers = stage(slot_numbers(unique, stage(wrappers(unique), "wrappers")), "numbers")
     learned = stage(contents(seen, numbers), "contents")
     found = seen.select("page_id", "url", "host", "stream", "texts").join(learned, ["host", "stream"], "left")
-    own = F.filter("texts", lambda t: F.array_contains("content", t["leaf"]) & ~F.array_contains("links", t["leaf"]))
+    own = F.filter("texts", lambda t: F.array_contains("content", t["leaf"]) & ~(t["link"] & F.array_contains("links", t["leaf"])))
     text = F.coalesce(F.array_join(F.transform(own, lambda t: t["text"]), "\n\n"), F.lit(""))
     return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -282,6 +282,22 @@ def test_wrapper_slots_take_the_text(spark):
     assert all(r["text"] == f"T{r['page_id']}\n\nBody {r['page_id']}" for r in got) and len(got) == 6
 
 
+def test_wrapper_slots_decide(spark):
+    """One host with several layouts, copies, links, a titled header and a constant line inside the article."""
+    body = lambda inner: f"<html><body><nav>n</nav>{inner}</body></html>"
+    article = body('<article><header class="entry-header"><h1>T{0}</h1></header><p>Body {0}</p><p class="licence">All rights kept</p></article>')
+    content, post = body('<div id="content"><p>Long plain text of page {0} and more of it</p></div>'), body('<div id="post"><p>Short {0}</p><dl><dt>k</dt><dd>v{0}</dd><dt>k</dt><dd>w</dd></dl></div>')
+    links = body('<div id="content"><p><a href="/">A long list of links {0} and more of it, longer than all plain text of the host</a></p><p>Plain {0}</p></div>')
+    one = "http://one.example/"
+    rows = [(i, one, article.format(i)) for i in range(6)] + [(10 + i, one, content.format(i)) for i in range(6)] + [(20, one, post.format(1)), (30, one, links.format(1))]
+    rows += [(40 + i, "http://copies.example/", body("<div><p>The same text</p></div>")) for i in range(7)] + [(50, None, article.format(50)), (51, None, content.format(51))]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "T1\n\nBody 1"  # the title of a header with a class stays, the constant slot goes though it is in the article
+    assert got[11] == "Long plain text of page 1 and more of it"  # another page's article empties nothing
+    assert got[20] == "Short 1\n\nk\n\nv1\n\nk\n\nw" and got[30] == "Plain 1"
+    assert all(got[40 + i] == "The same text" for i in range(7)) and got[50].startswith("T50\n\nBody 50") and got[51].startswith("Long plain")
+
+
 def test_wrappers_match_their_pages(spark, monkeypatch):
     """Wrappers of random pages match each page, and a slot's path is the page's."""
     monkeypatch.setattr(wrappers, "SLICE", 4)
