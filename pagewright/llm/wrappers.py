@@ -15,7 +15,8 @@ link-poor text; there, blocks of links in slots that mostly hold links go too.
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, by element or
 by class and id words; a header inside the article is kept whatever its class says.
 
-Distinct trees are merged in SLICE slices for each host, and the partial wrappers in one task.  A
+Distinct trees are merged in slices of about SLICE trees, and the partial wrappers FAN at a time in as
+many rounds as the largest host needs, so no task gets more for a host with a third of all pages.  A
 null html gives an empty text; rows with a null page_id are left out; a null url is a host of its own
 for each page_id; repeated rows give equal rows; an empty table gives an empty result.  Other columns
 are not looked at.
@@ -46,8 +47,8 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "
 NEVER = {"head", "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "button", "select", "option", "textarea", "input", "dialog", "menu", "svg", "canvas", "object", "label", "title", "xmp"}
 WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "footer", "gdpr", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promotion", "related", "reply", "replies", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "disqus", "masthead", "search", "login", "signup"}
 CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead"}}
-#: Slices of a host's distinct streams that are merged before partial wrappers meet.
-SLICE = 64
+#: Distinct streams of a host, about, that one task merges before partial wrappers meet, and partial wrappers that meet in one.
+SLICE, FAN = 64, 8
 #: A slot whose text is the same on so many different pages of a host, and on all that have it, is template text.
 TEMPLATE_PAGES = 5
 #: Labels of the longest run that folds into a repeated group.
@@ -389,8 +390,12 @@ def wrappers(unique: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "slice": [int(group["slice"].iloc[0])], "stream": [" ".join(written(expression))], "n": [int(group["n"].sum())]})
 
     kind = "host string, slice long, stream string, n long"
-    partial = unique.withColumn("slice", F.pmod(F.xxhash64("stream"), F.lit(SLICE).cast("long"))).groupBy("host", "slice").applyInPandas(merge, kind)
-    partial = partial.withColumn("slice", F.lit(0).cast("long")).groupBy("host", "slice").applyInPandas(merge, kind)
+    slices = unique.groupBy("host").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    left = slices.agg(F.max("slices")).first()[0] or 0
+    partial = unique.join(slices, "host").select("host", F.pmod(F.xxhash64("stream"), F.col("slices")).alias("slice"), "stream", "n").groupBy("host", "slice").applyInPandas(merge, kind)
+    while left > 1:
+        partial = partial.withColumn("slice", F.floor(F.col("slice") / FAN)).groupBy("host", "slice").applyInPandas(merge, kind)
+        left = -(-left // FAN)
     return partial.select("host", F.col("stream").alias("wrapper"))
 
 

@@ -299,8 +299,9 @@ def test_wrapper_slots_decide(spark):
 
 
 def test_wrappers_match_their_pages(spark, monkeypatch):
-    """Wrappers of random pages match each page, and a slot's path is the page's."""
+    """Wrappers of random pages, merged in several rounds, match each page, and a slot's path is the page's."""
     monkeypatch.setattr(wrappers, "SLICE", 4)
+    monkeypatch.setattr(wrappers, "FAN", 2)
     r = random.Random(11)
 
     def element(depth):
