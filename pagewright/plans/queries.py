@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -194,13 +195,9 @@ def advances(s: SparkSession, d: str) -> DataFrame:
     return rounded(widths.learn_advances(_cuts(s, d)), "advance")
 
 
-def short_lines(s: SparkSession, d: str) -> DataFrame:
-    return derived.lines(s, d, derived.turns(s, d))
-
-
 def _cuts(s: SparkSession, d: str) -> DataFrame:
     """Character spans as a reader would report them: every character of a line by its own width, spaces in the blanks."""
-    lines = short_lines(s, d)
+    lines = derived.lines(s, d)
     span = lambda w: F.aggregate(F.split(w["text"], ""), F.struct(w["hpos"].alias("x"), F.array().cast("array<struct<x0:bigint,x1:bigint>>").alias("out")), lambda a, c: F.struct((a["x"] + 4 + F.ascii(c) % 13).alias("x"), F.concat(a["out"], F.array(F.struct(a["x"].alias("x0"), (a["x"] + 4 + F.ascii(c) % 13).alias("x1")))).alias("out")), lambda a: a["out"])
     spans = F.flatten(F.transform("words", lambda w, i: F.concat(F.when(i > 0, F.array(F.struct((F.element_at("words", F.greatest(i, F.lit(1)))["hpos"] + F.element_at("words", F.greatest(i, F.lit(1)))["width"]).alias("x0"), w["hpos"].alias("x1")))).otherwise(F.array().cast("array<struct<x0:bigint,x1:bigint>>")), span(w))))
     return lines.select(*KEYS, F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), spans.alias("spans"))
@@ -230,7 +227,7 @@ def ctc_report(s: SparkSession, d: str) -> DataFrame:
     keep = lambda i: (F.col("file") + i) % 17 != 0
     read = F.array_join(F.filter(F.split("read", ""), lambda c, i: keep(i)), "")
     cuts = cuts.select(*KEYS, read.alias("read"), F.filter("spans", lambda x, i: keep(i)).alias("spans"))
-    cases = line_cases(short_lines(s, d)).join(cuts, KEYS, "left")
+    cases = line_cases(derived.lines(s, d)).join(cuts, KEYS, "left")
     low = K.support_of("read", F.array_join("tokens", "")) < 0.5
     base = resolvers.resolve_proportional(cases.withColumn("low", low)).withColumnRenamed("boxes", "base")
     got = base.withColumn("got", K.transferred(F.struct("read", "spans", "tokens", F.col("box_hpos").alias("hpos"), F.col("box_width").alias("width"))))
@@ -239,7 +236,7 @@ def ctc_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def _with_gaps(s: SparkSession, d: str) -> DataFrame:
-    cases = resolvers.resolve_proportional(line_cases(short_lines(s, d)))
+    cases = resolvers.resolve_proportional(line_cases(derived.lines(s, d)))
     return cases.withColumn("x", F.struct("boxes", F.filter("gaps", lambda g, i: (F.col("file") + i) % 7 != 0).alias("gaps"), F.col("box_hpos").alias("hpos"), F.col("box_width").alias("width")))
 
 
@@ -254,14 +251,12 @@ def ink_snap_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def learned_report(s: SparkSession, d: str) -> DataFrame:
-    lines = short_lines(s, d)
+    lines = derived.lines(s, d)
     return rounded(scoring.report(scoring.scored(widths.resolve_learned(line_cases(lines), lines)), "corpus"), *REPORT)
 
 
 def reprojected(s: SparkSession, d: str) -> DataFrame:
     """Each document's lines against the same text with every third line joined to the one before."""
-    import pandas as pd
-
     @F.pandas_udf("struct<lines:int,same:int,emptied:int,merged:int,unlike:int>")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
@@ -272,8 +267,7 @@ def reprojected(s: SparkSession, d: str) -> DataFrame:
             out.append((len(lines), sum(a == b for a, b in zip(source, lines)), *map(len, K.signals(source, lines))))
         return pd.DataFrame(out, columns=["lines", "same", "emptied", "merged", "unlike"])
 
-    turns = s.read.parquet(f"{d}/conversations.parquet")
-    return turns.select("conv_id", "turn", run("text").alias("r")).select("conv_id", "turn", "r.*")
+    return derived.documents(s, d).select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
 
 
 def anchored_words(s: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Small fixtures with known answers, and registered queries against their SQL."""
 
+import random
+from difflib import SequenceMatcher
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pagewright.functions import kernels as K
 from pagewright.operators import resolvers, verdict
 from pagewright.operators.triage import lines_to_resegment, triage
 from pagewright.operators.widths import fit
+from pagewright.plans import queries
 from pagewright.sources import caches, layout
 
 ALTO = """<alto {ns}><Layout><Page WIDTH="1000" HEIGHT="200"><PrintSpace><TextBlock>
@@ -69,6 +73,31 @@ def test_ink():
     assert K.snapped_to_gaps([("de", 100, 30), (" ", 130, 10), ("la", 140, 40)], [(132, 138)], 100, 80)[1] == (" ", 132, 6)
 
 
+def test_blocks_are_difflibs():
+    r = random.Random(3)
+    for n in (0, 5, 80, 400):
+        for _ in range(12):
+            a = "".join(r.choice("abcd") for _ in range(n))
+            b = "".join(c for c in a if r.random() < 0.9) + "".join(r.choice("abcd") for _ in range(n // 4))
+            want = SequenceMatcher(None, a, b, autojunk=False)
+            assert K.blocks(a, b) == [tuple(m) for m in want.get_matching_blocks() if m.size]
+            assert K.opcodes(a, b) == [x[1:] for x in want.get_opcodes()]
+    long = "".join(r.choice("abcdefgh ") for _ in range(30_000))
+    assert sum(n for _, _, n in K.blocks("".join(c for i, c in enumerate(long) if i % 17), long)) > 28_000
+
+
+def test_reports_read_documents(spark, tmp_path):
+    """Lines of documents, long ones too, where there are no conversations."""
+    long = " ".join(f"word{i % 37}" for i in range(700))
+    texts = [f"{long}\nab cd ef\nab cd\nef gh", "one two\nthree four\nfive six"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("ctc_report", "ink_gap_report", "ink_snap_report", "learned_report"):
+        (row,) = queries.queries()[name](spark, str(tmp_path)).collect()
+        assert (row["corpus"], row["cases"], row["failures"]) == ("en", 7, 0)
+    assert {r["glyph"] for r in queries.advances(spark, str(tmp_path)).collect()} >= set("word0123456789")
+    assert {r["doc_id"]: r["lines"] for r in queries.reprojected(spark, str(tmp_path)).collect()} == {0: 4, 1: 3}
+
+
 def test_reproject():
     source = ["un deux", "trois quatre", "cinq"]
     assert K.reproject(source, source) == source
