@@ -2,14 +2,14 @@
 
 Every window of ``window`` items is keyed by the least hash among its grams of ``gram`` items; a
 segment is a maximal run of neighbouring windows with one key.  Equal windows have equal keys, so
-windows only need comparing within a key, and a segment's own hash settles whole segments at once.
+windows only need comparing within a key, and a segment's own digest settles whole segments at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .hashing import grams, mix, prefix, spans
+from .hashing import grams, mix
 
 
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
@@ -26,13 +26,13 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 def segments(items: np.ndarray, first: np.ndarray, window: int, gram: int):
     """Segments of the documents whose items lie at ``first[i]`` to ``first[i + 1]``.
 
-    Returns (document, start within the document, number of windows, key, content hash, whether the key's gram
-    occurs more than once in the segment, so that windows within it may repeat each other)."""
+    Returns (document, first item, number of windows, key, whether the key's gram occurs more than once in the
+    segment, so that windows within it may repeat each other)."""
     n = len(items)
     width = window - gram + 1
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool)
+        return none, none, none, none.view(np.uint64), none.astype(bool)
     g = mix(grams(items, gram) ^ np.uint64(0x5851F42D4C957F2D))
     v = sliding_min(g, width)  # a key for every window of the whole slice
     lengths = np.diff(first)
@@ -52,8 +52,6 @@ def segments(items: np.ndarray, first: np.ndarray, window: int, gram: int):
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
     count = stop - start
     doc = np.searchsorted(first, start, "right") - 1
-    sums = prefix(items)
-    content = spans(sums, start, stop + window - 1)
     # Does the key's gram occur twice in the segment?  Compare all grams that the segment's windows cover.
     cover = count + width - 1
     begin = np.cumsum(cover) - cover
@@ -65,4 +63,4 @@ def segments(items: np.ndarray, first: np.ndarray, window: int, gram: int):
         at = np.arange(int(cover[lo:hi].sum())) + np.repeat(start[lo:hi] - (begin[lo:hi] - begin[lo]), cover[lo:hi])
         twice[lo:hi] = np.add.reduceat(g[at] == np.repeat(v[start[lo:hi]], cover[lo:hi]), begin[lo:hi] - begin[lo], dtype=np.int64) > 1
         lo = hi
-    return doc, start - first[doc], count, v[start], content, twice
+    return doc, start, count, v[start], twice

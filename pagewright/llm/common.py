@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ def scratch(spark: SparkSession) -> str:
     """A folder that the driver and every executor share, for this application's own tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", spark.sparkContext.master):  # local-cluster has machines of its own
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "/tmp/checkpoints/pagewright"
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -47,12 +48,16 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application's own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete tables that :func:`stage` wrote, once nothing reads them any more."""
     for frame in frames:
-        jvm = frame.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(frame._staged_at)
-        path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        removed(frame.sparkSession, frame._staged_at)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -101,6 +106,17 @@ def one_per_id(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return rows.groupBy("doc_id").agg(least).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"least.{c}") for c in rows.columns])
 
 
+#: Ids that may be broadcast: 8 bytes each and a hash table of them, a few dozen MB.
+BROADCAST_IDS = 1_000_000
+
+
+def only(frame: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """The frame's rows whose key is among the (staged, distinct) ids, or with ``left_anti`` is not.
+
+    Ids are broadcast if they are counted and few, so that texts need no shuffle; else Spark joins both sides by key."""
+    return frame.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))

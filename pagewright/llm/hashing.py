@@ -1,34 +1,24 @@
-"""Vectorised word and n-gram hashes over UTF-8 bytes."""
+"""Vectorised word and n-gram hashes over UTF-8 bytes.
+
+A stretch's hash comes from two blocks of the largest power of two that fits, one at its start and one at its end, and a
+block's hash from its two halves, through a multiplication and shifts at every level.  Nothing in it is linear, so texts
+that differ in a regular way (Thue-Morse words, say) don't collide as they would under a polynomial modulo 2**64.
+Stretches of up to seven bytes are hashed one to one.  A hash only groups: where equal hashes decide a result, callers
+compare the contents or a 128-bit digest of them.
+"""
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_ODD1, _ODD2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-#: Random values per byte, so that the polynomial's structure doesn't show.
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def of(base: int) -> np.ndarray:
-        out = np.full(n + 1, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    return of(_BASE), of(pow(_BASE, -1, 1 << 64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n at least."""
-    return _powers(1 << max(20, int(n).bit_length()))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,16 +31,66 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of value[i] * base**i, with a leading zero."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0][: len(values)], dtype=np.uint64, out=out[1:])
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash for a pair of hashes, in this order."""
+    x = a * _ODD1
+    x ^= x >> _U(32)
+    x += b
+    x *= _ODD2
+    x ^= x >> _U(29)
+    return x
+
+
+def packed(data: np.ndarray, width: int = 8) -> np.ndarray:
+    """The big-endian integer of the 8 bytes from each place on (zeros behind the end)."""
+    out, have = np.concatenate([data, np.zeros(width, np.uint8)]).astype(np.uint64), 1
+    while have < width:
+        out = (out[:-have] << np.uint64(8 * have)) | out[have:]
+        have *= 2
+    return out[: len(data)]
+
+
+def _by_blocks(blocks: np.ndarray, size: int, start: np.ndarray, length: np.ndarray, out: np.ndarray) -> None:
+    """Hashes of stretches of at least ``size`` items, from the hashes of all blocks of that size."""
+    level, most = np.frexp((length // size).astype(np.float64))[1], length.max(initial=0)
+    k = 1
+    while size <= most:
+        own = np.flatnonzero(level == k)
+        if len(own):
+            s, n = start[own], length[own]
+            out[own] = mix(paired(blocks[s], blocks[s + n - size]) + n.astype(np.uint64))
+        if 2 * size <= most:
+            blocks = paired(blocks[:-size], blocks[size:])
+        size, k = 2 * size, k + 1
+
+
+def byte_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the byte stretches [start, end); place doesn't matter."""
+    length = end - start
+    out = np.empty(len(start), np.uint64)
+    eight = packed(data)
+    short = length < 8
+    n = length[short].astype(np.uint64)
+    some = eight[np.minimum(start[short], max(len(data) - 1, 0))] if len(data) else np.zeros(len(n), np.uint64)
+    some = np.where(n > 0, some >> (_U(64) - _U(8) * np.maximum(n, _U(1))), _U(0))
+    out[short] = mix((some | n << _U(56)) ^ _U(seed))
+    if not short.all():
+        long = ~short
+        held = np.zeros(int(long.sum()), np.uint64)
+        _by_blocks(mix(eight ^ _U(seed ^ 0x5851F42D4C957F2D)), 8, start[long], length[long], held)
+        out[long] = held
     return out
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of [start, end) of the sequence behind the prefix sums; place doesn't matter."""
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
+def spans(items: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the stretches [start, end) of a sequence of hashed items; empty ones have the hash 0."""
+    out = np.zeros(len(start), np.uint64)
+    length = end - start
+    full = length > 0
+    held = np.zeros(int(full.sum()), np.uint64)
+    _by_blocks(mix(items ^ _U(seed)), 1, start[full], length[full], held)
+    out[full] = held
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +110,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.n
     after[-1], after[:-1] = True, gap[1:]
     after[offsets[1:][full] - 1] = True
     start, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    return start, end, spans(prefix(_BYTE[data]), start, end), np.searchsorted(start, offsets)
+    return start, end, byte_spans(data, start, end), np.searchsorted(start, offsets)
 
 
 def grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -78,12 +118,44 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return spans(prefix(h), at, at + size)
-
-
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE[data]
+    blocks, have = mix(h), 1
+    while 2 * have <= size:
+        blocks, have = paired(blocks[:-have], blocks[have:]), 2 * have
+    return mix(paired(blocks[:n], blocks[size - have : size - have + n]) + _U(size))
+
+
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each byte stretch [start, end); two are equal if and only if the bytes are."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    _, first, where = np.unique(byte_spans(data, start, end), return_index=True, return_inverse=True)
+    as_first, size = first[where], end - start
+    begin = np.cumsum(size) - size
+    at = np.arange(int(size.sum()))
+    other = np.minimum(at + np.repeat(start[as_first] - begin, size), len(data) - 1)
+    if (size == size[as_first]).all() and (data[at + np.repeat(start - begin, size)] == data[other]).all():
+        return where.astype(np.int64)
+    raw, seen = data.tobytes(), {}  # equal hashes of different stretches
+    return np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist())], np.int64)
+
+
+def window_names(items: np.ndarray, size: int) -> np.ndarray:
+    """A number for every ``size`` neighbouring items, which are numbers themselves: pairs of names get names, so two are
+    equal if and only if all their items are."""
+    n = len(items) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    named = lambda a, b: np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
+    out, have = items, 1
+    while 2 * have <= size:
+        out, have = named(out[:-have], out[have:]), 2 * have
+    return named(out[:n], out[size - have : size - have + n]) if have < size else out
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of 128 bits of byte stretches, as two columns of integers."""
+    make = hashlib.blake2b
+    return np.frombuffer(b"".join([make(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]), "<i8").reshape(-1, 2)
 
 
 _OTHER = np.ones(256, bool)

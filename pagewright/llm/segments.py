@@ -16,14 +16,25 @@ import re
 import numpy as np
 
 from .common import slices
-from .hashing import byte_values, prefix, spans
+from .hashing import byte_spans
 
-#: A worker's cache starts anew beyond so many stretches: it bounds memory, not results.
-CACHE_MOST = 1_000_000
+#: A worker's cache starts anew beyond so many stretches, or so many bytes of them: both bound memory, not results.
+CACHE_MOST, CACHE_BYTES = 400_000, 16 << 20
+
+
+def stretched(flat: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``flat``, of which ``used`` items count, with ``more`` behind them."""
+    if used + len(more) > len(flat):
+        flat = np.concatenate([flat[:used], np.zeros(max(used, len(more)) + len(more), flat.dtype)])
+    flat[used : used + len(more)] = more
+    return flat
 
 
 class SliceIds:
-    """Subclasses give :meth:`cut` (stretch starts) and :meth:`learn` (ids of one stretch)."""
+    """Subclasses give :meth:`cut` (stretch starts) and :meth:`learn` (ids of one stretch).
+
+    Stretches meet in the cache by a hash; their bytes are compared with the cached ones each time, and what differs is
+    encoded by itself."""
 
     unit = np.dtype("<u2")
 
@@ -32,11 +43,10 @@ class SliceIds:
 
     def _reset(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.lo = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int32)
-        self.size = np.zeros(0, np.int32)
-        self.flat = np.zeros(1 << 16, self.unit)
-        self.used = 0
+        self.lo, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.n, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, self.unit), 0
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -44,49 +54,62 @@ class SliceIds:
     def learn(self, stretches: list[bytes]) -> list:
         raise NotImplementedError
 
+    def hashed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return byte_spans(data, start, end)
+
     def slice_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, index of each document's first id, with one more at the end)."""
         start = self.cut(data, offsets)
         if not len(start):
             return np.zeros(0, self.unit), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
-        key, first, where = np.unique(spans(prefix(byte_values(data)), start, end), return_index=True, return_inverse=True)
+        key, first, where = np.unique(self.hashed(data, start, end), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, key)
         known = at < len(self.keys)
-        known[known] = (self.keys[at[known]] == key[known]) & (self.size[at[known]] == (end - start)[first[known]])
+        known[known] = self.keys[at[known]] == key[known]
         if not known.all():
-            if len(self.keys) > CACHE_MOST:
+            if len(self.keys) > CACHE_MOST or self.raw_used > CACHE_BYTES:
                 self._reset()
                 known[:] = False
             self._add(key[~known], data, start[first[~known]], end[first[~known]])
             at = np.searchsorted(self.keys, key)
-        lo, n = self.lo[at][where], self.n[at][where].astype(np.int64)
+        at = at[where]
+        lo, n, flat = self.lo[at], self.n[at].astype(np.int64), self.flat
+        wrong = self._wrong(data, start, end - start, at)
+        if len(wrong):
+            raw = data.tobytes()
+            got = self.learn([raw[start[i] : end[i]] for i in wrong.tolist()])
+            n[wrong] = [len(g) for g in got]
+            lo[wrong] = self.used + np.cumsum(n[wrong]) - n[wrong]
+            flat = np.concatenate([flat[: self.used], *(np.array(g, self.unit) for g in got)])
         begin = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=begin[1:])
-        ids = self.flat[np.arange(begin[-1]) + np.repeat(lo - begin[:-1], n)]
+        ids = flat[np.arange(begin[-1]) + np.repeat(lo - begin[:-1], n)]
         return ids, begin[np.searchsorted(start, offsets)]
 
+    def _wrong(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The stretches whose bytes aren't those of the cached stretch with their hash."""
+        place = np.arange(start[0], len(data)) + np.repeat(self.at[at] - start, size)
+        differ = self.raw[np.minimum(place, max(self.raw_used - 1, 0))] != data[start[0] :]
+        wrong = self.size[at] != size
+        if differ.any():
+            wrong |= np.logical_or.reduceat(differ, start - start[0])
+        return np.flatnonzero(wrong)
+
     def _add(self, key: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         raw = data.tobytes()
-        got = self.learn([raw[a:b] for a, b in zip(start.tolist(), end.tolist())])
-        n = np.fromiter(map(len, got), np.int32, len(got))
+        stretches = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        got = self.learn(stretches)
+        n, size = np.fromiter(map(len, got), np.int32, len(got)), (end - start).astype(np.int32)
         total = int(n.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.unit)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for g in got for x in g), self.unit, total)
-        lo = self.used + np.cumsum(n, dtype=np.int64) - n
-        self.used += total
-        stale = np.searchsorted(self.keys, key)  # a key whose size differed is replaced
-        same = stale < len(self.keys)
-        same[same] = self.keys[stale[same]] == key[same]
-        if same.any():
-            drop = stale[same]
-            self.keys, self.lo, self.n, self.size = (np.delete(x, drop) for x in (self.keys, self.lo, self.n, self.size))
-        at = np.searchsorted(self.keys, key)
-        self.keys = np.insert(self.keys, at, key)
-        self.lo = np.insert(self.lo, at, lo)
-        self.n = np.insert(self.n, at, n)
-        self.size = np.insert(self.size, at, (end - start).astype(np.int32))
+        self.flat = stretched(self.flat, self.used, np.fromiter((x for g in got for x in g), self.unit, total))
+        self.raw = stretched(self.raw, self.raw_used, np.frombuffer(b"".join(stretches), np.uint8))
+        lo, byte = self.used + np.cumsum(n, dtype=np.int64) - n, self.raw_used + np.cumsum(size, dtype=np.int64) - size
+        self.used, self.raw_used = self.used + total, self.raw_used + int(size.sum())
+        to = np.searchsorted(self.keys, key)
+        self.keys = np.insert(self.keys, to, key)
+        self.lo, self.at = np.insert(self.lo, to, lo), np.insert(self.at, to, byte)
+        self.n, self.size = np.insert(self.n, to, n), np.insert(self.size, to, size)
 
     def batches(self, data: np.ndarray, offsets: np.ndarray):
         """For each slice of documents: (first document, ids, offsets of ids)."""

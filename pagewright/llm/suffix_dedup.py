@@ -6,7 +6,8 @@ Larsson-Sadakane refinement in numpy (ranks over h bytes give ranks over 2h byte
 that are still unsorted are sorted again), Kasai's inequality bounds the common prefixes of
 neighbours, and suffixes that share ``window`` bytes form a class whose earliest member stays.
 Segments of a very common key are dealt over several shards; their class representatives then meet
-by window hash, and each shard's sorted run is merged into the others by binary search.
+by window digest, and each shard's sorted run is merged into the others by binary search.  A segment
+that is copied as a whole is settled before that, by the digest of its bytes.
 
 Null text is empty; documents shorter than the window keep everything; where rows repeat a doc_id
 the least text stands for it (one result row); rows with a null doc_id are left out; an empty table
@@ -17,23 +18,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, flat, one_per_id, partitions, runs, stage
-from .hashing import byte_values, mix, prefix, spans
-from .repeats import GROUP_MOST, blocks, by_key, repeated, segment_rows, spans_by_document, to_compare, with_bodies
+from .common import covered, flat, one_per_id, partitions, runs, stage, unstage
+from .hashing import digests, mix, packed
+from .repeats import blocks, by_key, repeated, repeated_keys, segment_rows, spans_by_document, to_compare, with_bodies
 
-WINDOW, GRAM, SHARD = 100, 20, 1 << 20
-
-
-def packed(data: np.ndarray, width: int = 8) -> np.ndarray:
-    """The big-endian integer of the 8 bytes from each place on (zeros behind the end)."""
-    out, have = np.concatenate([data, np.zeros(width, np.uint8)]).astype(np.uint64), 1
-    while have < width:
-        out = (out[:-have] << np.uint64(8 * have)) | out[have:]
-        have *= 2
-    return out[: len(data)]
+WINDOW, GRAM, SHARD, MERGED = 100, 20, 1 << 20, 1 << 19
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +123,9 @@ def shard_repeats(block: dict, window: int):
     return segment, place, head
 
 
-def _later(batches, window: int):
+def _later(batches, window: int, whole: bool = True):
     """(doc_id, lo, hi): bytes of segments under windows that start earlier elsewhere in their shard."""
-    for block in blocks(batches, SHARD):
+    for block in blocks(batches, SHARD, whole):
         segment, place, head = shard_repeats(block, window)
         yield from marked(block, segment[~head], place[~head], window)
 
@@ -155,50 +148,74 @@ def search(run: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(run[at] == keys, at, -1) if len(run) else np.full(len(keys), -1)
 
 
-def merge_runs(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each shard's sorted run (hash, second hash, doc, place), whether each window starts earlier in any shard.
+def merge_runs(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each shard's sorted run (window, doc, place), whether each window starts earlier in any shard.
 
-    Each run is merged into what earlier ones gave: known windows by binary search, new ones inserted."""
-    total = np.concatenate([s[0] for s in shards])
-    first = np.unique(total)
-    best_doc, best_at = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).max)
-    for h, _, doc, at in shards:
-        to = search(first, h)
+    Each run is merged into what earlier ones gave: windows are found there by binary search, new ones inserted."""
+    known, best_doc, best_at = (np.zeros(0, np.int64) for _ in range(3))
+    for w, doc, at in shards:
+        new = w[search(known, w) < 0]
+        to = np.searchsorted(known, new)
+        known = np.insert(known, to, new)
+        best_doc, best_at = (np.insert(x, to, np.iinfo(np.int64).max) for x in (best_doc, best_at))
+        to = search(known, w)
         better = (doc < best_doc[to]) | ((doc == best_doc[to]) & (at < best_at[to]))
-        by = np.lexsort((at[better], doc[better], to[better]))[::-1]  # the least is written last
-        best_doc[to[better][by]], best_at[to[better][by]] = doc[better][by], at[better][by]
-    out = []
-    for h, _, doc, at in shards:
-        to = search(first, h)
-        out.append((best_doc[to] != doc) | (best_at[to] != at))
-    return out
+        best_doc[to[better]], best_at[to[better]] = doc[better], at[better]
+    places = [search(known, w) for w, _, _ in shards]
+    return [(best_doc[to] != doc) | (best_at[to] != at) for to, (_, doc, at) in zip(places, shards)]
 
 
 def _window_rows(batches, window: int):
-    """For very common keys: the hashes and the earliest member of each class of a shard."""
-    for block in blocks(batches, SHARD):
+    """For very common keys: the digest and the earliest member of each class of a shard."""
+    part, n = TaskContext.get().partitionId() << 32, 0
+    for block in blocks(batches, SHARD, False):
         segment, place, head = shard_repeats(block, window)
         at = block["offsets"][segment[head]] + place[head]
-        values = byte_values(block["data"])
-        one = spans(prefix(values), at, at + window)
-        two = spans(prefix(mix(values)), at, at + window)
+        held = digests(block["data"].tobytes(), at, at + window)
         doc, start = block["doc_id"][segment], block["start"][segment].astype(np.int64) + place
-        yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc[head]), pa.array(start[head])], ["one", "two", "doc_id", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1]), pa.array(np.full(len(held), part + n)), pa.array(doc[head]), pa.array(start[head])], ["one", "two", "shard", "doc_id", "at"])
+        n += 1
 
 
 def _merged(batches, window: int):
-    """Later windows of a partition of window hashes, as ranges."""
-    kept = [tuple(b.column(c).to_numpy() for c in ("one", "two", "doc_id", "at")) for b in batches if b.num_rows]
-    if not kept:
-        return
-    keyed = [(mix(one.view(np.uint64)) ^ two.view(np.uint64), two, doc, at) for one, two, doc, at in kept]
-    for (_, _, doc, at), later in zip(keyed, merge_runs(keyed)):
-        yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(at[later]), pa.array(at[later] + window)], ["doc_id", "lo", "hi"])
+    """Later windows of a partition sorted by digest, as ranges; about MERGED rows are held at once."""
+    kept: list[pa.RecordBatch] = []
+
+    def merge():
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        one, two, shard, doc, at = (rows.column(c).to_numpy() for c in ("one", "two", "shard", "doc_id", "at"))
+        head = np.ones(len(one), bool)
+        head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        by = np.argsort(shard, kind="stable")  # each shard's windows in their own order
+        own = np.split(by, np.flatnonzero(np.diff(shard[by])) + 1)
+        number = np.cumsum(head)
+        for i, later in zip(own, merge_runs([(number[i], doc[i], at[i]) for i in own])):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i][later]), pa.array(at[i][later]), pa.array(at[i][later] + window)], ["doc_id", "lo", "hi"])
+
+    held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one = batch.column("one").to_numpy()
+        cuts = np.flatnonzero(one[1:] != one[:-1]) + 1
+        if held >= MERGED and len(cuts):  # a window is never split
+            kept.append(batch.slice(0, int(cuts[0])))
+            yield from merge()
+            kept, held, batch = [], 0, batch.slice(int(cuts[0]))
+        kept.append(batch)
+        held += batch.num_rows
+    if kept:
+        yield from merge()
 
 
 SPANS = "doc_id long, lo long, hi long"
 
 
+def _items(data: np.ndarray, offsets: np.ndarray):
+    at = np.arange(len(data))
+    return mix(data.astype(np.uint64)), offsets, data.tobytes(), at, at + 1
+
+
 def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, lo, hi): byte ranges under strings of ``window`` bytes that start earlier, in any order, overlaps included."""
 
@@ -206,25 +223,27 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
         raw = data.tobytes()
         return [raw[s : s + c + window - 1] for s, c in zip(start.tolist(), count.tolist())]
 
-    rows = stage(segment_rows(documents, lambda data, offsets: (byte_values(data), offsets), window, gram), "byte-segments")
-    some, contents = repeated(rows)
-    again = contents.where("n > 1").select("key", "content", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
-    copies = some.join(again, ["key", "content"]).where("doc_id != first_doc or start != first_start")
+    rows = stage(segment_rows(documents, _items, window, gram), "byte-segments")
+    some, contents = repeated(rows, repeated_keys(rows))
+    unstage(rows)
+    again = contents.where("n > 1").select("key", "content", "more", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    copies = some.join(again, ["key", "content", "more"]).where("doc_id != first_doc or start != first_start")
     whole = copies.select("doc_id", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("count") + F.lit(window - 1)).cast("long").alias("hi"))
-    compare = to_compare(contents)
-    found = by_key(with_bodies(documents, compare.where(F.col("contents") <= GROUP_MOST), body)).mapInArrow(lambda b: _later(b, window), SPANS)
+    compare = stage(to_compare(contents), "compare")
+    found = by_key(with_bodies(documents, compare.where("not common"), body)).mapInArrow(lambda b: _later(b, window), SPANS)
     out = whole.unionByName(found)
-    common = compare.where(F.col("contents") > GROUP_MOST)
+    common = compare.where("common")
     return out if common.isEmpty() else out.unionByName(common_key_spans(with_bodies(documents, common, body), window))
 
 
 def common_key_spans(bodies: DataFrame, window: int) -> DataFrame:
     """The same for keys with very many contents: their segments are dealt out over shards, and shards are merged."""
     n = partitions(bodies.sparkSession)
-    dealt = bodies.repartition(n, "key", "doc_id").sortWithinPartitions("key", "doc_id", "start")
-    within = dealt.mapInArrow(lambda b: _later(b, window), SPANS)
-    rows = dealt.mapInArrow(lambda b: _window_rows(b, window), "one long, two long, doc_id long, at long")
-    return within.unionByName(rows.repartition(n, "one", "two").mapInArrow(lambda b: _merged(b, window), SPANS))
+    dealt = stage(bodies.repartition(n, "key", "doc_id").sortWithinPartitions("key", "doc_id", "start"), "common")
+    within = dealt.mapInArrow(lambda b: _later(b, window, False), SPANS)
+    rows = dealt.mapInArrow(lambda b: _window_rows(b, window), "one long, two long, shard long, doc_id long, at long")
+    merged = rows.repartition(n, "one", "two").sortWithinPartitions("one", "two", "shard")
+    return within.unionByName(merged.mapInArrow(lambda b: _merged(b, window), SPANS))
 
 
 def dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -46,7 +46,7 @@ def empty(documents):
 
 @pytest.mark.parametrize("most", [2000, 0])
 def test_suffix_dedup(documents, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "GROUP_MOST", most)
+    monkeypatch.setattr(repeats, "GROUP_MOST", most)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.dedup(documents, 40)).collect()}
     seen, want = set(), {}
     for key, text in kept_rows(documents):
@@ -75,7 +75,7 @@ def test_suffix_array():
 
 @pytest.mark.parametrize("most", [2000, 0])
 def test_window_index(documents, monkeypatch, most):
-    monkeypatch.setattr(window_index, "GROUP_MOST", most)
+    monkeypatch.setattr(repeats, "GROUP_MOST", most)
     got = {r["doc_id"]: tuple(r)[1:] for r in window_index.digest(window_index.dedup(documents, 20)).collect()}
     words = {k: re.findall(r"[^\x20\x09-\x0D]+", t) for k, t in kept_rows(documents)}
     count = Counter(tuple(w[s : s + 20]) for w in words.values() for s in range(len(w) - 19))
@@ -88,15 +88,17 @@ def test_window_index(documents, monkeypatch, most):
     assert window_index.dedup(empty(documents)).count() == 0
 
 
-def test_index_runs(spark, documents):
-    index = window_index.FingerprintIndex(spark, None, 20)
-    one = documents.where("doc_id % 2 = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    index.add(one)
-    assert index.matches(one).count() == index.rows().count()
-    index.add(documents.where("doc_id % 2 = 1").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    n = index.rows().count()
+def test_index_runs(spark):
+    """Each batch's matches with itself and with the history, before and after runs are merged."""
+    index = window_index.FingerprintIndex(spark)
+    batch = lambda *keys: spark.createDataFrame([(k, False) for k in keys], "key long, twice boolean")
+    hits = [sorted(r["key"] for r in index.add(batch(*b)).distinct().collect()) for b in ((1, 2, 2, 3), (3, 4), (1, 4, 5), (5, 6, 2))]
+    assert hits == [[2], [3], [1, 4], [2, 5]] and len(index.runs) == 2
     index.compact()
-    assert len(index.runs) == 1 and index.rows().count() == n
+    assert {r["key"]: r["n"] for r in index.rows().collect()} == {1: 2, 2: 3, 3: 2, 4: 2, 5: 2, 6: 1} and len(index.runs) == 1
+    plan = index.run(index.runs[0]).join(index.run(index.runs[0]).select("key"), "key", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "") or "BroadcastHashJoin" in plan
+    index.delete()
 
 
 def brute_components(rows, size, percent):
