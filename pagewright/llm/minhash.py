@@ -7,9 +7,10 @@ counts give decides which candidates are worth an exact check on full sets.
 
 Links within a bucket are found without all its pairs: each member is first compared with the
 bucket's least member and with its neighbour in the order of the next band.  Where a bucket still
-holds several components, members outside its largest one are queries against the bucket, in blocks
-of bounded size, and every exact link between two components is kept.  So every link that shares a
-bucket joins its components: a pair at the threshold is missed with a chance under 1e-7.
+holds several components, members outside its largest one ask the whole bucket, in blocks of bounded
+size, whom their signatures allow as partners; what that connects is a neighbourhood, and there every
+exact link between two components is kept, again in blocks.  So every link that shares a bucket joins
+its components: a pair at the threshold is missed with a chance under 1e-7.
 Components come from alternating large and small stars on staged edge tables.
 
 Null and word-less texts have empty sets and no links; texts shorter than a shingle are one shingle;
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, one_per_id, partitions, slices, stage, unstage
-from .hashing import mix, prefix, spans, words
+from .common import flat, one_per_id, only, slices, stage, unstage
+from .hashing import grams, mix, spans, words
 
 BANDS, ROWS_IN_BAND, PLANES = 32, 4, 2
 HASHES = BANDS * ROWS_IN_BAND
-#: Rows of a bucket in one block of the pairwise step.
-BLOCK = 512
+#: Rows, and about how many shingles, of a bucket or neighbourhood in one block of the pairwise steps.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: How far below the threshold an estimate may lie: about five standard deviations of HASHES comparisons at the threshold.
 SLACK = 0.2
 _RANDOM = np.random.default_rng(6)
@@ -44,12 +45,10 @@ _ODD = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document; A-Z are lower-cased."""
     _, _, h, first = words(data, offsets, lower=True)
-    sums = prefix(h)
-    out = []
+    every, out = grams(h, size), []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        n = max(b - a - size + 1, min(b - a, 1))
-        at = np.arange(a, a + n)
-        out.append(np.unique(spans(sums, at, np.minimum(at + size, b))))
+        own = every[a : b - size + 1] if b - a >= size else spans(h, np.array([a]), np.array([b])) if b > a else every[:0]
+        out.append(np.unique(own))
     return out
 
 
@@ -208,27 +207,42 @@ def each_block(group: pd.DataFrame):
             yield order[a : b - n], order[b - n : b]
 
 
-def plausible(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
-    """(key, i, j, doc, asks): the rows of each block with a partner of another component that set sizes and signatures
-    allow.  Only these need their sets."""
+def likely_graph(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
+    """(a, b): every document of a block that has a partner of another component which set sizes and signatures allow, as
+    (a, a), and enough of those pairs to connect all of them: in a block no more than it has components."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        planes, size, label = np.stack(group["planes"].tolist()).view(np.uint64), group["size"].to_numpy(), group["component"].to_numpy()
-        keep = np.zeros(len(group), bool)
+        planes, size, label, docs = np.stack(group["planes"].tolist()).view(np.uint64), group["size"].to_numpy(), group["component"].to_numpy(), group["doc"].to_numpy()
+        edges = []
         for left, right in each_block(group):
+            above: dict[int, int] = {}  # components that edges of this block have joined
+            keep = np.zeros(len(group), bool)
+
+            def top(x: int) -> int:
+                while x in above:
+                    x = above[x]
+                return x
+
             for ask in right:
                 some = left[label[left] != label[ask]]
                 some = some[100 * np.minimum(size[some], size[ask]) >= percent * np.maximum(size[some], size[ask])]
                 some = some[estimate(planes[some], planes[ask]) >= percent / 100 - SLACK]
                 if len(some):
                     keep[some] = keep[ask] = True
-        return group.loc[keep, ["key", "i", "j", "doc", "asks"]]
+                    found, first = np.unique(label[some], return_index=True)
+                    for other, i in zip(found.tolist(), some[first].tolist()):
+                        x, y = top(int(label[ask])), top(other)
+                        if x != y:
+                            above[x] = y
+                            edges.append((docs[ask], docs[i]))
+            edges += [(d, d) for d in docs[keep]]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    return dealt_blocks(rows, n_rows, run, "key long, i int, j int, doc long, asks boolean")
+    return dealt_blocks(rows, n_rows, run, LINKS)
 
 
-def bucket_links(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
-    """Exact links between components within blocks of a bucket: rows that ask against the others."""
+def block_links(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
+    """Exact links between components within blocks: rows that ask against the others."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sets, docs, component = group["set"].tolist(), group["doc"].to_numpy(), group["component"].to_numpy()
@@ -258,32 +272,48 @@ def bucket_links(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
     return dealt_blocks(rows, n_rows, run, LINKS)
 
 
-def rest(members: DataFrame, labels: DataFrame, signed: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links that the first comparisons left open: in buckets with several components, members outside the largest one
-    are compared with the whole bucket, in blocks of at most BLOCK by BLOCK rows."""
-    known = members.select("key", "doc", "n").join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    per = known.groupBy("key", "component").agg(F.count("*").alias("size"))
-    most = per.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_rows = stage(known.join(most.select("key", F.col("top.component").alias("largest"), F.col("top.size").alias("size")), "key"), "open")
-    full = open_rows.join(signed.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("set_size"), "planes"), "doc")
-    blocks, asking = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("size")) / BLOCK).cast("int")
+def in_blocks(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (key, doc, component, size, planes) of every key with several components, dealt into blocks (i, j) of it with
+    ``asks``, and about how many those are: members outside the key's largest component are compared with all of it."""
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("own"), F.sum("size").alias("shingles"))
+    most = per.groupBy("key").agg(F.max(F.struct("own", "component", "shingles")).alias("top"), F.sum("own").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    asking = F.greatest(F.ceil((F.col("n") - F.col("top.own")) / BLOCK), F.ceil((F.col("shingles") - F.col("top.shingles")) / BLOCK_SHINGLES)).cast("int")
+    most = most.select("key", F.col("top.component").alias("largest"), blocks.alias("blocks"), asking.alias("asking"))
+    full = stage(rows.join(most, "key"), "open")
+    n_dealt = full.agg(F.sum(F.col("asking") + F.when(F.col("component") != F.col("largest"), F.col("blocks")).otherwise(0))).first()[0] or 0
     mine = F.xxhash64("doc")
-    base = F.struct(F.lit(False).alias("asks"), F.pmod(mine, blocks).cast("int").alias("own"), F.sequence(F.lit(0), asking - 1).alias("others"))
-    asked = F.struct(F.lit(True).alias("asks"), F.pmod(mine, asking).cast("int").alias("own"), F.sequence(F.lit(0), blocks - 1).alias("others"))
+    base = F.struct(F.lit(False).alias("asks"), F.pmod(mine, F.col("blocks")).cast("int").alias("own"), F.sequence(F.lit(0), F.col("asking") - 1).alias("others"))
+    asked = F.struct(F.lit(True).alias("asks"), F.pmod(mine, F.col("asking")).cast("int").alias("own"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("others"))
     roles = full.withColumn("role", F.explode(F.when(F.col("component") != F.col("largest"), F.array(base, asked)).otherwise(F.array(base))))
     dealt = roles.withColumn("other", F.explode("role.others")).select(
-        "key", "doc", "component", F.col("set_size").alias("size"), "planes", "role.asks",
+        "key", "doc", "component", "size", "planes", "role.asks",
         F.when(F.col("role.asks"), F.col("other")).otherwise(F.col("role.own")).alias("i"),
         F.when(F.col("role.asks"), F.col("role.own")).otherwise(F.col("other")).alias("j"),
     )
-    n_dealt = open_rows.agg(F.sum(asking.cast("long") + F.when(F.col("component") != F.col("largest"), blocks).otherwise(0))).first()[0] or 0
-    close = stage(plausible(dealt, n_dealt, percent), "plausible")
-    n_close = close.count()
-    if not n_close:
-        return close.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
-    own = labels.withColumnRenamed("component", "known")
-    again = close.join(sets_of(close.select("doc").distinct()), "doc").join(signed.select(F.col("doc_id").alias("doc"), "planes"), "doc").join(own, "doc", "left")
-    return bucket_links(again.withColumn("component", F.coalesce("known", "doc")).drop("known"), n_close, percent)
+    return dealt, n_dealt
+
+
+def rest(members: DataFrame, labels: DataFrame, signed: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links that the first comparisons left open, between the components of a bucket.
+
+    Signatures alone tell which documents may still link; documents that may link, directly or through others, form a
+    neighbourhood.  A pair meets in one neighbourhood however many buckets it shares, so sets move once for each block of it."""
+    own = labels.withColumn("component", F.coalesce("component", "doc"))
+    features = signed.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "planes")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(own, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+    several = labelled(members.select("key", "doc")).groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+    near = stage(likely_graph(*in_blocks(labelled(members.select("key", "doc").join(several, "key")).join(features, "doc")), percent), "near")
+    ids = stage(near.where("a = b").select(F.col("a").alias("doc")).distinct(), "near-ids")
+    if ids.isEmpty():
+        return near
+    graph = near.where("a != b").unionByName(own.select(F.col("doc").alias("a"), F.col("component").alias("b")))
+    where = components(graph).select("doc", F.col("component").alias("key"))
+    dealt, n_dealt = in_blocks(labelled(ids.join(where, "doc")).join(features, "doc"))
+    return block_links(dealt.join(sets_of(ids), "doc"), n_dealt, percent)
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -296,9 +326,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     pairs = stage(likely(first_pairs(members), signed, percent), "pairs")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return set_rows(docs.join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), size)
+        return set_rows(only(docs, ids.withColumnRenamed("doc", "doc_id")), size)
 
-    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    ids = stage(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "ids")
     links = stage(exact(pairs, sets_of(ids), percent), "links")
     labels = stage(components(links), "components")
     more = stage(rest(members, labels, signed, sets_of, percent), "links")
