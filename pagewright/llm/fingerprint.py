@@ -3,7 +3,7 @@
 A document is the multiset of its paragraphs (lines).  Each paragraph hashes to a wide vector, and
 the document's fingerprint is the sum of those vectors modulo powers of two, so order doesn't
 matter and paragraphs are inserted and deleted by adding and subtracting.  Two halves: ``EXACT``
-lanes of 64 random bits modulo 2**64 for equality, and ``SIGNS`` lanes modulo 2**16 of plus or minus
+lanes of 64 random bits modulo 2**64 for equality, and ``SIGNS`` lanes modulo 2**32 of plus or minus
 one for each of a paragraph's stretches of ``UNIT`` words, whose products estimate what two documents share.
 
 Null text is empty; an empty text has the zero fingerprint; rows with a null doc_id are left out;
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import keyed, partitions
 
 EXACT, SIGNS, UNIT = 8, 256, 8
+#: Bytes of text, about, in one range of documents that a task goes through.
+RANGE_BYTES = 64 << 20
 
 
 def exact_vectors(paragraphs: list[bytes]) -> np.ndarray:
@@ -57,11 +59,11 @@ class Fingerprint:
         return self
 
     def hex(self) -> str:
-        return (self.exact.astype("<u8").tobytes() + self.signs.astype("<i8").astype("<u2").tobytes()).hex()
+        return (self.exact.astype("<u8").tobytes() + self.signs.astype("<i8").astype("<u4").tobytes()).hex()
 
 
 def lanes(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint)[EXACT * 8 :], "<i2").astype(np.float64)
+    return np.frombuffer(bytes.fromhex(fingerprint)[EXACT * 8 :], "<i4").astype(np.float64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -94,14 +96,15 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 
 
-def with_successors(documents: DataFrame) -> DataFrame:
+def with_successors(documents: DataFrame) -> tuple[DataFrame, int]:
     """Documents dealt into ranges of descending doc_id, each followed by a copy (``ghost``) of the row that comes next
-    in the whole order: the first row of the following range, and for the last range the first row of all.
+    in the whole order: the first row of the following range, and for the last range the first row of all; and how many
+    ranges there are at most.
 
     The bounds are numbers, one for each partition; texts move once."""
     rows = keyed(documents)
     spark = rows.sparkSession
-    n = 2 * partitions(spark)
+    n = max(2 * partitions(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     bounds = -np.unique(np.array(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n), np.int64))[::-1]
 
     @F.pandas_udf("int")
@@ -111,12 +114,12 @@ def with_successors(documents: DataFrame) -> DataFrame:
     ranged = rows.withColumn("range", range_of("doc_id")).withColumn("ghost", F.lit(False))
     heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head")).orderBy("range").collect()  # one row for each range
     if not heads:
-        return ranged
+        return ranged, 1
     to = spark.createDataFrame([(h["head"], heads[i - 1]["range"]) for i, h in enumerate(heads)], "doc_id long, to int")
     # Rows that share a head's id: the least text comes first, and only that one is copied.
     tied = Window.partitionBy("doc_id").orderBy("text")
     copies = rows.join(F.broadcast(to), "doc_id").withColumn("nth", F.row_number().over(tied)).where("nth = 1")
-    return ranged.unionByName(copies.select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("ghost")))
+    return ranged.unionByName(copies.select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("ghost"))), n
 
 
 def edited(documents: DataFrame) -> DataFrame:
@@ -124,8 +127,7 @@ def edited(documents: DataFrame) -> DataFrame:
 
     The edited fingerprint is made incrementally: paragraphs of the replaced half are deleted from the document's own
     fingerprint and the new ones inserted."""
-    dealt = with_successors(documents)
-    n = 2 * partitions(dealt.sparkSession)
+    dealt, n = with_successors(documents)
     ordered = dealt.repartition(n, "range").sortWithinPartitions("range", "ghost", F.desc("doc_id"), "text")
 
     def run(batches):
