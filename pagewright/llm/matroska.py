@@ -2,8 +2,9 @@
 
 A payload of 8-bit samples becomes a Matroska file with one PCM track: an EBML header, a segment
 with info, tracks, clusters of laced simple blocks, and cues.  Reading parses variable-length EBML
-elements anew, follows clusters, all four lacings and block groups, and gives a packet table with
-timestamps, tracks and byte ranges; cues are checked against cluster positions.
+elements anew, of known and of unknown size, takes the timestamp scale and the tracks' frame durations from
+the file, follows clusters, all four lacings and block groups, and gives a packet table with timestamps,
+tracks and byte ranges; cues are checked against cluster positions.
 
 A null text is an empty one, whose payload is one frame of spaces; rows with a null doc_id are left
 out; equal texts give equal files, digests and features; an empty table gives an empty result.
@@ -27,7 +28,10 @@ LACED, BLOCKS, RATE = 8, 16, 8000  # frames in a block, blocks in a cluster, sam
 # Element ids of the Matroska specification (fixed values).
 EBML, SEGMENT, INFO, TRACKS, ENTRY, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP, SIMPLE, GROUP, BLOCK, POINT, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0xE7, 0xA3, 0xA0, 0xA1, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-_MASTER = {SEGMENT, INFO, TRACKS, ENTRY, CLUSTER, CUES, GROUP, POINT, CUE_AT, EBML, 0xE1}
+SCALE, NUMBER, DURATION, CODEC = 0x2AD7B1, 0xD7, 0x23E383, 0x86
+#: What ends an element of unknown size: the ids of its own level and above.
+_TOP = {EBML, SEGMENT}
+_LEVEL_1 = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
 
 
 def vint(n: int, width: int = 0) -> bytes:
@@ -77,12 +81,26 @@ def read_vint(raw: bytes, at: int, marker: bool) -> tuple[int, int]:
     return (n if marker else n & (1 << 7 * width) - 1), at + width
 
 
+def _sized(raw: bytes, at: int, hi: int, key: int) -> tuple[int, int]:
+    """(body's start, body's end) of the element whose size stands at ``at``.  One of unknown size ends before the next id of
+    its own level or a higher one, or at ``hi``."""
+    size, body = read_vint(raw, at, False)
+    if size < (1 << 7 * (body - at)) - 1:
+        return body, body + size
+    ends, end = _TOP if key == SEGMENT else _TOP | _LEVEL_1, body
+    while end < hi:
+        inner, at = read_vint(raw, end, True)
+        if inner in ends:
+            break
+        end = _sized(raw, at, hi, inner)[1]
+    return body, end
+
+
 def elements(raw: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, place, body's start, body's end) of the elements in [lo, hi); an unknown size runs to ``hi``."""
+    """(id, place, body's start, body's end) of the elements in [lo, hi)."""
     while lo < hi:
         key, at = read_vint(raw, lo, True)
-        size, body = read_vint(raw, at, False)
-        end = hi if size == (1 << 7 * (body - at)) - 1 else body + size
+        body, end = _sized(raw, at, hi, key)
         if end > hi:
             raise ValueError(f"element {key:#x} at byte {lo} ends outside its parent")
         yield key, lo, body, end
@@ -112,13 +130,11 @@ def frames_of(raw: bytes, at: int, end: int) -> tuple[int, int, list[tuple[int,
             at += 1
         sizes.append(end - at - sum(sizes))
     else:
-        size, at = read_vint(raw, at, False)
-        sizes = [size]
-        for _ in range(n - 2):
+        sizes = []
+        for k in range(n - 1):  # the last frame has what is left; a lace of one frame codes no size
             was = at
-            delta, at = read_vint(raw, at, False)
-            sizes.append(sizes[-1] + delta - ((1 << 7 * (at - was) - 1) - 1))
-        sizes = sizes[: n - 1]
+            size, at = read_vint(raw, at, False)
+            sizes.append(sizes[-1] + size - ((1 << 7 * (at - was) - 1) - 1) if k else size)
         sizes.append(end - at - sum(sizes))
     out = []
     for size in sizes:
@@ -129,33 +145,59 @@ def frames_of(raw: bytes, at: int, end: int) -> tuple[int, int, list[tuple[int,
     return track, relative, out
 
 
+def whole(raw: bytes, lo: int, hi: int) -> int:
+    return int.from_bytes(raw[lo:hi], "big")
+
+
+def tracks(raw: bytes, lo: int, hi: int) -> dict[int, tuple[int, str]]:
+    """{track number: (default duration of a frame in ns, 0 if not given; codec)} of a Tracks element's body."""
+    out = {}
+    for key, _, a, b in elements(raw, lo, hi):
+        if key == ENTRY:
+            own = {k: (c, d) for k, _, c, d in elements(raw, a, b)}
+            out[whole(raw, *own[NUMBER])] = (whole(raw, *own.get(DURATION, (0, 0))), raw[slice(*own.get(CODEC, (0, 0)))].decode("ascii", "replace"))
+    return out
+
+
 def packets(raw: bytes) -> list[tuple[int, int, int, int]]:
-    """(track, timestamp in ms, first byte, byte behind the last) of every frame, in file order."""
+    """(track, timestamp in ms, first byte, byte behind the last) of every frame, in file order.
+
+    Times come from the file's own timestamp scale; a lace's later frames follow by their track's default duration, and
+    share the block's time if the track gives none."""
     out: list[tuple[int, int, int, int]] = []
-    clusters, cues = {}, []
     for key, _, lo, hi in elements(raw, 0, len(raw)):
-        if key != SEGMENT:
-            continue
-        for inner, place, a, b in elements(raw, lo, hi):
-            if inner == CLUSTER:
-                time = 0
-                for k, _, c, d in elements(raw, a, b):
-                    if k == TIMESTAMP:
-                        time = int.from_bytes(raw[c:d], "big")
-                        clusters[place - lo] = time
-                    blocks = [(c, d)] if k == SIMPLE else [(e, f) for g, _, e, f in elements(raw, c, d) if g == BLOCK] if k == GROUP else []
-                    for e, f in blocks:
-                        track, relative, ranges = frames_of(raw, e, f)
-                        out += [(track, time + relative + i * (FRAME * 1000 // RATE), x, y) for i, (x, y) in enumerate(ranges)]
-            elif inner == CUES:
-                for _, _, c, d in elements(raw, a, b):
-                    point = {k: (e, f) for k, _, e, f in elements(raw, c, d)}
-                    where = {k: int.from_bytes(raw[e:f], "big") for k, _, e, f in elements(raw, *point[CUE_AT])}
-                    cues.append((where[CUE_CLUSTER], int.from_bytes(raw[slice(*point[CUE_TIME])], "big")))
+        if key == SEGMENT:
+            out += _segment_packets(raw, lo, hi)
+    return out
+
+
+def _segment_packets(raw: bytes, lo: int, hi: int) -> list[tuple[int, int, int, int]]:
+    scale, lasting, clusters, cues, laces = 1_000_000, {}, {}, [], []
+    for inner, place, a, b in elements(raw, lo, hi):
+        if inner == INFO:
+            scale = next((whole(raw, c, d) for k, _, c, d in elements(raw, a, b) if k == SCALE), scale)
+        elif inner == TRACKS:
+            lasting |= {n: ns for n, (ns, _) in tracks(raw, a, b).items()}
+        elif inner == CLUSTER:
+            time = 0
+            for k, _, c, d in elements(raw, a, b):
+                if k == TIMESTAMP:
+                    time = whole(raw, c, d)
+                    clusters[place - lo] = time
+                blocks = [(c, d)] if k == SIMPLE else [(e, f) for g, _, e, f in elements(raw, c, d) if g == BLOCK] if k == GROUP else []
+                laces += [(time, *frames_of(raw, e, f)) for e, f in blocks]
+        elif inner == CUES:
+            for _, _, c, d in elements(raw, a, b):
+                point = {k: (e, f) for k, _, e, f in elements(raw, c, d)}
+                where = {k: whole(raw, e, f) for k, _, e, f in elements(raw, *point[CUE_AT])}
+                cues.append((where[CUE_CLUSTER], whole(raw, *point[CUE_TIME])))
     for place, time in cues:
         if clusters.get(place) != time:
             raise ValueError(f"a cue names a cluster at {place}, time {time}, that isn't there")
-    return out
+    return [
+        (track, ((time + relative) * scale + i * lasting.get(track, 0)) // 1_000_000, x, y)
+        for time, track, relative, ranges in laces for i, (x, y) in enumerate(ranges)
+    ]
 
 
 def feature(samples: np.ndarray) -> str:
