@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but
 the last return the columns of documents.  :func:`run` writes each stage's rows as Parquet to the
 folder that the cluster shares and reads them again as the next stage's docs.
+
+A null text counts as empty: it is scored like one, is no near duplicate, has no passages, and is packed as
+its end token.  Rows without a doc_id pass the filtering stages (they are scored, but nothing is a duplicate of
+them) and aren't packed.  Of rows that share a doc_id, the one with the least text decides for all of them whether
+they are near duplicates, and it alone stays from the third stage on.  Ties have no effect: of near duplicates the
+least doc_id stays.  Empty tables give empty results at every stage.  Columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import minhash, packing, toxicity, window_index
-from pagewright.llm.common import stage, table
+from pagewright.llm.common import only, stage, table, unstage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Scores from here on are rejected.
@@ -28,15 +34,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 6): five-word shingles, similarity of 0.8 or more."""
-    kept = minhash.near_duplicates(docs, 5, 80).where("kept").select("doc_id")
-    return minhash.one_per_id(docs, COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    gone = stage(minhash.near_duplicates(docs, 5, 80).where("not kept").select("doc_id"), "gone")
+    return only(docs, gone, how="left_anti").select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words under windows of 35 words that occur more than once (operator 9); others stay as they are."""
-    changed = window_index.dedup(docs, 35).where("n_removed > 0").select("doc_id", F.col("kept").alias("kept_text"))
-    text = F.coalesce("kept_text", "text")
-    return docs.join(changed, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long").alias("n_chars"))
+    cut = window_index.dedup(docs, 35, carry=("text", "lang", "source", "n_chars"))
+    text, n = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", text.alias("text"), "lang", "source", n.cast("long").alias("n_chars")).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    before = None
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
