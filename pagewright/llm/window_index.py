@@ -172,7 +172,7 @@ def batch_of(doc_id, batches: int):
 def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept string, spans (of words) for every document, and the columns of ``carry``; the index
     takes the documents in batches, each one's matches with the history and itself before the next."""
-    rows = one_per_id(documents, ["doc_id", "text", *carry] if carry else None).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = one_per_id(documents, list(dict.fromkeys(["doc_id", "text", *carry])) if carry else None).withColumn("text", F.coalesce("text", F.lit("")))
     texts = rows.select("doc_id", "text")
     index = FingerprintIndex(rows.sparkSession)
     segments = stage(segment_rows(texts, _items, window, gram), "word-segments")
