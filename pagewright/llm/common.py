@@ -15,13 +15,27 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker: with both sides' copies, a task holds a few times as much.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, not only by rows, unless it has a closer bound."""
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(_BATCH) or "")
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keyed(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key as long, text): a null text is the empty text; rows with a null key can't be named in
     a result and are left out.  Every other column is dropped here, so clashing names can't arise."""
+    small_batches(frame.sparkSession)
     return frame.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)
     )
@@ -98,6 +112,7 @@ def one_per_id(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     Gives :func:`keyed` rows, or the columns asked for.  Only ids are compared first, so tables that keep the rule
     pay no shuffle of texts."""
+    small_batches(frame.sparkSession)
     rows = keyed(frame) if columns is None else frame.where(F.col("doc_id").isNotNull()).select(*columns)
     if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         return rows
