@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import flat, keyed
+from .common import flat, keyed, tidy
 from .segments import SliceIds
 
 # Character classes; *_LAST: white space with a character that isn't white space behind it.
@@ -215,7 +215,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo : lo + len(at) - 1], lists], ["doc_id", "ids"])
 
-    return keyed(documents).mapInArrow(run, "doc_id long, ids array<int>")
+    return keyed(documents).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -227,7 +227,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             got = [bpe.decode(np.asarray(ids, np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], ["doc_id", "content"])
 
-    return encoded.mapInArrow(run, "doc_id long, content binary")
+    return encoded.mapInArrow(tidy(run), "doc_id long, content binary")
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
@@ -249,4 +249,4 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return keyed(documents).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return keyed(documents).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

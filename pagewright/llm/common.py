@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once; a longer document is handled alone, whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker: with both sides' copies, a task holds a few times as much.
@@ -74,6 +76,19 @@ def unstage(*frames: DataFrame) -> None:
         removed(frame.sparkSession, frame._staged_at)
 
 
+def tidy(run):
+    """A function for mapInArrow that gives memory back when its partition is done: workers are used again, by tasks of
+    other operators too, and allocators keep what once was needed."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, partitions
+from .common import keyed, partitions, tidy
 
 EXACT, SIGNS, UNIT = 8, 256, 8
 #: Bytes of text, about, in one range of documents that a task goes through.
@@ -90,7 +90,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([of(t).hex() for t in batch.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return keyed(documents).mapInArrow(run, "doc_id long, fingerprint string")
+    return keyed(documents).mapInArrow(tidy(run), "doc_id long, fingerprint string")
 
 
 RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
@@ -144,7 +144,7 @@ def edited(documents: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), RESULT)], [k for k, _ in RESULT])
 
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def compare(key: int, text: str, own: Fingerprint, own_hex: str, own_lanes: np.ndarray, following: str, next_lanes: np.ndarray) -> tuple:

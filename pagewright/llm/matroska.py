@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import flat, keyed
+from .common import flat, keyed, tidy
 
 FRAME = 192  # samples of one frame: 24 ms at 8000 Hz
 LACED, BLOCKS, RATE = 8, 16, 8000  # frames in a block, blocks in a cluster, samples a second
@@ -221,7 +221,7 @@ def to_media(documents: DataFrame) -> DataFrame:
             media = [mux(padded(raw[a:b])) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(media, pa.large_binary()).cast(pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return keyed(documents).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return keyed(documents).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def packet_table(media: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def packet_table(media: DataFrame) -> DataFrame:
                 columns = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "packet", "track", "timestamp_ms", "byte_start", "byte_end"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, packet long, track long, timestamp_ms long, byte_start long, byte_end long")
+    return media.select("doc_id", "media").mapInArrow(tidy(run), "doc_id long, packet long, track long, timestamp_ms long, byte_start long, byte_end long")
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -251,4 +251,4 @@ def read_media(media: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], [k for k, _ in kinds])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long")
+    return media.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long")

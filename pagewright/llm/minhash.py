@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, one_per_id, only, slices, stage, unstage
+from .common import flat, one_per_id, only, slices, stage, tidy, unstage
 from .hashing import grams, mix, spans, words
 
 BANDS, ROWS_IN_BAND, PLANES = 32, 4, 2
@@ -103,7 +103,7 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
                     ["doc_id", "n_shingles", "digest", "bands", "planes"],
                 )
 
-    return documents.mapInArrow(run, SIGNED)
+    return documents.mapInArrow(tidy(run), SIGNED)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def set_rows(documents: DataFrame, size: int) -> DataFrame:
                 values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.ListArray.from_arrays(pa.array(at), values)], ["doc", "set"])
 
-    return documents.mapInArrow(run, "doc long, set array<long>")
+    return documents.mapInArrow(tidy(run), "doc long, set array<long>")
 
 
 def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, keyed, stage
+from .common import flat, keyed, stage, tidy
 from .segments import library_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long, ids binary"
@@ -58,7 +58,7 @@ def pieces(documents: DataFrame, path: str, capacity: int, end_id: int) -> DataF
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], [c.split()[0] for c in PIECES.split(", ")])
 
-    return keyed(documents).mapInArrow(run, PIECES)
+    return keyed(documents).mapInArrow(tidy(run), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import segments
-from .common import flat, partitions, slices, stage
+from .common import flat, partitions, slices, stage, tidy
 from .hashing import digests
 
 ROWS = "doc_id long, start int, count int, key long, content long, more long, twice boolean"
@@ -43,7 +43,7 @@ def segment_rows(documents: DataFrame, items: Callable, window: int, gram: int)
                     ["doc_id", "start", "count", "key", "content", "more", "twice"],
                 )
 
-    return documents.mapInArrow(run, ROWS)
+    return documents.mapInArrow(tidy(run), ROWS)
 
 
 def repeated_keys(rows: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def with_bodies(documents: DataFrame, compare: DataFrame, body: Callable) -> Dat
             if parts:
                 yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
-    return documents.join(by_doc, "doc_id").mapInArrow(run, "key long, doc_id long, start int, count int, n long, common boolean, body binary")
+    return documents.join(by_doc, "doc_id").mapInArrow(tidy(run), "key long, doc_id long, start int, count int, n long, common boolean, body binary")
 
 
 def by_key(frame: DataFrame) -> DataFrame:

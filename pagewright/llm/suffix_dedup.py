@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, flat, one_per_id, partitions, runs, stage, unstage
+from .common import covered, flat, one_per_id, partitions, runs, stage, tidy, unstage
 from .hashing import digests, mix, packed
 from .repeats import blocks, by_key, repeated, repeated_keys, segment_rows, spans_by_document, to_compare, with_bodies
 
@@ -230,7 +230,7 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     copies = some.join(again, ["key", "content", "more"]).where("doc_id != first_doc or start != first_start")
     whole = copies.select("doc_id", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("count") + F.lit(window - 1)).cast("long").alias("hi"))
     compare = stage(to_compare(contents), "compare")
-    found = by_key(with_bodies(documents, compare.where("not common"), body)).mapInArrow(lambda b: _later(b, window), SPANS)
+    found = by_key(with_bodies(documents, compare.where("not common"), body)).mapInArrow(tidy(lambda b: _later(b, window)), SPANS)
     out = whole.unionByName(found)
     common = compare.where("common")
     return out if common.isEmpty() else out.unionByName(common_key_spans(with_bodies(documents, common, body), window))
@@ -240,10 +240,10 @@ def common_key_spans(bodies: DataFrame, window: int) -> DataFrame:
     """The same for keys with very many contents: their segments are dealt out over shards, and shards are merged."""
     n = partitions(bodies.sparkSession)
     dealt = stage(bodies.repartition(n, "key", "doc_id").sortWithinPartitions("key", "doc_id", "start"), "common")
-    within = dealt.mapInArrow(lambda b: _later(b, window, False), SPANS)
-    rows = dealt.mapInArrow(lambda b: _window_rows(b, window), "one long, two long, shard long, doc_id long, at long")
+    within = dealt.mapInArrow(tidy(lambda b: _later(b, window, False)), SPANS)
+    rows = dealt.mapInArrow(tidy(lambda b: _window_rows(b, window)), "one long, two long, shard long, doc_id long, at long")
     merged = rows.repartition(n, "one", "two").sortWithinPartitions("one", "two", "shard")
-    return within.unionByName(merged.mapInArrow(lambda b: _merged(b, window), SPANS))
+    return within.unionByName(merged.mapInArrow(tidy(lambda b: _merged(b, window)), SPANS))
 
 
 def dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -266,7 +266,7 @@ def dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64())))))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    return rows.join(spans_of, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
+    return rows.join(spans_of, "doc_id", "left").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
 
 
 def digest(deduped: DataFrame) -> DataFrame:

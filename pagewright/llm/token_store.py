@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat, keyed, partitions, scratch, stage, unstage
+from .common import flat, keyed, partitions, scratch, stage, tidy, unstage
 from .hashing import grams, mix
 from .segments import library_ids
 
@@ -119,7 +119,7 @@ def chunked(documents: DataFrame, path: str, end_id: int) -> DataFrame:
                         last = e
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "row", "k", "n", "digest", "body"])
 
-    return keyed(documents).mapInArrow(run, CHUNKS)
+    return keyed(documents).mapInArrow(tidy(run), CHUNKS)
 
 
 def _root(chunks):
@@ -163,7 +163,7 @@ def write(documents: DataFrame, path: str, folder: str, end_id: int = 2) -> None
 
     stored = made.sparkSession.read.parquet(f"{folder}/recipes")
     by_part = stored.select("part", "doc_id", "row", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "doc_id", "row")
-    by_part.mapInArrow(manifest, "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{folder}/manifest")
+    by_part.mapInArrow(tidy(manifest), "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{folder}/manifest")
     unstage(made, raw)
 
 
@@ -181,7 +181,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 good.append(hashlib.sha256(body).digest() == digest and len(ids) == n)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column("n"), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], ["digest", "n", "crc", "good"])
 
-    stored = spark.read.parquet(f"{folder}/chunks").mapInArrow(check, "digest binary, n long, crc long, good boolean")
+    stored = spark.read.parquet(f"{folder}/chunks").mapInArrow(tidy(check), "digest binary, n long, crc long, good boolean")
     recipes = spark.read.parquet(f"{folder}/recipes")
     steps = recipes.select("doc_id", "row", "start", "n_tokens", "root", F.posexplode("chunks").alias("k", "digest"))
     got = steps.join(stored, "digest").groupBy("doc_id", "row", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("k", "n", "crc", "digest", "good"))).alias("c"))
@@ -197,7 +197,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 good.append(all(x["good"] for x in own) and sum(x["n"] for x in own) == n and _merkle([x["digest"] for x in own]) == root)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    return got.mapInArrow(follow, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return got.mapInArrow(tidy(follow), "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def new_folder(spark: SparkSession) -> str:

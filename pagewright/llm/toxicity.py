@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod4, flat, keyed, slices
+from .common import crc_mod4, flat, keyed, slices, tidy
 from .hashing import text_words
 
 MIN_DOCS, MIN_GAIN, MIN_POSTERIOR, MOST_WORDS, CAUTION = 4, 20.0, 0.4, 4096, 0.8
@@ -159,7 +159,7 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 6000, unlabe
             yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(got, pa.binary())], ["kind", "words"])
 
     # Bounded by the two parameters, so broadcasting the ids and collecting the features is too.
-    rows = keyed(documents).join(F.broadcast(ids), "doc_id").mapInArrow(features, "kind int, words binary").toArrow()
+    rows = keyed(documents).join(F.broadcast(ids), "doc_id").mapInArrow(tidy(features), "kind int, words binary").toArrow()
     words = [np.frombuffer(w.as_buffer(), np.uint64) for w in rows.column("words")]
     kinds = rows.column("kind").to_pylist()
     return fit([w for w, k in zip(words, kinds) if k == 1], [w for w, k in zip(words, kinds) if k == 0], prior)
@@ -172,7 +172,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(*flat(batch.column("text"))), pa.float64())], ["doc_id", "score"])
 
-    return keyed(documents).mapInArrow(run, "doc_id long, score double")
+    return keyed(documents).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def score_column(model: Model, text: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import covered, flat, one_per_id, partitions, removed, runs, scratch, stage, unstage
+from .common import covered, flat, one_per_id, partitions, removed, runs, scratch, stage, tidy, unstage
 from .hashing import digests, names, window_names, words
 from .repeats import blocks, by_key, repeated, segment_rows, spans_by_document, to_compare, with_bodies
 
@@ -152,14 +152,14 @@ def removed_spans(documents: DataFrame, segments: DataFrame, keys: DataFrame, wi
     whole = some.join(again, ["key", "content", "more"]).select("doc_id", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("count") + F.lit(window - 1)).cast("long").alias("hi"))
     compare = stage(to_compare(contents), "compare")
     body = lambda data, start, count: _body(data, start, count, window)
-    found = by_key(with_bodies(documents, compare.where("not common"), body)).mapInArrow(lambda b: _repeats(b, window), SPANS)
+    found = by_key(with_bodies(documents, compare.where("not common"), body)).mapInArrow(tidy(lambda b: _repeats(b, window)), SPANS)
     out = whole.unionByName(found)
     common = compare.where("common")
     if common.isEmpty():
         return out
     # Very common keys: windows meet by their own digests, which Spark pre-aggregates and deals out.
     dealt = with_bodies(documents, common, body).repartition(partitions(documents.sparkSession), "key", "doc_id").sortWithinPartitions("key")
-    each = stage(dealt.mapInArrow(lambda b: _digest_rows(b, window), "one long, two long, n long, doc_id long, at long"), "window-digests")
+    each = stage(dealt.mapInArrow(tidy(lambda b: _digest_rows(b, window)), "one long, two long, n long, doc_id long, at long"), "window-digests")
     twice = each.groupBy("one", "two").agg(F.sum("n").alias("times")).where("times > 1").select("one", "two")
     hit = each.where("n = 1").join(twice, ["one", "two"]).select("doc_id", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
     return out.unionByName(hit)
@@ -200,7 +200,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches:
                 ["doc_id", "n_words", "n_removed", "kept", "spans", *carry],
             )
 
-    return rows.join(spans_of, "doc_id", "left").mapInArrow(run, ", ".join(["doc_id long, n_words long, n_removed long, kept string, spans array<array<long>>", *extra]))
+    return rows.join(spans_of, "doc_id", "left").mapInArrow(tidy(run), ", ".join(["doc_id long, n_words long, n_removed long, kept string, spans array<array<long>>", *extra]))
 
 
 def digest(deduped: DataFrame) -> DataFrame:

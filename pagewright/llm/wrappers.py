@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import small_batches, stage, tidy
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -376,7 +376,7 @@ def page_slots(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), *made], ["page_id", "url", "host", "stream", "digest", "texts", "sizes"])
 
     kind = "page_id long, url string, host string, stream string, digest binary, texts array<struct<leaf:int,text:string,link:boolean>>, sizes array<struct<plain:long,linked:long,text:long>>"
-    return pages.select("page_id", "url", "host", "html").mapInArrow(run, kind)
+    return pages.select("page_id", "url", "host", "html").mapInArrow(tidy(run), kind)
 
 
 def wrappers(unique: DataFrame) -> DataFrame:
@@ -413,7 +413,7 @@ def slot_numbers(unique: DataFrame, whole: DataFrame) -> DataFrame:
                 numbers += own
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(streams, pa.string()), pa.array(leaves, pa.int32()), pa.array(numbers, pa.int32())], ["host", "stream", "leaf", "slot"])
 
-    return unique.join(whole, "host").select("host", "stream", "wrapper").mapInArrow(run, "host string, stream string, leaf int, slot int")
+    return unique.join(whole, "host").select("host", "stream", "wrapper").mapInArrow(tidy(run), "host string, stream string, leaf int, slot int")
 
 
 def contents(seen: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -436,7 +436,7 @@ def contents(seen: DataFrame, numbers: DataFrame) -> DataFrame:
             columns = list(zip(*out)) if out else [[], []]
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("stream"), *[pa.array(c, pa.list_(pa.int32())) for c in columns]], ["host", "stream", "content", "links"])
 
-    return lists.mapInArrow(run, "host string, stream string, content array<int>, links array<int>")
+    return lists.mapInArrow(tidy(run), "host string, stream string, content array<int>, links array<int>")
 
 
 def content_slots(weights: list[tuple[tuple[str, ...], int, int, bool]]) -> tuple[list[int], list[int]]:
