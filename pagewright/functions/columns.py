@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORDS = "array<struct<text:string,hpos:bigint,width:bigint>>"
+#: Values that :func:`chunked_fold` gathers at once.
+FOLD = 64
 #: White space except the three no-break spaces, which belong to words.
 SPACE_TOKEN = r"(?U)^[^\S\x{A0}\x{202F}\x{2007}]+$"
 
@@ -42,6 +44,31 @@ def admissible(words: Column, least: int = 2) -> Column:
     return F.when(n >= max(least, 1), ~bad & F.forall(pairs, lambda ok: ok)).otherwise(n >= least)
 
 
+def chunked_fold(values: Column, state: dict[str, Column], out: str, step) -> Column:
+    """Folds an array from left to right into an array of ``out``: ``step(state, value)`` gives (new state, item).
+
+    Items are gathered by chunks, so a long array isn't copied for each of its values."""
+    n = F.size(values)
+    parts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int"))).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast(f"array<{out}>")
+    names = list(state)
+
+    def inner(a: Column, v: Column) -> Column:
+        new, item = step({k: a[k] for k in names}, v)
+        return F.struct(*[new[k].alias(k) for k in names], F.concat(a["out"], F.array(item)).alias("out"))
+
+    def outer(a: Column, part: Column) -> Column:
+        start = F.struct(*[a[k].alias(k) for k in names], none.alias("out"))
+        return F.aggregate(F.slice(values, part * FOLD + 1, F.lit(FOLD)), start, inner, lambda b: F.struct(*[b[k].alias(k) for k in names], F.concat(a["out"], b["out"]).alias("out")))
+
+    return F.aggregate(parts, F.struct(*[c.alias(k) for k, c in state.items()], none.alias("out")), outer, lambda a: a["out"])
+
+
+def before_each(values: Column, start: Column) -> Column:
+    """For each of the whole numbers: ``start`` and the sum of those before it."""
+    return chunked_fold(values, {"x": start.cast("bigint")}, "bigint", lambda a, v: ({"x": a["x"] + v}, a["x"]))
+
+
 def line_box(words: Column) -> tuple[Column, Column]:
     """(hpos, width) from the first to the last word."""
     first, last = F.element_at(words, 1), F.element_at(words, -1)

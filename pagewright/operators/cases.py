@@ -10,14 +10,14 @@ from ..functions.columns import characters, gaps, interleaved, right
 KEYS = ["corpus", "file", "line_ord"]
 
 
-def _case(frame: DataFrame) -> DataFrame:
-    """Boxes, tokens and gaps of a ``words`` window; windows with overlapping words are no cases."""
+def _case(frame: DataFrame, *carried) -> DataFrame:
+    """Boxes, tokens and gaps of a ``words`` window, and columns to carry; windows with overlapping words are no cases."""
     w = F.col("words")
     clear = F.forall(gaps(w), lambda g: g["end"] >= g["start"])
     first, last = F.element_at(w, 1), F.element_at(w, -1)
     return frame.where(clear).select(
         *KEYS, "first", w.alias("words"), F.array_join(F.transform(w, lambda x: x["text"]), "").alias("source"), interleaved(w).alias("tokens"), gaps(w).alias("gaps"),
-        first["hpos"].alias("box_hpos"), (right(last) - first["hpos"]).alias("box_width"), (characters(w) + F.size(w) - 1).alias("n_chars"),
+        first["hpos"].alias("box_hpos"), (right(last) - first["hpos"]).alias("box_width"), (characters(w) + F.size(w) - 1).alias("n_chars"), *carried,
     )
 
 
@@ -29,16 +29,31 @@ def merge_cases(lines: DataFrame, run: int = 2) -> DataFrame:
 
 def line_cases(lines: DataFrame, in_line_box: bool = False) -> DataFrame:
     """One case for every line: all its words, in their union box or in the line's own if that holds it."""
-    out = _case(lines.withColumn("first", F.lit(0)))
-    if not in_line_box:
-        return out
-    own = lines.select(*KEYS, F.col("hpos").alias("line_hpos"), F.col("width").alias("line_width"), F.col("vpos").alias("line_vpos"), F.col("height").alias("line_height"))
-    holds = (F.col("line_hpos") <= F.col("box_hpos")) & (F.col("line_hpos") + F.col("line_width") >= F.col("box_hpos") + F.col("box_width"))
-    joined = out.join(own, KEYS)
-    for name, line, plain in (("box_hpos", "line_hpos", "box_hpos"), ("box_width", "line_width", "box_width")):
-        joined = joined.withColumn(f"_{name}", F.when(holds, F.col(line)).otherwise(F.col(plain)))
-    joined = joined.withColumn("box_vpos", F.when(holds, F.col("line_vpos")).otherwise(F.lit(0))).withColumn("box_height", F.when(holds, F.col("line_height")).otherwise(F.lit(0)))
-    return joined.drop("box_hpos", "box_width", "line_hpos", "line_width", "line_vpos", "line_height").withColumnsRenamed({"_box_hpos": "box_hpos", "_box_width": "box_width"})
+    rows = lines.withColumn("first", F.lit(0))
+    return _in_line_box(_case(rows, F.struct("hpos", "width", "vpos", "height").alias("line")), F.lit(True)) if in_line_box else _case(rows)
+
+
+def _in_line_box(cases: DataFrame, wanted) -> DataFrame:
+    """Puts cases in the box of ``line`` where they are ``wanted`` so and it holds them."""
+    line = F.col("line")
+    holds = wanted & (line["hpos"] <= F.col("box_hpos")) & (right(line) >= F.col("box_hpos") + F.col("box_width"))
+    pick = lambda name, plain: F.when(holds, line[name]).otherwise(plain)
+    boxed = {"box_hpos": pick("hpos", F.col("box_hpos")), "box_width": pick("width", F.col("box_width")), "box_vpos": pick("vpos", F.lit(0)), "box_height": pick("height", F.lit(0))}
+    return cases.withColumns(boxed).drop("line")
+
+
+def all_cases(lines: DataFrame, runs: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """Cases of every ``run`` neighbouring words, and whole lines in their own boxes (``run`` 0), in one pass."""
+    n = F.size("words")
+    none = F.array().cast("array<struct<run:int,first:int>>")
+
+    def starts(run: int):
+        return F.when(n >= run, F.transform(F.sequence(F.lit(0), n - run), lambda i: F.struct(F.lit(run).alias("run"), i.alias("first")))).otherwise(none)
+
+    every = F.explode(F.concat(F.array(F.struct(F.lit(0).alias("run"), F.lit(0).alias("first"))), *map(starts, runs))).alias("window")
+    rows = lines.select("*", every).withColumn("first", F.col("window.first")).withColumn("run", F.col("window.run"))
+    rows = rows.withColumn("words", F.when(F.col("run") == 0, F.col("words")).otherwise(F.slice("words", F.col("first") + 1, F.greatest("run", F.lit(1)))))
+    return _in_line_box(_case(rows, "run", F.struct("hpos", "width", "vpos", "height").alias("line")), F.col("run") == 0)
 
 
 def glued(words, at: int):

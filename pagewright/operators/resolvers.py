@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_space
+from ..functions.columns import before_each, chunked_fold, is_space
 
 
 def weight(token: Column) -> Column:
@@ -19,14 +19,12 @@ def weight(token: Column) -> Column:
 
 def _running(weights: Column, cut) -> Column:
     """Widths from rounding the running sum of weights; ``cut`` turns a sum into the boundary before rounding."""
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0).cast("bigint").alias("prev"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(a: Column, w: Column) -> Column:
+    def step(a: dict, w: Column) -> tuple[dict, Column]:
         cum = a["cum"] + w
         now = F.rint(cut(cum)).cast("bigint")
-        return F.struct(cum.alias("cum"), now.alias("prev"), F.concat(a["out"], F.array(now - a["prev"])).alias("out"))
+        return {"cum": cum, "prev": now}, now - a["prev"]
 
-    return F.aggregate(weights, start, step, lambda a: a["out"])
+    return chunked_fold(weights, {"cum": F.lit(0.0), "prev": F.lit(0).cast("bigint")}, "bigint", step)
 
 
 def shared_by(cases: DataFrame, by_unit: bool) -> DataFrame:
@@ -64,8 +62,7 @@ def at_least_one(widths: Column) -> Column:
 
 def placed(hpos: Column, widths: Column, tokens: Column) -> Column:
     """Boxes (text, hpos, width) of tokens laid out from ``hpos``."""
-    start = F.struct(hpos.cast("bigint").alias("x"), F.array().cast("array<bigint>").alias("at"))
-    at = F.aggregate(widths, start, lambda a, w: F.struct((a["x"] + w).alias("x"), F.concat(a["at"], F.array(a["x"])).alias("at")), lambda a: a["at"])
+    at = before_each(widths, hpos)
     return F.arrays_zip(tokens.alias("text"), at.alias("hpos"), widths.alias("width"))
 
 

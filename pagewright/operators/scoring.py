@@ -27,22 +27,29 @@ def scored(resolved: DataFrame) -> DataFrame:
 def report(cases: DataFrame, *by: str) -> DataFrame:
     """The distribution report of scored cases, one row for each value of ``by``.
 
-    Counts and means are plain sums; the order statistics need the sorted errors, which Spark's exact percentile gives
-    by counting equal values, so a group holds its distinct errors only."""
-    head = cases.groupBy(*by).agg(F.count("*").alias("cases"), F.count_if(F.col("errors").isNull()).alias("failures"))
-    # An outer explode: a filter on ``errors`` would be pushed below the folds that make it and repeat them.
-    each = cases.select(*by, "unit", F.explode_outer("errors").alias("e")).where("e is not null")
-    n = F.count("*")
-    body = each.groupBy(*by).agg(
-        n.alias("boundaries"), F.avg("e").alias("mean"), F.percentile("e", F.lit(0.5)).alias("median"), F.max("e").alias("worst"),
-        F.avg(F.when(F.col("unit") > 0, F.col("e") / F.col("unit"))).alias("mean_chars"), F.avg(F.when(F.col("unit") > 0, (F.col("e") / F.col("unit") <= 0.5).cast("double"))).alias("within_half_char"),
+    One scan counts, for each distinct error of a group, how often it occurs; all figures, the order statistics too, come
+    from these counts.  Errors are halves of pixels, so a group has few distinct ones."""
+    keys = list(by)
+    # One reference to ``errors``, so that the optimizer doesn't repeat the folds (or the Python kernel) that make it.
+    item = lambda k, e, failed: F.struct(k.cast("int").alias("k"), e.cast("double").alias("e"), F.lit(failed).alias("failed"))
+    rows = F.coalesce(F.transform("errors", lambda e, k: item(k, e, False)), F.array(item(F.lit(None), F.lit(None), True)))
+    each = cases.select(*keys, "unit", F.explode_outer(rows).alias("x")).select(*keys, "unit", "x.*")
+    chars = F.when(F.col("unit") > 0, F.col("e") / F.col("unit"))
+    once = F.col("k").isNull() | (F.col("k") == 0)
+    counts = each.groupBy(*keys, "e").agg(
+        F.count_if(once).alias("cases"), F.count_if(F.col("failed")).alias("failures"), F.count("e").alias("c"),
+        F.count(chars).alias("sized"), F.sum(chars).alias("chars"), F.count_if(chars <= 0.5).alias("within"),
     )
-    ranked = each.groupBy(*by, "e").agg(n.alias("c"))
-    up = Window.partitionBy(*by).orderBy("e")
-    place = ranked.withColumn("upto", F.sum("c").over(up)).withColumn("total", F.sum("c").over(Window.partitionBy(*by)))
-    p90 = place.where(F.col("upto") > F.floor(0.9 * (F.col("total") - 1) + 0.5)).groupBy(*by).agg(F.min("e").alias("p90"))
-    zero = {"boundaries": 0, "mean": 0.0, "median": 0.0, "p90": 0.0, "worst": 0.0, "mean_chars": 0.0, "within_half_char": 0.0}
-    return head.join(body, list(by), "left").join(p90, list(by), "left").fillna(zero)
+    group = Window.partitionBy(*keys)
+    placed = counts.withColumn("upto", F.sum("c").over(group.orderBy(F.asc_nulls_first("e")))).withColumn("total", F.sum("c").over(group))
+    nth = lambda place: F.min(F.when(F.col("upto") > place, F.col("e")))
+    total = F.col("total")
+    shares = placed.groupBy(*keys).agg(
+        F.sum("cases").alias("cases"), F.sum("failures").alias("failures"), F.sum("c").alias("boundaries"), (F.sum(F.col("e") * F.col("c")) / F.sum("c")).alias("mean"),
+        ((nth(F.floor((total - 1) / 2)) + nth(F.floor(total / 2))) / 2).alias("median"), F.max("e").alias("worst"),
+        (F.sum("chars") / F.sum("sized")).alias("mean_chars"), (F.sum("within") / F.sum("sized")).alias("within_half_char"), nth(F.floor(0.9 * (total - 1) + 0.5)).alias("p90"),
+    )
+    return shares.fillna(0.0, ["mean", "median", "p90", "worst", "mean_chars", "within_half_char"])
 
 
 def report_line(frame: DataFrame) -> DataFrame:

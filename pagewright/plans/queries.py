@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import matching, resolvers, scoring, triage, verdict, widths
-from ..operators.cases import dropped, glued, line_cases, merge_cases
+from ..operators.cases import all_cases, dropped, glued, line_cases, merge_cases
 from ..sources import derived
 
 KEYS = ["corpus", "file", "line_ord"]
@@ -39,9 +39,7 @@ def decision(s: SparkSession, d: str) -> DataFrame:
 
 
 def case_counts(s: SparkSession, d: str) -> DataFrame:
-    lines = derived.lines(s, d)
-    sizes = [merge_cases(lines, k).select("corpus", F.lit(k).alias("run"), "box_width", "n_chars") for k in (2, 3)]
-    every = sizes[0].unionByName(sizes[1]).unionByName(line_cases(lines, True).select("corpus", F.lit(0).alias("run"), "box_width", "n_chars"))
+    every = all_cases(derived.lines(s, d))
     return every.groupBy("corpus", "run").agg(F.count("*").alias("cases"), F.sum("box_width").alias("box_width"), F.sum("n_chars").alias("n_chars"))
 
 
@@ -129,10 +127,9 @@ def cer_by_sets(s: SparkSession, d: str) -> DataFrame:
     pairs = turn_pairs(s, d).withColumn("edits", F.levenshtein("text", "other")).withColumn("size", F.length("other"))
     kind = F.when(F.length("text") < F.length("other"), "longer").when(F.length("text") > F.length("other"), "shorter").otherwise("same")
     rows = pairs.withColumn("band", C.cer_band(F.col("edits") / F.greatest(F.lit(1), "size"))).withColumn("kind", kind)
-    rows.createOrReplaceTempView("pagewright_pairs")
     return s.sql("""SELECT role, band, kind, grouping_id(role, band, kind) AS level, count(*) AS pairs, sum(edits) AS edits, sum(size) AS size,
         round(sum(edits) / greatest(sum(size), 1), 6) AS cer, count_if(edits = 0) AS equal
-        FROM pagewright_pairs GROUP BY GROUPING SETS ((role, band), (role, kind), (role), ())""")
+        FROM {pairs} GROUP BY GROUPING SETS ((role, band), (role, kind), (role), ())""", pairs=rows)
 
 
 def nearest_turn(s: SparkSession, d: str) -> DataFrame:
@@ -237,6 +234,8 @@ def ctc_report(s: SparkSession, d: str) -> DataFrame:
 
 def _with_gaps(s: SparkSession, d: str) -> DataFrame:
     cases = resolvers.resolve_proportional(line_cases(derived.lines(s, d)))
+    # Dealt out by line before the Python kernel: a long document's lines don't stay in the task that read it.
+    cases = cases.repartition(*KEYS)
     return cases.withColumn("x", F.struct("boxes", F.filter("gaps", lambda g, i: (F.col("file") + i) % 7 != 0).alias("gaps"), F.col("box_hpos").alias("hpos"), F.col("box_width").alias("width")))
 
 

@@ -10,26 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import before_each
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(corpus, file, line_ord, ws, wide, at): a line's words, their widths and left edges, made inside the row."""
+    lines = documents(spark, sf_dir).select(F.col("lang").alias("corpus"), F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_ord", "line"))
+    parts = lines.select("corpus", "file", "line_ord", F.filter(F.split("line", " "), lambda w: w != "").alias("ws"))
+    width = lambda w: F.aggregate(F.split(w, ""), F.lit(0).cast("bigint"), lambda a, c: a + 4 + F.ascii(c) % 13)
+    wide = parts.withColumn("wide", F.transform("ws", width))
+    return wide.withColumn("at", before_each(F.transform("wide", lambda w, k: w + 6 + k % 3), F.lit(100)))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(corpus, file, line_ord, k, n, text, width, hpos): one row for each word."""
-    lines = documents(spark, sf_dir).select(F.col("lang").alias("corpus"), F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_ord", "line"))
-    parts = lines.withColumn("ws", F.filter(F.split("line", " "), lambda w: w != ""))
-    each = parts.select("corpus", "file", "line_ord", F.size("ws").alias("n"), F.posexplode("ws").alias("k", "text"))
-    wide = each.withColumn("width", F.aggregate(F.split("text", ""), F.lit(0).cast("bigint"), lambda a, c: a + 4 + F.ascii(c) % 13))
-    before = Window.partitionBy("file", "line_ord").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return wide.withColumn("hpos", 100 + F.coalesce(F.sum(F.col("width") + 6 + F.col("k") % 3).over(before), F.lit(0)))
+    each = _word_arrays(spark, sf_dir).select("corpus", "file", "line_ord", F.size("ws").alias("n"), F.posexplode(F.arrays_zip("ws", "wide", "at")).alias("k", "w"))
+    return each.select("corpus", "file", "line_ord", "k", "n", F.col("w.ws").alias("text"), F.col("w.wide").alias("width"), F.col("w.at").alias("hpos"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(corpus, file, line_ord, hpos, vpos, width, height, words): lines of two words or more."""
-    rows = words(spark, sf_dir).where("n >= 2").groupBy("corpus", "file", "line_ord").agg(F.array_sort(F.collect_list(F.struct("k", "text", "hpos", "width"))).alias("w"))
-    own = F.transform("w", lambda w: F.struct(w["text"].alias("text"), w["hpos"].alias("hpos"), w["width"].alias("width")))
-    out = rows.select("corpus", "file", "line_ord", own.alias("words"))
+    rows = _word_arrays(spark, sf_dir).where(F.size("ws") >= 2)
+    out = rows.select("corpus", "file", "line_ord", F.arrays_zip(F.col("ws").alias("text"), F.col("at").alias("hpos"), F.col("wide").alias("width")).alias("words"))
     last = F.element_at("words", -1)
     return out.select("corpus", "file", "line_ord", F.lit(100).cast("bigint").alias("hpos"), (40 * F.col("line_ord")).cast("bigint").alias("vpos"), (last["hpos"] + last["width"] - 100).alias("width"), F.lit(30).cast("bigint").alias("height"), "words")
 
@@ -39,7 +45,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lines stand in up to three columns by ``file % 3``; of every ten files, one has tall lines, one
     over-wide lines, one a column in reverse order and one missing lines."""
-    own = words(spark, sf_dir).groupBy("file", "line_ord").agg(F.count("*").alias("n"))
+    own = documents(spark, sf_dir).select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_ord", "line")).where(F.exists(F.split("line", " "), lambda w: w != ""))
     ord_ = F.row_number().over(Window.partitionBy("file").orderBy("line_ord")) - 1
     total = F.count("*").over(Window.partitionBy("file"))
     placed = own.withColumn("ord", ord_).withColumn("total", total).withColumn("columns", 1 + F.col("file") % 3)

@@ -15,10 +15,10 @@ from pagewright.operators.widths import fit
 from pagewright.plans import queries
 from pagewright.sources import caches, layout
 
-ALTO = """<alto {ns}><Layout><Page WIDTH="1000" HEIGHT="200"><PrintSpace><TextBlock>
-<TextLine ID="a" HPOS="100" VPOS="10" WIDTH="300" HEIGHT="40"><String CONTENT="de" HPOS="100" WIDTH="18"/><SP/><String CONTENT="la" HPOS="124" WIDTH="17"/><String CONTENT="RÃ©publique" HPOS="147" WIDTH="253"/></TextLine>
-<TextLine ID="b" HPOS="100" VPOS="60" WIDTH="50" HEIGHT="40"><String CONTENT="seul" HPOS="100" WIDTH="50"/></TextLine>
-<TextLine ID="c" VPOS="110"><String CONTENT="sans"/><String CONTENT="place" HPOS="9" WIDTH="3"/></TextLine>
+ALTO = """<alto {ns}><Layout><Page WIDTH="640" HEIGHT="300"><PrintSpace><TextBlock>
+<TextLine ID="first" HPOS="33" VPOS="21" WIDTH="211" HEIGHT="27"><String CONTENT="un" HPOS="33" WIDTH="25"/><SP/><String CONTENT="petit" HPOS="66" WIDTH="58"/><String CONTENT="thÃ©Ã¢tre" HPOS="131" WIDTH="113"/></TextLine>
+<TextLine ID="alone" HPOS="33" VPOS="70" WIDTH="61" HEIGHT="27"><String CONTENT="rideau" HPOS="33" WIDTH="61"/></TextLine>
+<TextLine ID="open" VPOS="119"><String CONTENT="nulle"/><String CONTENT="part" HPOS="12" WIDTH="44"/></TextLine>
 </TextBlock></PrintSpace></Page></Layout></alto>"""
 
 
@@ -26,8 +26,8 @@ ALTO = """<alto {ns}><Layout><Page WIDTH="1000" HEIGHT="200"><PrintSpace><TextBl
 def test_alto(spark, tmp_path, ns):
     (tmp_path / "p.xml").write_text(ALTO.format(ns=ns), encoding="utf-8")
     got = layout.read_lines(spark, str(tmp_path), "alto").collect()
-    assert [r["line_id"] for r in got] == ["a"]
-    assert [(w["text"], w["hpos"], w["width"]) for w in got[0]["words"]] == [("de", 100, 18), ("la", 124, 17), ("République", 147, 253)]
+    assert [r["line_id"] for r in got] == ["first"]
+    assert [(w["text"], w["hpos"], w["width"]) for w in got[0]["words"]] == [("un", 33, 25), ("petit", 66, 58), ("théâtre", 131, 113)]
     assert layout.read_texts(spark, str(tmp_path)).count() == 3
 
 
@@ -45,8 +45,8 @@ def test_page_prefers_the_least_index(spark, tmp_path):
 
 
 def test_repair_and_spaces(spark):
-    rows = spark.createDataFrame([("raisonnÃ©e",), ("déjà",), ("Ãé",), (None,)], "t string").select(C.repair_mojibake(F.col("t")).alias("t")).collect()
-    assert [r["t"] for r in rows] == ["raisonnée", "déjà", "Ãé", None]
+    rows = spark.createDataFrame([("crÃ¨me brÃ»lÃ©e",), ("naïveté",), ("Ãñ",), (None,)], "t string").select(C.repair_mojibake(F.col("t")).alias("t")).collect()
+    assert [r["t"] for r in rows] == ["crème brûlée", "naïveté", "Ãñ", None]
     spaces = spark.createDataFrame([(" ",), (" ",), (" ",), (" ",), ("",), ("a ",)], "t string").select(C.is_space(F.col("t")).alias("s")).collect()
     assert [r["s"] for r in spaces] == [True, True, False, False, False, False]
 
@@ -59,18 +59,38 @@ def test_widths_never_fall_below_one(spark):
 
 
 def test_transfer():
-    spans = [(100, 118), (118, 130), (130, 140), (140, 152), (152, 170)]
-    for read in ("de la", "DE LA", "dé la"):
-        boxes, why = K.transfer(read, spans, ["de", " ", "la"], 100, 80)
-        assert why is None and boxes[1] == (" ", 130, 10)
-    assert K.transfer("a", [(0, 1)], ["a", " ", "b"], 0, 1) == (None, "impossible request")
-    assert K.support("", "abc") == 0 and K.support("abc", "") == 0
+    spans = [(40, 51), (51, 63), (63, 70), (70, 84), (84, 97)]
+    for read in ("ob uk", "OB UK", "öb uk"):
+        boxes, why = K.transfer(read, spans, ["ob", " ", "uk"], 40, 57)
+        assert why is None and boxes == [("ob", 40, 23), (" ", 63, 7), ("uk", 70, 27)]
+    assert K.transfer("x", [(3, 4)], ["x", " ", "y"], 3, 2) == (None, "impossible request")
+    assert K.support("", "xyz") == 0 and K.support("xyz", "") == 0
+    # What wasn't read shares the room between its neighbours, by weight if weights are known.
+    assert K.transfer("ob", spans[:2], ["ob", " ", "uk"], 40, 59)[0] == [("ob", 40, 23), (" ", 63, 12), ("uk", 75, 24)]
+    assert K.transfer("ob", spans[:2], ["ob", " ", "uk"], 40, 63, {" ": 0.5, "u": 1.0, "k": 2.5})[0] == [("ob", 40, 23), (" ", 63, 5), ("uk", 68, 35)]
+    # Every token has a pixel, inside the box, whatever was read.
+    draw = random.Random(8)
+    for _ in range(200):
+        tokens = [x for w in range(draw.randint(1, 6)) for x in (" ", "".join(draw.choice("abc") for _ in range(draw.randint(1, 4))))][1:]
+        text = "".join(tokens)
+        width = draw.randint(len(tokens), 5 * len(text))
+        edges = sorted(draw.randint(0, width + 9) for _ in range(len(text) + 1))
+        got, _ = K.transfer(text, list(zip(edges, edges[1:])), tokens, 7, width)
+        assert all(w >= 1 for _, _, w in got) and got[0][1] >= 7 and got[-1][1] + got[-1][2] <= 7 + width
+        assert all(a[1] + a[2] <= b[1] for a, b in zip(got, got[1:]))
 
 
 def test_ink():
-    boxes = [("de", 110, 10), (" ", 130, 10), ("la", 150, 10)]
-    assert K.widened_to_ink(boxes, [(130, 140)], 100, 80) == [("de", 100, 30), (" ", 130, 10), ("la", 140, 40)]
-    assert K.snapped_to_gaps([("de", 100, 30), (" ", 130, 10), ("la", 140, 40)], [(132, 138)], 100, 80)[1] == (" ", 132, 6)
+    boxes = [("ob", 210, 12), (" ", 234, 8), ("uk", 260, 9)]
+    wide = [("ob", 200, 31), (" ", 231, 12), ("uk", 243, 47)]
+    assert K.widened_to_ink(boxes, [(231, 243)], 200, 90) == wide
+    assert K.snapped_to_gaps(wide, [(233, 239)], 200, 90) == [("ob", 200, 33), (" ", 233, 6), ("uk", 239, 51)]
+    assert K.snapped_to_gaps(wide, [(280, 282)], 200, 90) == wide  # no blank near enough
+
+
+def test_anchored_words_are_the_outputs():
+    assert K.anchored("The Old Harbour Bridge", "the old HARBOR bridge at xyzzy") == [True, True, True, True, False]
+    assert K.anchored("", "abc") == [False] and K.anchored("abc", "") == []
 
 
 def test_blocks_are_difflibs():
@@ -124,11 +144,11 @@ def test_verdict(spark):
 
 
 def test_triage(spark):
-    page = [(0, 40 * c + k, 200 + 1300 * c, 100 + 40 * k, 1100, 66 if k == 5 and c == 0 else 30, 3000) for c in range(2) for k in range(40)]
+    page = [(0, 30 * c + k, 120 + 1000 * c, 80 + 50 * k, 900, 80 if k == 7 and c == 1 else 34, 3200) for c in range(3) for k in range(30)]
     boxes = spark.createDataFrame(page, "file long, ord long, hpos long, vpos long, width long, height long, page_width long")
     got = triage(boxes).first()
-    assert got["accepted"] and got["column_width"] == 1300 and got["lines"] == 80
-    assert sorted(r["ord"] for r in lines_to_resegment(boxes).collect()) == [5, 6]
+    assert got["accepted"] and got["column_width"] == 1000 and got["lines"] == 90
+    assert sorted(r["ord"] for r in lines_to_resegment(boxes).collect()) == [37, 38]
     assert triage(boxes.limit(1)).first()["reasons"] == "few lines"
 
 
