@@ -353,6 +353,86 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == docs.count()
 
 
+def thue_morse(n):
+    """Two different words of which polynomial hashes modulo 2**64 are equal."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_regular_words_do_not_collide(spark):
+    """Thue-Morse words as texts: ids, repeats and near copies are told apart."""
+    import tiktoken
+
+    a, b = thue_morse(4096)
+    path = tokenizers_dir.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(path, "rb"))}
+    whole = tiktoken.Encoding("own", pat_str=tokenizers_dir.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    _, ids, at = next(byte_bpe.byte_bpe(path).batches(*flat(pa.array([a, b]))))
+    assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == [whole.encode_ordinary(a), whole.encode_ordinary(b)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        _, ids, at = next(library_ids(tokenizers_dir.path(name)).batches(*flat(pa.array([a, b]))))
+        assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == [whole_ids(name)(a), whole_ids(name)(b)]
+    spelt = [" ".join(x[:400]).replace("a", "xa").replace("b", "yb") for x in (a, b)]
+    docs = spark.createDataFrame(list(enumerate([*spelt, a, b])), "doc_id long, text string")
+    texts = [(i, t) for i, t in enumerate([*spelt, a, b])]
+    words = {k: t.split() for k, t in texts}
+    count = Counter(tuple(w[s : s + 35]) for w in words.values() for s in range(len(w) - 34))
+    for r in window_index.dedup(docs, 35).collect():
+        w, gone = words[r["doc_id"]], set()
+        for s in range(len(w) - 34):
+            if count[tuple(w[s : s + 35])] > 1:
+                gone |= set(range(s, s + 35))
+        assert r["n_removed"] == len(gone)
+    got = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == brute_components(texts, 3, 85)
+
+
+def test_stretches_with_one_hash_are_told_apart(monkeypatch):
+    """Even if all hashes were equal, ids would be right."""
+    library = type(library_ids(tokenizers_dir.path("byte_bpe_50k.json")))(tokenizers_dir.path("byte_bpe_50k.json"))
+    library.hashed = lambda data, start, end: np.zeros(len(start), np.uint64)
+    texts = ["one two three", "four, five", "", "one six"]
+    for _ in range(2):
+        _, ids, at = next(library.batches(*flat(pa.array(texts))))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [whole_ids("byte_bpe_50k.json")(t) for t in texts]
+    monkeypatch.setattr(hashing, "byte_spans", lambda data, start, end, seed=0: np.zeros(len(start), np.uint64))
+    data, offsets = flat(pa.array(["ab cd ab"]))
+    assert hashing.names(data, np.array([0, 3, 6]), np.array([2, 5, 8])).tolist() == [0, 1, 0]
+
+
+def test_random_texts_keep_the_librarys_ids():
+    r = random.Random(12)
+    parts = ["a", "Bc", "é", "Ω", "中", " ", "  ", "\n", "\t", ".", ",", "'", "s", "1", "23", "-", "\u00a0", "😀", "ß", "İ", "\u0301", "<", "|", "’"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library, encode = library_ids(tokenizers_dir.path(name)), whole_ids(name)
+        got = [ids[a:b].tolist() for _, ids, at in library.batches(*flat(pa.array(texts))) for a, b in zip(at, at[1:])]
+        assert got == [encode(t) for t in texts]
+
+
+def test_fingerprints_of_very_repetitive_texts():
+    a, b = fingerprint.of("one line\n" * 65536), fingerprint.of("another thing\n" * 65536)
+    assert fingerprint.likeness(fingerprint.lanes(a.hex()), fingerprint.lanes(b.hex())) < 0.3
+
+
+def test_matroska_of_other_writers():
+    """Clusters and a segment of unknown size, another timestamp scale, a track without a frame duration, laces of one."""
+    m = matroska
+    track = m.element(m.TRACKS, m.element(m.ENTRY, m.number(m.NUMBER, 1) + m.element(m.CODEC, b"A_OPUS")))
+    info = m.element(m.INFO, m.number(m.SCALE, 500_000))
+    key = lambda k: k.to_bytes((k.bit_length() + 7) // 8, "big")
+    block = lambda flags, body: m.element(m.SIMPLE, b"\x81\0\4" + bytes([flags]) + body)
+    cluster = lambda t, blocks: key(m.CLUSTER) + b"\x01" + b"\xff" * 7 + m.number(m.TIMESTAMP, t) + blocks
+    body = info + track + cluster(0, block(0, b"one")) + cluster(100, block(6, b"\0two")) + cluster(200, block(2, b"\0xyz") + block(4, bytes([1]) + b"aabb"))
+    raw = m._HEAD + key(m.SEGMENT) + b"\xff" + body
+    got = m.packets(raw)
+    assert [(t, raw[a:b]) for _, t, a, b in got] == [(2, b"one"), (52, b"two"), (102, b"xyz"), (102, b"aa"), (102, b"bb")]
+    at = raw.index(track) + 5
+    assert m.tracks(raw, at, at + len(track) - 5) == {1: (0, "A_OPUS")}
+
+
 def test_word_hashes_depend_on_nothing_but_the_word():
     data, offsets = flat(pa.array(["ab cd", "x ab", "Ab"]))
     _, _, h, first = hashing.words(data, offsets)
