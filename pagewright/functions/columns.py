@@ -16,9 +16,10 @@ FOLD = 64
 SPACE_TOKEN = r"(?U)^[^\S\x{A0}\x{202F}\x{2007}]+$"
 
 
-def repair_mojibake(text: Column) -> Column:
-    """UTF-8 that was read as Latin-1, read again; texts that don't show it or don't round-trip stay as they are."""
-    latin = text.rlike("[ÃÂ]") & ~text.rlike(r"[^\x{0}-\x{FF}]")
+def repair_mojibake(text: Column, marked: bool = True) -> Column:
+    """UTF-8 that was read as Latin-1, read again; texts that don't round-trip, or if ``marked`` show no mark of it, stay as they are."""
+    latin = ~text.rlike(r"[^\x{0}-\x{FF}]")
+    latin = text.rlike("[ÃÂ]") & latin if marked else latin
     raw = F.when(latin, F.encode(F.when(latin, text), "ISO-8859-1"))
     return F.when(raw.isNotNull() & F.is_valid_utf8(raw), F.decode(raw, "UTF-8")).otherwise(text)
 

@@ -126,4 +126,20 @@ def oracle_sql() -> dict[str, str]:
           SELECT lang, count(*) FILTER (quality = 1) AS positive, count(*) FILTER (quality = 0) AS negative,
             round((sum(rk) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2) / greatest(count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0), 1), 6) AS auc FROM r GROUP BY 1""",
         "event_counts": "SELECT event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1",
+        "mojibake_repair_any": "SELECT doc_id, md5(text) AS fixed FROM documents",
+        "independent_truth": WHOLE + """SELECT corpus, count(*) AS n, round(avg(CASE WHEN e / unit <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS within, round(avg(e / unit), 6) AS mean,
+          round((list_sort(list(e / unit)))[1 + floor(0.9 * (count(*) - 1))::BIGINT], 6) AS p90 FROM err WHERE file % 7 <> 0 GROUP BY 1""",
+        "insertion_edges": WHOLE + """, m AS (SELECT corpus, n, k, a, hpos, width, lag(b) OVER g AS l, sum(width) OVER (PARTITION BY file, line_ord) / sum(len) OVER (PARTITION BY file, line_ord) AS u
+            FROM cut WHERE file % 7 <> 0 WINDOW g AS (PARTITION BY file, line_ord ORDER BY k)),
+          v AS (SELECT corpus, abs(l - hpos) / u AS p, abs(a - (hpos + width)) / u AS q FROM m WHERE n >= 3 AND k = n // 2)
+          SELECT corpus, count(*) AS n, round(avg(CASE WHEN p <= 0.5 AND q <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS both,
+            round((list_sort(list(p)))[1 + least(count(*) - 1, floor(0.5 * count(*))::BIGINT)], 6) AS left_median, round((list_sort(list(p)))[1 + least(count(*) - 1, floor(0.9 * count(*))::BIGINT)], 6) AS left_p90,
+            round((list_sort(list(q)))[1 + least(count(*) - 1, floor(0.5 * count(*))::BIGINT)], 6) AS right_median, round((list_sort(list(q)))[1 + least(count(*) - 1, floor(0.9 * count(*))::BIGINT)], 6) AS right_p90 FROM v GROUP BY 1""",
+        "attached_truth": RECTANGLES + """, h AS (SELECT iou.file, a_id AS id, string_agg('line ' || b_id, ' ' ORDER BY y0, x0, b_id) AS truth, count(*) AS n FROM iou JOIN b ON b.file = iou.file AND b.id = b_id WHERE b_id % 6 <> 0 GROUP BY ALL)
+          SELECT file, id, truth, CASE WHEN n >= 2 THEN 'fusion' WHEN n = 1 THEN '1:1' ELSE 'none' END AS kind FROM a LEFT JOIN h USING (file, id)""",
+        "judgeable_lines": """SELECT s.conv_id, s.turn::BIGINT AS turn, length(s.text)::INT AS source, md5(CASE WHEN s.turn % 3 = 0 THEN '> ' || s.text ELSE s.text END) AS returned, md5(t.text) AS truth
+          FROM conversations s JOIN conversations t ON s.conv_id = t.conv_id AND t.turn = s.turn + 1 WHERE trim(s.text) <> '' AND trim(t.text) <> ''""",
+        "scaled_boxes": BOXES + """, c2 AS (SELECT *, CASE WHEN file % 4 <> 0 THEN 1 + 0.0125::DOUBLE * (file % 4) END AS sc FROM boxes)
+          SELECT file, CASE WHEN file % 5 <> 0 THEN CASE WHEN abs(1.0125::DOUBLE - coalesce(sc, 1)) <= 0.02 THEN 'ok' ELSE 'off' END WHEN sc IS NOT NULL THEN 'stated' ELSE 'unknown' END AS state,
+            sum(greatest(0, least(page_width - 1, round_even((hpos + width) * coalesce(sc, 1), 0))))::BIGINT AS edges FROM c2 GROUP BY ALL""",
     }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import kernels as K
-from ..operators import matching, resolvers, scoring, triage, verdict, widths
+from ..operators import matching, resolvers, scoring, triage, truth, verdict, widths
 from ..operators.cases import all_cases, dropped, glued, line_cases, merge_cases
 from ..sources import derived
 
@@ -125,7 +125,8 @@ def turn_pairs(s: SparkSession, d: str) -> DataFrame:
 
 def cer_by_sets(s: SparkSession, d: str) -> DataFrame:
     pairs = turn_pairs(s, d).withColumn("edits", F.levenshtein("text", "other")).withColumn("size", F.length("other"))
-    kind = F.when(F.length("text") < F.length("other"), "longer").when(F.length("text") > F.length("other"), "shorter").otherwise("same")
+    words = lambda c: F.regexp_count(c, F.lit(r"(?U)\S+"))
+    kind = F.when(words("text") < words("other"), "added").when(words("text") > words("other"), "removed").otherwise("same")
     rows = pairs.withColumn("band", C.cer_band(F.col("edits") / F.greatest(F.lit(1), "size"))).withColumn("kind", kind)
     return s.sql("""SELECT role, band, kind, grouping_id(role, band, kind) AS level, count(*) AS pairs, sum(edits) AS edits, sum(size) AS size,
         round(sum(edits) / greatest(sum(size), 1), 6) AS cer, count_if(edits = 0) AS equal
@@ -274,9 +275,63 @@ def anchored_words(s: SparkSession, d: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.size("a").alias("words"), F.size(F.filter("a", lambda x: x)).alias("anchored"), C.longest_run(F.transform("a", lambda x: ~x)).alias("unanchored_run"))
 
 
+def mojibake_repair_any(s: SparkSession, d: str) -> DataFrame:
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return derived.documents(s, d).select("doc_id", F.md5(C.repair_mojibake(broken, marked=False)).alias("fixed"))
+
+
+def _found(s: SparkSession, d: str) -> DataFrame:
+    """Lines with the words that a resolver places; of every seventh file the last word is missing."""
+    resolved = resolvers.resolve_distributed(line_cases(derived.lines(s, d)))
+    own = F.filter("boxes", lambda b, i: i % 2 == 0)
+    placed = F.zip_with(own, "words", lambda b, w: F.struct(w["text"].alias("text"), b["hpos"].alias("hpos"), b["width"].alias("width")))
+    found = F.slice(placed, 1, F.size("words") - F.when(F.col("file") % 7 == 0, 1).otherwise(0))
+    # Through a generator, so that the optimizer doesn't repeat the fold wherever the words are looked at.
+    return resolved.select("corpus", "words", F.explode(F.array(found)).alias("found"))
+
+
+def independent_truth(s: SparkSession, d: str) -> DataFrame:
+    each = _found(s, d).select("corpus", F.explode(truth.independent_errors(F.col("found"), F.col("words"))).alias("e"))
+    return rounded(truth.summary(each, ["corpus"]), "within", "mean", "p90")
+
+
+def insertion_edges(s: SparkSession, d: str) -> DataFrame:
+    place = F.floor(F.size("words") / 2).cast("int") + 1
+    edges = _found(s, d).where(F.size("words") >= 3).select("corpus", truth.edges_of(F.col("found"), F.col("words"), place).alias("x")).where("x is not null")
+    side = lambda name, e: F.struct(F.lit(name).alias("side"), e.alias("e"))
+    sides = F.array(side("left", F.col("x.left")), side("right", F.col("x.right")), side("both", F.greatest("x.left", "x.right")))
+    out = truth.at_places(edges.select("corpus", F.inline(sides)), ["corpus", "side"], "e", median=truth.share_place(0.5), p90=truth.share_place(0.9))
+    of = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c)))
+    wide = out.groupBy("corpus").agg(of("both", "n").alias("n"), of("both", "within").alias("both"), *[of(x, c).alias(f"{x}_{c}") for x in ("left", "right") for c in ("median", "p90")])
+    return rounded(wide, "both", "left_median", "left_p90", "right_median", "right_p90")
+
+
+def attached_truth(s: SparkSession, d: str) -> DataFrame:
+    a, b = _rectangles(s, d)
+    some = b.where("id % 6 <> 0").withColumn("gt", F.concat(F.lit("line "), F.col("id").cast("string")))
+    return truth.attached_truth(a, some)
+
+
+def judgeable_lines(s: SparkSession, d: str) -> DataFrame:
+    turns = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "text")
+    later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
+    returned = turns.where("turn % 3 = 0").withColumn("text", F.concat(F.lit("> "), "text"))
+    rows = truth.judgeable(turns, returned, later, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.length("source").alias("source"), F.md5("returned").alias("returned"), F.md5("truth").alias("truth"))
+
+
+def scaled_boxes(s: SparkSession, d: str) -> DataFrame:
+    scale = F.when(F.col("file") % 4 != 0, 1 + 0.0125 * (F.col("file") % 4))
+    page = F.when(F.col("file") % 5 != 0, F.col("page_width"))
+    state = truth.scale_state(F.col("page_width") * 1.0125, page, scale)
+    at = truth.to_pixel(F.col("hpos") + F.col("width"), F.coalesce(scale, F.lit(1.0)), F.col("page_width"))
+    return derived.boxes(s, d).select("file", state.alias("state"), at.alias("at")).groupBy("file", "state").agg(F.sum("at").alias("edges"))
+
+
 def queries() -> dict:
     names = """proportional_report merge_report decision case_counts line_scan page_triage resegment mojibake_repair interleave char_widths
     glue_and_drop stride_sample word_edges moved_boxes longest_long_words widest_lines vocabulary_sets last_correction cer_by_sets nearest_turn
     order_inversions overlap_pairs one_to_one_pairs words_in_lines labelled fallback_chain polygon_boxes space_tokens advances quality_auc
-    event_counts support_bands ctc_report ink_gap_report ink_snap_report learned_report reprojected anchored_words""".split()
+    event_counts support_bands ctc_report ink_gap_report ink_snap_report learned_report reprojected anchored_words
+    mojibake_repair_any independent_truth insertion_edges attached_truth judgeable_lines scaled_boxes""".split()
     return {n: globals()[n] for n in names}

@@ -176,3 +176,52 @@ def test_against_sql(spark, name):
     columns = [c[0] for c in want.description]
     show = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
     assert sorted(tuple(map(show, r)) for r in frame.select(*columns).collect()) == sorted(tuple(map(show, r)) for r in want.fetchall())
+
+
+def test_truth_of_its_own_geometry(spark):
+    from pagewright.operators import truth
+
+    kind = "found array<struct<text:string,hpos:bigint,width:bigint>>, words array<struct<text:string,hpos:bigint,width:bigint>>"
+    own = [("oak", 0, 30), ("elm", 40, 30)]
+    far = [("oak", 0, 60), ("elm", 80, 30)]
+    rows = [(own, own), (far, own), (own[:1], own), (own[:1], own[:1]), (None, own), (own, [])]
+    got = spark.createDataFrame(rows, kind).select(truth.independent_errors(F.col("found"), F.col("words")).alias("e"), truth.edges_of(F.col("found"), F.col("words"), F.lit(2)).alias("x")).collect()
+    # Seven characters over 70: the middle 70 lies 30 right of the blank from 30 to 40.
+    assert [r.e for r in got] == [[0.0], [3.0], None, None, None, None]
+    assert [r.x and tuple(r.x) for r in got] == [(0.0, 0.0), (4.0, 4.0), None, None, None, None]
+
+
+def test_order_statistics_are_exact(spark):
+    from pagewright.operators import truth
+
+    values = [((i * i) % 97) / 40 for i in range(203)] + [None]
+    each = spark.createDataFrame([("a", v) for v in values] + [("b", 2.0)], "k string, e double")
+    got = {r.k: r for r in truth.summary(each, ["k"]).collect()}
+    best = sorted(v for v in values if v is not None)
+    assert (got["a"].n, got["a"].p90, got["b"].p90, got["b"].within) == (203, best[int(0.9 * 202)], 2.0, 0.0)
+    assert got["a"].within == pytest.approx(sum(v <= 0.5 for v in best) / 203) and got["a"].mean == pytest.approx(sum(best) / 203)
+    assert truth.summary(each.limit(0), ["k"]).count() == 0
+
+
+def test_attached_and_judgeable(spark):
+    from pagewright.operators import truth
+
+    box = "file long, id long, x0 long, y0 long, x1 long, y1 long"
+    lines = spark.createDataFrame([(1, 1, 0, 0, 100, 60), (1, 2, 0, 200, 100, 230), (2, 1, 0, 0, 100, 60)], box)
+    true = spark.createDataFrame([(1, 7, 0, 30, 100, 60, "lower"), (1, 8, 0, 0, 100, 30, "upper"), (2, 9, 0, 5, 100, 55, "own")], box + ", gt string")
+    assert sorted(tuple(r) for r in truth.attached_truth(lines, true).collect()) == [(1, 1, "upper lower", "fusion"), (1, 2, None, "none"), (2, 1, "own", "1:1")]
+    assert truth.attached_truth(lines.limit(0), true).count() == 0
+    side = lambda *rows: spark.createDataFrame(list(rows), "id long, text string")
+    got = truth.judgeable(side((1, "ash"), (2, "  "), (3, "yew"), (4, None), (5, "fir")), side((1, "Ash")), side((1, "ASH"), (2, "x"), (3, "\t"), (4, "x"), (5, "fig")), ["id"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "ash", "Ash", "ASH"), (5, "fir", "fir", "fig")]
+
+
+def test_scales_and_marks(spark):
+    from pagewright.functions.columns import repair_mojibake
+    from pagewright.operators import truth
+
+    rows = spark.createDataFrame([(1000, 800, 1.25, 4.5), (1000, 800, 1.0, -3.0), (1000, None, 1.25, 9e3), (1000, 0, None, 2.5)], "image long, page long, scale double, v double")
+    got = rows.select(truth.scale_state(F.col("image"), F.col("page"), F.col("scale")), truth.to_pixel(F.col("v"), F.lit(1.0), F.col("image"))).collect()
+    assert [tuple(r) for r in got] == [("ok", 4), ("off", 0), ("stated", 999), ("unknown", 2)]
+    texts = spark.createDataFrame([("é".encode().decode("latin-1"),), ("Å\u0093uvre",), ("é",), ("œ",), (None,)], "t string")
+    assert [r[0] for r in texts.select(repair_mojibake(F.col("t"), marked=False)).collect()] == ["é", "œuvre", "é", "œ", None]
