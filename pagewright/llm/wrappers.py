@@ -7,11 +7,11 @@ gives a union-free regular expression over tags, groups and text slots which eve
 matches.  Its slots are numbered, and each distinct tree is matched with it to find which slot every
 text of a page stands in.
 
-Extraction keeps the texts in the slots that hold content.  A slot whose text is the same on all pages
-that have it, five pages of different content at least, is template text (copies of one page count once, and if
-nothing else would be left it stays).  The content region belongs to a page's own layout, its distinct
-tree: the article (or main) elements if it has them, else the element that holds most of the varying,
-link-poor text; there, blocks of links in slots that mostly hold links go too.  Never kept are menus,
+Extraction keeps the texts in the slots that hold content.  The content region belongs to a page's own
+layout, its distinct tree: the article (or main) elements if it has them, else the element that holds most of
+the varying, link-poor text; there, blocks of links in slots that mostly hold links go too.  A slot is template
+text if its text is the same on all pages that have it while other texts of these pages differ (copies of one
+page tell nothing; if nothing else would be left, the slot stays).  Never kept are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, by element or
 by class and id words; a header inside the article is kept whatever its class says.
 
@@ -49,8 +49,6 @@ WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrum
 CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead"}}
 #: Distinct streams of a host, about, that one task merges before partial wrappers meet, and partial wrappers that meet in one.
 SLICE, FAN = 64, 8
-#: A slot whose text is the same on so many different pages of a host, and on all that have it, is template text.
-TEMPLATE_PAGES = 5
 #: Labels of the longest run that folds into a repeated group.
 LONGEST_GROUP = 8
 # Trees are walked by recursion; a page may nest its elements deep.
@@ -422,7 +420,7 @@ def contents(seen: DataFrame, numbers: DataFrame) -> DataFrame:
     by_page = each.join(numbers, ["host", "stream", "leaf"])
     # Over a host, a slot of the wrapper holds template text if it never changes while the pages do.
     constant = by_page.groupBy("host", "slot").agg(F.count_distinct("digest").alias("pages"), (F.min("text") == F.max("text")).alias("same"))
-    template = constant.where(F.col("same") & (F.col("pages") >= TEMPLATE_PAGES)).select("host", "slot", F.lit(True).alias("template"))
+    template = constant.where(F.col("same") & (F.col("pages") > 1)).select("host", "slot", F.lit(True).alias("template"))
     sums = each.groupBy("host", "stream", "leaf").agg(F.sum("plain").alias("plain"), F.sum("linked").alias("linked"))
     rows = sums.join(numbers, ["host", "stream", "leaf"]).join(template, ["host", "slot"], "left")
     lists = rows.groupBy("host", "stream").agg(F.array_sort(F.collect_list(F.struct("leaf", "plain", "linked", F.coalesce("template", F.lit(False)).alias("template")))).alias("held"))

@@ -300,6 +300,18 @@ def test_wrapper_slots_decide(spark):
     assert all(got[40 + i] == "The same text" for i in range(7)) and got[50].startswith("T50\n\nBody 50") and got[51].startswith("Long plain")
 
 
+def test_template_text_needs_no_number_of_pages(spark):
+    from pagewright.llm import wrappers
+
+    page = lambda k, tag: f"<body><div class=top>Read more of us</div><{tag}><p>Summary</p><div><p>Story {k} of the river and the {'old ' * k}mill.</p></div></{tag}></body>"
+    rows = [(k, "http://two/x", page(k, "section")) for k in (1, 2)] + [(3, "http://alone/x", page(3, "article"))] + [(k, "http://same/x", page(7, "section")) for k in range(5, 12)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in (1, 2):  # two pages that differ tell what never changes
+        assert "Read more" not in got[k] and f"Story {k} of" in got[k]
+    assert got[3].startswith("Summary\n\nStory")  # one page alone tells nothing
+    assert len({got[k] for k in range(5, 12)}) == 1 and "Story 7" in got[5]  # copies of one page, however many
+
+
 def test_wrappers_match_their_pages(spark, monkeypatch):
     """Wrappers of random pages, merged in several rounds, match each page, and a slot's path is the page's."""
     monkeypatch.setattr(wrappers, "SLICE", 4)
