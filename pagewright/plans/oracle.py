@@ -79,6 +79,15 @@ RECTANGLES = BOXES + """, a AS (SELECT file, ord AS id, hpos AS x0, vpos AS y0,
 """
 
 
+#: A line's text as XML can hold it.
+IN_XML = r"regexp_replace(line, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]', chr(65533), 'g')"
+READ = WORDS + f"SELECT file::VARCHAR AS file, 'l' || line_ord AS line_id, 100::BIGINT AS hpos, (40 * line_ord)::BIGINT AS vpos, width, 30::BIGINT AS height, n AS words, md5({IN_XML}) AS text FROM lines"
+#: Every line with words, also those of one.
+ALL_LINES = WORDS + """, t AS (SELECT file, line_ord, count(*) AS n, max(hpos + width) - 100 AS width, string_agg(text, ' ' ORDER BY k) AS line FROM w GROUP BY ALL),
+  a AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_ord) - 1 AS ord FROM t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "proportional_report": report(UNIT, "err", "lines"),
@@ -142,4 +151,10 @@ def oracle_sql() -> dict[str, str]:
         "scaled_boxes": BOXES + """, c2 AS (SELECT *, CASE WHEN file % 4 <> 0 THEN 1 + 0.0125::DOUBLE * (file % 4) END AS sc FROM boxes)
           SELECT file, CASE WHEN file % 5 <> 0 THEN CASE WHEN abs(1.0125::DOUBLE - coalesce(sc, 1)) <= 0.02 THEN 'ok' ELSE 'off' END WHEN sc IS NOT NULL THEN 'stated' ELSE 'unknown' END AS state,
             sum(greatest(0, least(page_width - 1, round_even((hpos + width) * coalesce(sc, 1), 0))))::BIGINT AS edges FROM c2 GROUP BY ALL""",
+        "alto_lines": READ,
+        "page_lines": READ,
+        "djvu_lines": WORDS + f"SELECT file::VARCHAR AS file, 'p1-l' || row_number() OVER (PARTITION BY file ORDER BY line_ord) AS line_id, 100::BIGINT AS hpos, 0::BIGINT AS vpos, width, 0::BIGINT AS height, n AS words, md5({IN_XML}) AS text FROM lines",
+        "xml_boxes": ALL_LINES + f"""SELECT kind, file::VARCHAR AS file, ord, 'l' || line_ord AS line_id, 100::BIGINT AS hpos, (40 * line_ord)::BIGINT AS vpos, width, 30::BIGINT AS height, md5({IN_XML}) AS text,
+            CASE WHEN kind = 'alto' THEN 3000 ELSE 0 END::BIGINT AS page_width FROM a, (VALUES ('alto'), ('page')) kinds(kind)""",
+        "xml_texts": ALL_LINES + f"SELECT file::VARCHAR AS file, ord AS line_ord, 'l' || line_ord AS line_id, md5({IN_XML}) AS text, n % 2 = 0 AS has_hyphen FROM a",
     }

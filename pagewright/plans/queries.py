@@ -10,7 +10,7 @@ from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import matching, resolvers, scoring, triage, truth, verdict, widths
 from ..operators.cases import all_cases, dropped, glued, line_cases, merge_cases
-from ..sources import derived
+from ..sources import derived, layout
 
 KEYS = ["corpus", "file", "line_ord"]
 
@@ -328,10 +328,38 @@ def scaled_boxes(s: SparkSession, d: str) -> DataFrame:
     return derived.boxes(s, d).select("file", state.alias("state"), at.alias("at")).groupBy("file", "state").agg(F.sum("at").alias("edges"))
 
 
+def _read_lines(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """Lines read back from the derived pages as XML of a kind."""
+    text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
+    return layout.lines_of(derived.files(s, d, kind), kind).select("file", "line_id", "hpos", "vpos", "width", "height", F.size("words").alias("words"), F.md5(text).alias("text"))
+
+
+def alto_lines(s: SparkSession, d: str) -> DataFrame:
+    return _read_lines(s, d, "alto")
+
+
+def page_lines(s: SparkSession, d: str) -> DataFrame:
+    return _read_lines(s, d, "page")
+
+
+def djvu_lines(s: SparkSession, d: str) -> DataFrame:
+    return _read_lines(s, d, "djvu")
+
+
+def xml_boxes(s: SparkSession, d: str) -> DataFrame:
+    boxes = [layout.boxes_of(derived.files(s, d, k)).withColumn("kind", F.lit(k)) for k in ("alto", "page")]
+    return boxes[0].unionByName(boxes[1]).select("kind", "file", "ord", "line_id", "hpos", "vpos", "width", "height", F.md5("text").alias("text"), "page_width")
+
+
+def xml_texts(s: SparkSession, d: str) -> DataFrame:
+    return layout.texts_of(derived.files(s, d, "alto")).select("file", "line_ord", "line_id", F.md5("text").alias("text"), "has_hyphen")
+
+
 def queries() -> dict:
     names = """proportional_report merge_report decision case_counts line_scan page_triage resegment mojibake_repair interleave char_widths
     glue_and_drop stride_sample word_edges moved_boxes longest_long_words widest_lines vocabulary_sets last_correction cer_by_sets nearest_turn
     order_inversions overlap_pairs one_to_one_pairs words_in_lines labelled fallback_chain polygon_boxes space_tokens advances quality_auc
     event_counts support_bands ctc_report ink_gap_report ink_snap_report learned_report reprojected anchored_words
-    mojibake_repair_any independent_truth insertion_edges attached_truth judgeable_lines scaled_boxes""".split()
+    mojibake_repair_any independent_truth insertion_edges attached_truth judgeable_lines scaled_boxes
+    alto_lines page_lines djvu_lines xml_boxes xml_texts""".split()
     return {n: globals()[n] for n in names}

@@ -7,7 +7,9 @@ apart.  ``doc_id`` plays the file, ``lang`` the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +54,39 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((fault == 2) & (row % 8 == 0), 2600).otherwise(1100).cast("bigint").alias("width"), F.when((fault == 1) & (row % 8 == 0), 90).otherwise(30).cast("bigint").alias("height"),
         (400 + 1300 * F.col("columns")).cast("bigint").alias("page_width"),
     )
+
+
+#: Characters that XML can't hold; they are written as U+FFFD.
+NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+
+
+def _escaped(text: Column) -> Column:
+    out = F.regexp_replace(text, NOT_XML, "\ufffd")
+    for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("\t", "#9"), ("\r", "#13")):
+        out = F.replace(out, F.lit(char), F.lit(f"&{name};"))
+    return out
+
+
+#: For each kind of file: what a word, a line and the whole file look like.
+XML = {
+    "alto": ('<String CONTENT="{text}" HPOS="{x0}" WIDTH="{w}"/>', '<TextLine ID="l{ord}" HPOS="100" VPOS="{y0}" WIDTH="{width}" HEIGHT="30">{words}{hyphen}</TextLine>', '<alto><Layout><Page WIDTH="3000" HEIGHT="4000">{lines}</Page></Layout></alto>'),
+    "page": ('<Word><Coords points="{x0},{y0} {x1},{y1}"/><TextEquiv><Unicode>{text}</Unicode></TextEquiv></Word>', '<TextLine id="l{ord}"><Coords points="100,{y0} {right},{y1}"/>{words}</TextLine>', "<PcGts><Page>{lines}</Page></PcGts>"),
+    "djvu": ('<WORD coords="{x0},{y1},{x1},{y0}">{text}</WORD>', "<LINE>{words}</LINE>", "<BODY><OBJECT>{lines}</OBJECT></BODY>"),
+}
+
+
+def _filled(pattern: str, **values: Column) -> Column:
+    parts = re.split(r"\{(\w+)\}", pattern)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(file, content): the derived pages, lines of one word too, as XML of a kind; an even number of words ends with a hyphen mark."""
+    word, line, whole = XML[kind]
+    y0 = 40 * F.col("line_ord")
+    each = words(spark, sf_dir).withColumn("xml", _filled(word, text=_escaped(F.col("text")), x0=F.col("hpos"), w=F.col("width"), x1=F.col("hpos") + F.col("width"), y0=y0, y1=y0 + 30))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "xml"))), lambda x: x["xml"]), "")
+    own = each.groupBy("file", "line_ord").agg(joined("k").alias("words"), F.max(F.col("hpos") + F.col("width")).alias("right"), F.max("n").alias("n"))
+    hyphen = F.when(F.col("n") % 2 == 0, "<HYP/>").otherwise("")
+    lined = own.withColumn("xml", _filled(line, ord=F.col("line_ord"), y0=y0, y1=y0 + 30, right=F.col("right"), width=F.col("right") - 100, words=F.col("words"), hyphen=hyphen))
+    return lined.groupBy("file").agg(joined("line_ord").alias("lines")).select(F.col("file").cast("string").alias("file"), F.encode(_filled(whole, lines=F.col("lines")), "UTF-8").alias("content"))

@@ -181,22 +181,35 @@ def _mapped(files: DataFrame, schema: str, rows) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str | list[str], kind: str = "alto", min_words: int = 2, max_pages: int | None = None) -> DataFrame:
-    """Usable lines with their words; files that aren't XML stop the job with their name."""
+    """Usable lines with their words; files that aren't XML stop the job."""
+    return lines_of(_files(spark, path), kind, min_words, max_pages)
+
+
+def lines_of(files: DataFrame, kind: str = "alto", min_words: int = 2, max_pages: int | None = None) -> DataFrame:
+    """The same of files held in a table: (file, content)."""
     reader = READERS[kind]
 
     def rows(raw: bytes):
         for n, (page, key, hpos, vpos, width, height, words) in enumerate(reader(raw, min_words, max_pages)):
             yield page, n, key, hpos, vpos, width, height, [{"text": t, "hpos": h, "width": w} for t, h, w in words]
 
-    return _mapped(_files(spark, path), LINES, rows)
+    return _mapped(files, LINES, rows)
 
 
 def read_boxes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return _mapped(_files(spark, path), BOXES, lambda raw: ((n, *r) for n, r in enumerate(box_rows(raw))))
+    return boxes_of(_files(spark, path))
+
+
+def boxes_of(files: DataFrame) -> DataFrame:
+    return _mapped(files, BOXES, lambda raw: ((n, *r) for n, r in enumerate(box_rows(raw))))
 
 
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return _mapped(_files(spark, path), TEXTS, lambda raw: ((n, *r) for n, r in enumerate(text_rows(raw))))
+    return texts_of(_files(spark, path))
+
+
+def texts_of(files: DataFrame) -> DataFrame:
+    return _mapped(files, TEXTS, lambda raw: ((n, *r) for n, r in enumerate(text_rows(raw))))
 
 
 def band(boxes: DataFrame, top: int, bottom: int, x0: int, x1: int) -> DataFrame:

@@ -163,7 +163,7 @@ def test_caches(spark, tmp_path):
     assert [tuple(s) for s in caches.engine_words(spark, str(tmp_path / "e.json")).collect()[0]["spans"]] == [(0, 5), (5, 10), (10, 20), (20, 24)]
 
 
-@pytest.mark.parametrize("name", ["merge_report", "line_scan", "page_triage", "overlap_pairs", "nearest_turn"])
+@pytest.mark.parametrize("name", ["merge_report", "line_scan", "page_triage", "overlap_pairs", "nearest_turn", "alto_lines", "page_lines", "djvu_lines", "xml_boxes", "xml_texts"])
 def test_against_sql(spark, name):
     from pagewright import catalog
 
