@@ -39,9 +39,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without words under windows of 35 words that occur more than once (operator 9); others stay as they are."""
-    cut = window_index.dedup(docs, 35, carry=("text", "lang", "source", "n_chars"))
-    text, n = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars"))
+    """Texts without words under windows of 35 words that occur more than once (operator 9); others, null texts too, stay as they are."""
+    marked = docs.withColumn("no_text", F.col("text").isNull())
+    cut = window_index.dedup(marked, 35, carry=("text", "lang", "source", "n_chars", "no_text"))
+    text, n = F.when(F.col("n_removed") > 0, F.col("kept")).when(~F.col("no_text"), F.col("text")), F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", text.alias("text"), "lang", "source", n.cast("long").alias("n_chars")).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

@@ -365,6 +365,55 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_stages_by_brute_force(spark, documents):
+    """Each filtering stage on odd rows: nulls, ties, repeated and missing ids; then no rows at all."""
+    import corpus_pipeline
+
+    docs = documents.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    show = lambda frame: Counter((r["doc_id"], r["text"], r["n_chars"]) for r in frame.collect())
+    rows, keyed = show(docs), kept_rows(documents)
+    kept = brute_components(keyed, 5, 80)
+    assert show(corpus_pipeline.drop_near_duplicates(spark, docs, "")) == Counter({r: n for r, n in rows.items() if r[0] is None or kept[r[0]][2]})
+
+    words = {key: re.findall(r"[^\x20\x09-\x0D]+", text) for key, text in keyed}
+    windows = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    want, nulls = Counter(), {r[0] for r in rows if r[1] is None}
+    for key, text in keyed:
+        w, gone = words[key], set()
+        for i in range(len(w) - 34):
+            if windows[tuple(w[i : i + 35])] > 1:
+                gone |= set(range(i, i + 35))
+        cut = " ".join(x for i, x in enumerate(w) if i not in gone) if gone else text
+        want[key, None if key in nulls else cut, len(cut)] += 1
+    want.update({r: n for r, n in rows.items() if r[0] is None})
+    assert any(t is not None and (k, t) not in keyed for k, t, _ in want if k is not None)
+    assert show(corpus_pipeline.cut_repeated_passages(spark, docs, "")) == want
+
+    encode, ids = whole_ids("byte_bpe_50k.json"), {}
+    for r in corpus_pipeline.pack(spark, docs, "").orderBy("piece").collect():
+        assert r["start"] == sum(ids.setdefault(r["doc_id"], []))
+        if r["doc_id"] != 2:  # its row stands there twice
+            ids[r["doc_id"]].append(r["length"])
+    assert {k: sum(n) for k, n in ids.items() if k != 2} == {k: len(encode(t)) + 1 for k, t in keyed if k != 2}
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeated_passages, corpus_pipeline.pack):
+        assert stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_pipeline_drops_what_is_toxic(spark, tmp_path):
+    """Planted words decide; documents without text or id stay."""
+    import corpus_pipeline
+
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(400)}" for _ in range(80)) + (" vile rotten" if i % 8 == 0 else "") for i in range(1600)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(5000, None, "en", "s", 0), (5001, "", None, "s", 0), (None, texts[1], "en", None, 9)]
+    spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(0, 1600, 2)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == Counter(x for x in rows if " vile" not in (x[1] or ""))
+    assert corpus_pipeline.drop_toxic(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 def thue_morse(n):
     """Two different words of which polynomial hashes modulo 2**64 are equal."""
     a, b = "a", "b"
