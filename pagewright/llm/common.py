@@ -147,6 +147,22 @@ def only(frame: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left
     return frame.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+#: Rows under one key beyond which the key's other side is broadcast rather than dealt out by the key.
+HOT = 10_000
+
+
+def with_hot_keys(many: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The rows of ``many`` with the columns of ``one``, which has each key once: an inner join that no hot key burdens.
+
+    ``hot`` is a (staged) table of the keys with more than ``HOT`` rows in ``many``, so of at most one key for each ``HOT``
+    rows.  They are counted, and if they are within ``BROADCAST_IDS``, their rows of ``one`` are broadcast; all other keys, and
+    beyond that bound these too, are dealt out."""
+    if not 0 < hot.count() <= BROADCAST_IDS:
+        return many.join(one, key)
+    marked = F.broadcast(hot.select(key))
+    return many.join(F.broadcast(one.join(marked, key, "left_semi")), key).unionByName(many.join(marked, key, "left_anti").join(one.join(marked, key, "left_anti"), key))
+
+
 def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, matroska, minhash, packing, suffix_dedup, token_store, toxicity, window_index, wrappers
+from . import byte_bpe, fingerprint, line_index, matroska, minhash, oracle, packing, prefix_trie, spellings, suffix_dedup, token_store, toxicity, window_index, wrappers
 from .common import table
 
 
@@ -53,9 +53,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
 
+def op11_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(spellings.vocabulary(spellings.words(table(spark, sf_dir, "documents"), 199), 6, 5), 5)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
+def op13_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_index.digest(line_index.dedup(table(spark, sf_dir, "documents"), 20, 3))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
