@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import oracle
+from .plans import oracle, oracle_ink, oracle_readings, oracle_texts
 from .plans import queries as plans
+from .plans import ink, readings, texts
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return plans.queries()
+    return {**plans.queries(), **texts.queries(), **readings.queries(), **ink.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return {**oracle.oracle_sql(), **oracle_texts.oracle_sql(), **oracle_readings.oracle_sql(), **oracle_ink.oracle_sql()}

@@ -5,19 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import iou, jaccard
+from ..functions.columns import iou
 
 
-def _banded(frame: DataFrame, size: int) -> DataFrame:
-    return frame.withColumn("band", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size))))
+#: Pixels of a band for boxes of ordinary height; taller ones have bands of twice, four times ... that.
+BAND = 64
 
 
-def overlapping(a: DataFrame, b: DataFrame, least: float = 0.2, band: int = 64) -> DataFrame:
+def _level(size: int) -> Column:
+    """The least level whose bands are as tall as the box."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("y1") - F.col("y0"), F.lit(1)) / size))).cast("int")
+
+
+def meeting(a: DataFrame, b: DataFrame, size: int = BAND) -> DataFrame:
+    """Pairs of boxes (file, y0, y1, ...) of a file whose bands of y meet, with columns ``a_...`` and ``b_...``; every pair that
+    overlaps is among them, and each comes once.
+
+    A pair meets in the bands of its taller box's level, so a tall box is paired with what it reaches and makes no other
+    pairs.  A box lies in two bands at most of each level from its own to the highest that there is."""
+    top = F.greatest(*[side.agg(F.max(_level(size))).scalar() for side in (a, b)])
+
+    def banded(side: DataFrame, name: str) -> DataFrame:
+        rows = side.withColumn("own", _level(size)).withColumn("level", F.explode(F.sequence(F.col("own"), top)))
+        step = size * F.pow(F.lit(2.0), F.col("level"))
+        rows = rows.withColumn("from", F.floor(F.col("y0") / step)).withColumn("band", F.explode(F.sequence(F.col("from"), F.floor(F.col("y1") / step))))
+        return rows.select("file", "level", "band", *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c not in ("file", "level", "band")])
+
+    met = banded(a, "a").join(banded(b, "b"), ["file", "level", "band"])
+    return met.where("(a_own = level or b_own = level) and band = greatest(a_from, b_from)").drop("level", "band", "a_own", "b_own", "a_from", "b_from")
+
+
+def overlapping(a: DataFrame, b: DataFrame, least: float = 0.2, band: int = BAND) -> DataFrame:
     """(file, a_id, b_id, iou) of boxes (file, id, x0, y0, x1, y1) that overlap enough; boxes meet in bands of y."""
-    left = _banded(a, band).select("file", "band", *[F.col(c).alias(f"a_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
-    right = _banded(b, band).select("file", "band", *[F.col(c).alias(f"b_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
     share = iou(*({c: F.col(f"{k}_{c}") for c in ("x0", "y0", "x1", "y1")} for k in "ab"))
-    return left.join(right, ["file", "band"]).where("a_x0 < b_x1 and b_x0 < a_x1").withColumn("iou", share).where(F.col("iou") >= least).select("file", "a_id", "b_id", "iou").distinct()
+    return meeting(a, b, band).where("a_x0 < b_x1 and b_x0 < a_x1").withColumn("iou", share).where(F.col("iou") >= least).select("file", "a_id", "b_id", "iou")
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
@@ -26,13 +47,13 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("alone", alone("a_id") & alone("b_id")).where("alone").drop("alone")
 
 
-def held_words(words: DataFrame, lines: DataFrame, band: int = 64) -> DataFrame:
+def held_words(words: DataFrame, lines: DataFrame, band: int = BAND) -> DataFrame:
     """(file, line, text): words whose centre lies in a line's box, in order of x."""
-    middle = words.withColumn("cx", F.col("x0") + (F.col("x1") - F.col("x0")) / 2).withColumn("cy", F.col("y0") + (F.col("y1") - F.col("y0")) / 2).withColumn("band", F.floor(F.col("cy") / band))
-    rows = _banded(lines, band).select("file", "band", F.col("id").alias("line"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
-    inside = middle.join(rows, ["file", "band"]).where("cx >= l_x0 and cx < l_x1 and cy >= l_y0 and cy < l_y1")
-    own = F.array_sort(F.collect_list(F.struct("x0", "id", "text")))
-    return inside.groupBy("file", "line").agg(F.array_join(F.transform(own, lambda w: w["text"]), " ").alias("text"))
+    y = F.col("y0") + (F.col("y1") - F.col("y0")) / 2
+    middle = words.select("file", "id", "text", "x0", (F.col("x0") + (F.col("x1") - F.col("x0")) / 2).alias("cx"), y.alias("y0"), y.alias("y1"))
+    inside = meeting(middle, lines.select("file", "id", "x0", "y0", "x1", "y1"), band).where("a_cx >= b_x0 and a_cx < b_x1 and a_y0 >= b_y0 and a_y0 < b_y1")
+    own = F.array_sort(F.collect_list(F.struct("a_x0", "a_id", "a_text")))
+    return inside.groupBy("file", F.col("b_id").alias("line")).agg(F.array_join(F.transform(own, lambda w: w["a_text"]), " ").alias("text"))
 
 
 def best_by_jaccard(targets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -47,24 +68,19 @@ def best_by_jaccard(targets: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def inversions(frame: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """(group, inversions): pairs that stand in the wrong order, counted over neighbours in rank space by a running count.
+    """(group, inversions): pairs of whole numbers from 0 on that stand in the wrong order.
 
-    A group's pairs are counted from sorted prefixes in the JVM, not emitted."""
-    rows = frame.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))
-    values = F.transform("v", lambda x: x[value])
-    count = F.aggregate(values, F.struct(F.array().cast("array<bigint>").alias("seen"), F.lit(0).cast("bigint").alias("n")), lambda a, x: F.struct(F.concat(a["seen"], F.array(x.cast("bigint"))).alias("seen"), (a["n"] + F.size(F.filter(a["seen"], lambda y: y > x))).alias("n")), lambda a: a["n"])
-    return rows.select(group, count.alias("inversions"))
+    Two numbers differ first at some bit: the pair is wrong there if the one with the bit set stands before.  So for each bit,
+    running counts among the numbers that agree in all higher bits give all pairs, and none is made or gathered."""
+    top = F.max(value).over(Window.partitionBy(group))
+    rows = frame.select(group, F.col(order).alias("_at"), F.col(value).cast("bigint").alias("_v"), top.alias("_top"))
+    bits = rows.select(group, "_at", "_v", F.explode(F.sequence(F.lit(0), F.length(F.bin("_top")) - 1)).alias("_bit"))
+    marked = bits.select(group, "_at", "_bit", F.expr("_v div cast(pow(2, _bit + 1) as bigint)").alias("_above"), F.getbit("_v", F.col("_bit")).cast("bigint").alias("_set"))
+    before = Window.partitionBy(group, "_bit", "_above").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    wrong = F.when(F.col("_set") == 0, F.coalesce(F.sum("_set").over(before), F.lit(0))).otherwise(0)
+    return marked.select(group, wrong.alias("_wrong")).groupBy(group).agg(F.sum("_wrong").alias("inversions"))
 
 
 def raster_order(frame: DataFrame, group: str, row: int = 45, tie: str = "ord") -> DataFrame:
     """Adds ``rank``: rows of the page from the top, from left to right in each; equal places by ``tie``."""
     return frame.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.floor(F.col("vpos") / row), "hpos", tie)))
-
-
-def misattached(pairs: DataFrame, margin: float = 0.15, twin: float = 0.85) -> DataFrame:
-    """Rows (page, line, own, best_other, twin_of) whose best other line beats their own by the margin, unless it is a twin."""
-    return pairs.where((F.col("best_other") > F.col("own") + margin) & ~(F.col("twin_of") >= twin))
-
-
-def similarity_by_tokens(a: Column, b: Column) -> Column:
-    return jaccard(a, b)

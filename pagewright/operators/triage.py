@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import vertical_overlap
+from .matching import meeting
 
 
 @dataclass(frozen=True)
@@ -72,15 +73,11 @@ def triage(boxes: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 def lines_to_resegment(boxes: DataFrame, max_overlap: float = 0.35, fused_ratio: float | None = None) -> DataFrame:
     """(file, ord, overlap, reason): lines that a neighbour covers by too much, or that are too tall.
 
-    Boxes meet in bands of the page's typical height, so pages with many lines don't pair all of them."""
-    tall = boxes.groupBy("file").agg(F.percentile("height", F.lit(0.5)).alias("mid"), F.max("height").alias("tallest"))
-    rows = boxes.join(tall, "file")
-    band = F.explode(F.sequence(F.floor(F.col("vpos") / F.greatest(F.lit(1), "tallest")), F.floor((F.col("vpos") + F.col("height")) / F.greatest(F.lit(1), "tallest"))))
-    banded = rows.withColumn("band", band)
-    a = banded.select("file", "band", *[F.col(c).alias(f"a_{c}") for c in ("ord", "hpos", "vpos", "width", "height")])
-    b = banded.select("file", "band", *[F.col(c).alias(f"b_{c}") for c in ("ord", "hpos", "vpos", "width", "height")])
+    Boxes meet in bands of their own height, so neither many lines nor one tall box pair a page whole."""
+    rows = boxes.join(boxes.groupBy("file").agg(F.percentile("height", F.lit(0.5)).alias("mid")), "file")
+    flat = boxes.select("file", "ord", "hpos", "vpos", "width", "height", F.col("vpos").alias("y0"), (F.col("vpos") + F.col("height")).alias("y1"))
     share = vertical_overlap(*({c: F.col(f"{k}_{c}") for c in ("hpos", "vpos", "width", "height")} for k in "ab"))
-    met = a.join(b, ["file", "band"]).where("a_ord != b_ord").groupBy("file", F.col("a_ord").alias("ord")).agg(F.max(share).alias("overlap"))
+    met = meeting(flat, flat).where("a_ord != b_ord").groupBy("file", F.col("a_ord").alias("ord")).agg(F.max(share).alias("overlap"))
     out = rows.join(met, ["file", "ord"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
     tall_reason = F.when((F.col("mid") > 0) & (F.col("height") > fused_ratio * F.col("mid")), "height") if fused_ratio is not None else F.lit(None)
     reason = F.when(F.col("overlap") > max_overlap, "overlap").otherwise(tall_reason)

@@ -16,14 +16,14 @@ from .resolvers import laid_out, shared_by
 MODEL = "corpus string, file long, parity int, glyphs map<string,double>, constant double, space double, unit double"
 
 
-def learn_advances(cuts: DataFrame) -> DataFrame:
-    """(glyph, advance, n) from cuts (file, line_ord, text, spans): the distance to the next character's start against
-    the line's median, then the median of each folded character."""
+def learn_advances(cuts: DataFrame, *by: str) -> DataFrame:
+    """(by, glyph, advance, n) from cuts (file, line_ord, text, spans): the distance to the next character's start against
+    the line's median, then the median of each folded character, of all cuts or by ``by``."""
     each = cuts.select("file", "line_ord", F.posexplode(F.arrays_zip(F.split("text", "").alias("c"), F.col("spans").alias("s"))).alias("k", "x"))
     following = F.lead(F.col("x.s.x0")).over(Window.partitionBy("file", "line_ord").orderBy("k"))
     step = each.select("file", "line_ord", F.col("x.c").alias("c"), F.greatest(F.lit(0), F.coalesce(following, F.col("x.s.x1")) - F.col("x.s.x0")).alias("step")).where("step > 0")
     scale = F.percentile("step", F.lit(0.5)).over(Window.partitionBy("file", "line_ord"))
-    return step.withColumn("advance", F.col("step") / scale).groupBy(folded("c").alias("glyph")).agg(F.percentile("advance", F.lit(0.5)).alias("advance"), F.count("*").alias("n"))
+    return step.withColumn("advance", F.col("step") / scale).groupBy(*by, folded("c").alias("glyph")).agg(F.percentile("advance", F.lit(0.5)).alias("advance"), F.count("*").alias("n"))
 
 
 def ridge(counts: np.ndarray, widths: np.ndarray, unit: float) -> np.ndarray:
@@ -78,11 +78,15 @@ def cross_fit(lines: DataFrame) -> DataFrame:
     return rows.select("corpus", "file", "parity", "words").groupBy("corpus", "file", "parity").applyInPandas(learn, MODEL)
 
 
+def parities(lines: DataFrame) -> DataFrame:
+    """(corpus, file, line_ord, parity) by the order of each page's lines."""
+    order = Window.partitionBy("corpus", "file").orderBy("line_ord")
+    return lines.select("corpus", "file", "line_ord", ((F.row_number().over(order) - 1) % 2).cast("int").alias("parity"))
+
+
 def resolve_learned(cases: DataFrame, lines: DataFrame) -> DataFrame:
     """Cases laid out by their page's own letter widths, never learned from their own half."""
-    order = Window.partitionBy("corpus", "file").orderBy("line_ord")
-    parity = lines.select("corpus", "file", "line_ord", ((F.row_number().over(order) - 1) % 2).cast("int").alias("parity"))
-    rows = cases.join(parity, ["corpus", "file", "line_ord"]).join(cross_fit(lines), ["corpus", "file", "parity"], "left")
+    rows = cases.join(parities(lines), ["corpus", "file", "line_ord"]).join(cross_fit(lines), ["corpus", "file", "parity"], "left")
     glyph = lambda c: F.coalesce(F.try_element_at("glyphs", c), F.col("unit"))
     letters = lambda t: F.split(t, "")
     rows = rows.withColumn("folded", F.transform(F.split(folded(F.array_join("tokens", "\n")), "\n"), lambda t: t))

@@ -88,8 +88,38 @@ ALL_LINES = WORDS + """, t AS (SELECT file, line_ord, count(*) AS n, max(hpos +
 """
 
 
+#: The letters beyond ASCII in the tables' texts.  DuckDB's levenshtein compares bytes, so each becomes one byte that no text has.
+BEYOND = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_FREE = " || ".join(f"chr({k})" for k in range(11, 11 + len(BEYOND)))
+
+
+def levenshtein(a: str, b: str) -> str:
+    """Edits between two texts in code points."""
+    return "levenshtein({}, {})".format(*(f"translate({x}, '{BEYOND}', {_FREE})" for x in (a, b)))
+
+
+#: Three neighbouring words: where the first blank is put, by one division or by a running sum of units.
+FALLBACK = WORDS + """, t AS (SELECT corpus, file, hpos, len AS a, lead(len, 1) OVER g AS b, lead(len, 2) OVER g AS c, lead(hpos + width, 2) OVER g - hpos AS box FROM x WINDOW g AS (PARTITION BY file, line_ord ORDER BY k)),
+  s AS (SELECT *, 10 * (a + b + c) + 12 AS total FROM t WHERE box IS NOT NULL)
+  SELECT corpus, count(*) AS answered, sum(hpos + CASE WHEN file % 3 <> 0 THEN round_even(box * (10.0 * a) / total, 0) ELSE round_even(a * (box / (total / 10.0)), 0) END)::BIGINT AS hpos FROM s GROUP BY 1"""
+#: Letters with the distance to the next one, against the line's median.
+ADVANCES = WORDS + """, g AS (SELECT file, line_ord, unnest(string_split(text, '')) AS c FROM x), d AS (SELECT file, line_ord, c, 4 + unicode(c) % 13 AS step FROM g UNION ALL SELECT file, line_ord, ' ', 6 + k % 3 FROM x WHERE next_hpos IS NOT NULL),
+  r AS (SELECT strip_accents(lower(c)) AS glyph, step / median(step) OVER (PARTITION BY file, line_ord) AS advance FROM d)
+  SELECT glyph, round(median(advance), 6) AS advance, count(*) AS n FROM r GROUP BY 1"""
+#: Pairs of turns by role, error band and kind of change.
+SETS = rf"""WITH t AS (SELECT role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations),
+  w AS (SELECT *, {levenshtein('text', 'other')} AS edits, length(other) AS size, len(regexp_extract_all(text, '\S+')) AS before, len(regexp_extract_all(other, '\S+')) AS after FROM t WHERE other IS NOT NULL),
+  p AS (SELECT role, edits, size, CASE WHEN before < after THEN 'added' WHEN before > after THEN 'removed' ELSE 'same' END AS kind,
+    CASE WHEN edits / greatest(1, size) <= 0.05 THEN '0-5' WHEN edits / greatest(1, size) <= 0.15 THEN '5-15' WHEN edits / greatest(1, size) <= 0.3 THEN '15-30' ELSE '>30' END AS band FROM w)
+  SELECT role, band, kind, grouping_id(role, band, kind)::BIGINT AS level, count(*) AS pairs, sum(edits)::BIGINT AS edits, sum(size)::BIGINT AS size, round(sum(edits) / greatest(sum(size), 1), 6) AS cer, count_if(edits = 0)::BIGINT AS equal
+  FROM p GROUP BY GROUPING SETS ((role, band), (role, kind), (role), ())"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "fallback_chain": FALLBACK,
+        "advances": ADVANCES,
+        "cer_by_sets": SETS,
         "proportional_report": report(UNIT, "err", "lines"),
         "merge_report": report(PAIR, "err2", "pair"),
         "decision": PAIR + WHOLE.removeprefix(WORDS) + """, b AS (SELECT corpus, max(e) AS worst, 1 - avg((e / unit <= 0.5)::INT) AS beyond FROM err GROUP BY 1),

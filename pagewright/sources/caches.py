@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import word_spans
+
 CUTS = "provenance struct<schema:int,alto:struct<sha256:string>,image:struct<sha256:string>,scale:double,units:string>, lines map<string,struct<text:string,spans:array<array<bigint>>>>"
 GAPS = "lines map<string,array<array<bigint>>>"
 WORDS = "lines map<string,struct<text:string,boxes:array<array<bigint>>>>"
@@ -30,16 +32,10 @@ def ink_gaps(spark: SparkSession, path) -> DataFrame:
 
 
 def engine_words(spark: SparkSession, path) -> DataFrame:
-    """(file, line_id, text, spans): an engine's word boxes shared evenly among each word's characters; lines whose
-    words and boxes disagree are left out."""
+    """(file, line_id, text, spans): an engine's word boxes shared evenly among each word's characters; lines with an
+    empty word or more words than boxes are left out."""
     rows = _json(spark, path, WORDS).select("file", F.explode("lines").alias("line_id", "c"))
-    parts = rows.withColumn("ws", F.filter(F.split("c.text", r"\s+"), lambda w: w != "")).where(F.size("ws") == F.size("c.boxes"))
-    one = lambda w, b: F.transform(F.sequence(F.lit(0), F.length(w) - 1), lambda k: F.struct(F.floor(b[0] + (b[1] - b[0]) * k / F.length(w)).alias("x0"), F.floor(b[0] + (b[1] - b[0]) * (k + 1) / F.length(w)).alias("x1")))
-    gap = lambda b: F.array(F.struct(F.lit(None).cast("bigint").alias("x0"), b[0].alias("x1")))
-    spelled = F.flatten(F.zip_with("ws", "c.boxes", lambda w, b: F.concat(gap(b), one(w, b))))
-    joined = F.slice(spelled, 2, F.size(spelled) - 1)
-    fixed = F.transform(joined, lambda s, k: F.struct(F.coalesce(s["x0"], F.element_at(joined, k)["x1"]).alias("x0"), s["x1"].alias("x1")))
-    return parts.select("file", "line_id", F.array_join("ws", " ").alias("text"), fixed.alias("spans"))
+    return rows.select("file", "line_id", "c.text", word_spans(F.split("c.text", " "), F.col("c.boxes")).alias("spans")).where("spans is not null")
 
 
 def manifest(spark: SparkSession, path) -> DataFrame:

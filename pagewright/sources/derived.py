@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,23 +20,77 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+LINES = "corpus string, file long, line_ord int, hpos long, vpos long, width long, height long, words array<struct<text:string,hpos:long,width:long>>"
+#: Bytes of text that are laid out at once; a longer document alone, whole.
+SLICE = 1 << 20
+
+
+def _laid_out(data: np.ndarray, offsets: np.ndarray):
+    """Word boxes of a slice of documents: (document, line, left edge, width, index of each line's first word, text bytes and
+    their offsets), from running sums over code points."""
+    codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # documents' first code points
+    feed, gap = codes == 10, (codes == 10) | (codes == 32)
+    edge = np.zeros(len(codes) + 1, bool)
+    edge[at] = True
+    start = np.flatnonzero(~gap & (edge[:-1] | np.concatenate([[True], gap[:-1]])))
+    end = np.flatnonzero(~gap & (edge[1:] | np.concatenate([gap[1:], [True]]))) + 1
+    document = np.searchsorted(at, start, "right") - 1
+    feeds = np.concatenate([[0], np.cumsum(feed)])
+    line = feeds[start] - feeds[at[document]]
+    first = np.flatnonzero(np.concatenate([[True], (document[1:] != document[:-1]) | (line[1:] != line[:-1])])[: len(start)])
+    nth = np.arange(len(start)) - np.repeat(first, np.diff(np.append(first, len(start))))
+    sizes = np.concatenate([[0], np.cumsum(4 + codes.astype(np.int64) % 13)])
+    width = sizes[end] - sizes[start]
+    before = np.cumsum(width + 6 + nth % 3) - (width + 6 + nth % 3)
+    left = 100 + before - np.repeat(before[first], np.diff(np.append(first, len(start))))
+    length = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    bytes_to = np.concatenate([[0], np.cumsum(length)])
+    own = bytes_to[end] - bytes_to[start]
+    return document, line, left, width, first, data[np.repeat(~gap, length)], np.concatenate([[0], np.cumsum(own)])
+
+
+def _line_batches(batches):
+    for batch in batches:
+        texts = batch.column("text")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+            part = batch.slice(lo, hi - lo)
+            text = part.column("text").cast(pa.large_string())
+            _, at, raw = text.buffers()
+            offsets = np.frombuffer(at, np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+            document, line, left, width, first, spelt, word_at = _laid_out(data, offsets - offsets[0])
+            lo = hi
+            if not len(first):
+                continue
+            bounds = np.append(first, len(document))
+            strings = pa.StringArray.from_buffers(len(document), pa.py_buffer(word_at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(spelt)))
+            words = pa.StructArray.from_arrays([strings, pa.array(left), pa.array(width)], ["text", "hpos", "width"])
+            last, whose, n = bounds[1:] - 1, pa.array(document[first]), len(first)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("corpus").take(whose), part.column("file").take(whose), pa.array(line[first].astype(np.int32)), pa.array(np.full(n, 100)), pa.array(40 * line[first]), pa.array(left[last] + width[last] - 100), pa.array(np.full(n, 30)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words)],
+                ["corpus", "file", "line_ord", "hpos", "vpos", "width", "height", "words"],
+            )
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(corpus, file, line_ord, hpos, vpos, width, height, words): every line that has words, made where its document is read."""
+    rows = documents(spark, sf_dir).where("text is not null").select(F.col("lang").alias("corpus"), F.col("doc_id").cast("long").alias("file"), "text")
+    return rows.mapInArrow(_line_batches, LINES)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(corpus, file, line_ord, k, n, text, width, hpos): one row for each word."""
-    lines = documents(spark, sf_dir).select(F.col("lang").alias("corpus"), F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_ord", "line"))
-    parts = lines.withColumn("ws", F.filter(F.split("line", " "), lambda w: w != ""))
-    each = parts.select("corpus", "file", "line_ord", F.size("ws").alias("n"), F.posexplode("ws").alias("k", "text"))
-    wide = each.withColumn("width", F.aggregate(F.split("text", ""), F.lit(0).cast("bigint"), lambda a, c: a + 4 + F.ascii(c) % 13))
-    before = Window.partitionBy("file", "line_ord").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return wide.withColumn("hpos", 100 + F.coalesce(F.sum(F.col("width") + 6 + F.col("k") % 3).over(before), F.lit(0)))
+    each = all_lines(spark, sf_dir).select("corpus", "file", "line_ord", F.size("words").alias("n"), F.posexplode("words").alias("k", "w"))
+    return each.select("corpus", "file", "line_ord", "k", "n", "w.text", "w.width", "w.hpos")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(corpus, file, line_ord, hpos, vpos, width, height, words): lines of two words or more."""
-    rows = words(spark, sf_dir).where("n >= 2").groupBy("corpus", "file", "line_ord").agg(F.array_sort(F.collect_list(F.struct("k", "text", "hpos", "width"))).alias("w"))
-    own = F.transform("w", lambda w: F.struct(w["text"].alias("text"), w["hpos"].alias("hpos"), w["width"].alias("width")))
-    out = rows.select("corpus", "file", "line_ord", own.alias("words"))
-    last = F.element_at("words", -1)
-    return out.select("corpus", "file", "line_ord", F.lit(100).cast("bigint").alias("hpos"), (40 * F.col("line_ord")).cast("bigint").alias("vpos"), (last["hpos"] + last["width"] - 100).alias("width"), F.lit(30).cast("bigint").alias("height"), "words")
+    """:func:`all_lines` of two words or more."""
+    return all_lines(spark, sf_dir).where(F.size("words") >= 2)
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +98,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lines stand in up to three columns by ``file % 3``; of every ten files, one has tall lines, one
     over-wide lines, one a column in reverse order and one missing lines."""
-    own = words(spark, sf_dir).groupBy("file", "line_ord").agg(F.count("*").alias("n"))
+    own = all_lines(spark, sf_dir).select("file", "line_ord")
     ord_ = F.row_number().over(Window.partitionBy("file").orderBy("line_ord")) - 1
     total = F.count("*").over(Window.partitionBy("file"))
     placed = own.withColumn("ord", ord_).withColumn("total", total).withColumn("columns", 1 + F.col("file") % 3)
@@ -56,6 +113,43 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def returned(spark: SparkSession, sf_dir: str, turn: int = 0) -> DataFrame:
+    """(corpus, page, ord, source, output, truth): lines that a corrector has returned, one page for each document.
+
+    The truth is the document's line, blank ones left out.  Sources read ``e`` as ``c`` in one line of three.  By the sum of page
+    and ord, an output is the next line's truth (one of seven), has the line's beginning put before it in reverse (one
+    of five of the others), is the source (one of nine of the rest), else the truth.  Another ``turn`` gives other lines' turns."""
+    lines = F.split("text", "\n")
+    following = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(None).cast("string")))
+    each = F.posexplode(F.arrays_zip(lines.alias("truth"), following.alias("next"))).alias("ord", "x")
+    rows = documents(spark, sf_dir).select(F.col("lang").alias("corpus"), F.col("doc_id").alias("page"), each).select("corpus", "page", F.col("ord").cast("bigint").alias("ord"), "x.truth", "x.next").where("trim(truth) <> ''")
+    k = F.col("page") + F.col("ord") + turn
+    source = F.when((F.col("page") + F.col("ord")) % 3 == 0, F.translate("truth", "e", "c")).otherwise(F.col("truth"))
+    output = F.when(k % 7 == 3, F.coalesce("next", "truth")).when(k % 5 == 1, F.concat(F.reverse(F.substring("truth", 1, 40)), F.lit(" "), "truth")).when(k % 9 == 0, source).otherwise(F.col("truth"))
+    return rows.select("corpus", "page", "ord", source.alias("source"), output.alias("output"), "truth")
+
+
+def hyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, ord, text, hyphened): each document's lines, single spaces between words, some words broken at line ends.
+
+    Where page and ord add up to one more than a multiple of four, the line has two words or more and the last of them six
+    letters or more, and the next line has words, all but its first three letters go to the next line; of an even page the
+    hyphen is visible, of an odd one a mark."""
+    words = F.transform(F.split("text", "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    pages = documents(spark, sf_dir).select(F.col("doc_id").alias("page"), words.alias("ws"))
+    # One row a line before the rules look at its neighbours, so that no long page is worked through for each of its lines.
+    before, following = F.concat(F.array(F.lit(None).cast("array<string>")), "ws"), F.concat(F.slice("ws", 2, F.size("ws")), F.array(F.lit(None).cast("array<string>")))
+    each = pages.select("page", F.posexplode(F.arrays_zip(F.col("ws").alias("own"), before.alias("above"), following.alias("below"))).alias("ord", "x")).select("page", F.col("ord").cast("bigint").alias("ord"), "x.*").where("own is not null")
+    last = lambda c: F.element_at(c, -1)
+    broken = lambda own, below, k: F.coalesce((k % 4 == 1) & (F.size(own) >= 2) & (F.length(F.try_element_at(own, F.lit(-1))) >= 6) & (F.size(below) > 0), F.lit(False))
+    k = F.col("page") + F.col("ord")
+    marked = each.withColumn("cut", broken(F.col("own"), F.col("below"), k)).withColumn("tail", broken(F.col("above"), F.col("own"), k - 1))
+    hyphen = F.when(F.col("page") % 2 == 0, "-").otherwise("")
+    own = F.when(F.col("cut"), F.concat(F.slice("own", 1, F.size("own") - 1), F.array(F.concat(F.substring(last(F.col("own")), 1, 3), hyphen)))).otherwise(F.col("own"))
+    whole = F.when(F.col("tail"), F.concat(F.array(F.substr(last(F.col("above")), F.lit(4))), own)).otherwise(own)
+    return marked.select("page", "ord", F.array_join(whole, " ").alias("text"), F.col("cut").alias("hyphened"))
+
+
 #: Characters that XML can't hold; they are written as U+FFFD.
 NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
 
