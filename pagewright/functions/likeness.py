@@ -84,38 +84,55 @@ def common_subsequence(text: np.ndarray, others: np.ndarray, letters: int) -> np
     return n - np.bitwise_count(state & last).sum(1).astype(np.int64)
 
 
-def candidates(text: str, among: Texts, floor: float, skip: np.ndarray | None = None):
-    """(index, bound) of the texts that may be as like a case-folded one as the floor, in the order of their bounds; a caller
-    stops where no bound can help."""
+def by_characters(text: str, among: Texts, floor: float, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, bounds) of the texts that may be as like a case-folded one as the floor, by lengths and common characters, in the
+    order of their bounds."""
     total = among.size + len(text)
     scale = 2 / np.maximum(total, 1)
     bound = np.where(total, scale * np.minimum(among.size, len(text)), 1.0)
     left = np.flatnonzero(bound >= floor) if skip is None else np.flatnonzero((bound >= floor) & ~skip)
-    number = among.numbers(text)
-    count = np.bincount(number, minlength=among.counts.shape[1])
-    bound[left] = np.where(total[left], scale[left] * np.minimum(among.counts[left, 1:], count[1:]).sum(1), 1.0)
-    left = left[bound[left] >= floor]
+    count = np.bincount(among.numbers(text), minlength=among.counts.shape[1])
+    closer = np.where(total[left], scale[left] * np.minimum(among.counts[left, 1:], count[1:]).sum(1), 1.0)
+    order = np.argsort(-closer, kind="stable")[: np.count_nonzero(closer >= floor)]
+    return left[order], closer[order]
+
+
+def by_subsequence(text: str, among: Texts, left: np.ndarray, bound: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same after the closest bound, for those of ``left`` that may still reach the floor."""
+    left, bound = left[bound >= floor], bound[bound >= floor].copy()
     if 0 < len(text) <= LONGEST:
-        near = left[among.size[left] <= LONGEST]
-        for some in np.array_split(near, -(-len(near) * int(among.size[near].max(initial=1)) // (1 << 20)) or 1):
-            bound[some] = scale[some] * common_subsequence(number, among.matrix(some), len(among.letters))
-        left = left[bound[left] >= floor]
-    order = left[np.argsort(-bound[left], kind="stable")]
-    yield from zip(order.tolist(), bound[order].tolist())
+        number, near = among.numbers(text), np.flatnonzero(among.size[left] <= LONGEST)
+        near = near[np.argsort(among.size[left[near]], kind="stable")]  # texts of like lengths together
+        for some in np.array_split(near, -(-len(near) * int(among.size[left[near]].max(initial=1)) // (1 << 18)) or 1):
+            own = left[some]
+            bound[some] = 2 / (among.size[own] + len(text)) * common_subsequence(number, among.matrix(own), len(among.letters))
+    order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound >= floor)]
+    return left[order], bound[order]
 
 
 def best_of(text: str, among: Texts, ids: list, own, floor: float, spare=None) -> tuple[float, object] | None:
     """(likeness, id) of the text among others that is most like this one, by (likeness, id), but for the one with the id
-    ``own``; None if none reaches the floor.  ``spare(i)`` says whether a text that would win is to be passed over."""
+    ``own``; None if none reaches the floor.  ``spare(i)`` says whether a text that would win is to be passed over.
+
+    The two that share most characters are compared first; what can't beat them isn't looked at more closely."""
     text, best = text.casefold(), None
-    for i, bound in candidates(text, among, floor, np.array([x == own for x in ids], bool)):
-        if best is not None and bound < best[0]:
-            break
+    left, bound = by_characters(text, among, floor, np.array([x == own for x in ids], bool))
+
+    def compare(i: int) -> None:
+        nonlocal best
         other = among.texts[i]
         total = len(other) + len(text)
         got = (2 * sum(n for _, _, n in blocks(other, text)) / total if total else 1.0, ids[i])
         if got[0] >= floor and (best is None or got > best) and not (spare and spare(i)):
             best = got
+
+    for i in left[:2].tolist():
+        compare(i)
+    left, bound = by_subsequence(text, among, left[2:], bound[2:], max(floor, best[0]) if best else floor)
+    for i, most in zip(left.tolist(), bound.tolist()):
+        if best is not None and most < best[0]:
+            break
+        compare(i)
     return best
 
 
@@ -129,7 +146,7 @@ def unanchored_share(source: str, output: str, least: float = 0.5) -> float:
         return 0.0
     among, bad = Texts(list(own)), set()
     for w in words:
-        if w not in low and not any(2 * sum(n for _, _, n in blocks(w, among.texts[i])) >= least * (len(w) + len(among.texts[i])) for i, _ in candidates(w, among, least)):
+        if w not in low and not any(2 * sum(n for _, _, n in blocks(w, among.texts[i])) >= least * (len(w) + len(among.texts[i])) for i in by_characters(w, among, least)[0].tolist()):
             bad.add(w)
     return sum(w in bad for w in counted) / len(counted)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import support_of
@@ -13,15 +13,20 @@ RECOURSE = 0.60
 KEY = ("corpus", "page", "ord", "output")
 
 
+def edits(a: str, b: str) -> Column:
+    """Edits between two texts; most pairs are equal and cost nothing."""
+    return F.when(F.col(a) == F.col(b), 0).otherwise(F.levenshtein(a, b))
+
+
 def corrections(rows: DataFrame) -> DataFrame:
     """Distinct corrections of result rows (corpus, producer, turn, page, ord, source, output, truth), one row for each
     (corpus, page, ord, output) that differs from its source: how many rows have it, how many of them are better than their
     source, what reverting them all would save, and of the last one (by turn, then producer) its figures.
 
     Texts are aligned once for each correction, not for each row."""
-    edits = rows.where(~F.col("output").eqNullSafe(F.col("source"))).withColumn("before", F.levenshtein("source", "truth")).withColumn("after", F.levenshtein("output", "truth"))
+    changed = rows.where(~F.col("output").eqNullSafe(F.col("source"))).withColumn("before", edits("source", "truth")).withColumn("after", edits("output", "truth"))
     last = F.max_by(F.struct("producer", "source", "truth", "before", "after"), F.struct("turn", "producer")).alias("last")
-    each = edits.groupBy(*KEY).agg(F.count("*").alias("rows"), F.count_if(F.col("after") < F.col("before")).alias("better"), F.sum(F.col("before") - F.col("after")).alias("saved"), last)
+    each = changed.groupBy(*KEY).agg(F.count("*").alias("rows"), F.count_if(F.col("after") < F.col("before")).alias("better"), F.sum(F.col("before") - F.col("after")).alias("saved"), last)
     runs = each.withColumn("x", unanchored_runs_of("last.source", "output", "last.truth"))
     return runs.select(*KEY, "rows", "better", "saved", "last.producer", (F.col("last.after") < F.col("last.before")).alias("good"), "x.run", "x.invented")
 
@@ -39,7 +44,7 @@ def guard_report(rows: DataFrame, limits: tuple[int, ...] = LIMITS) -> DataFrame
         ).alias(f"limit_{limit}"))
     guards = corrections(rows).groupBy("corpus").agg(*figures)
     each = guards.select("corpus", "changed", "better", "corrections", "faulty", F.explode(F.array(*[f"limit_{k}" for k in limits])).alias("g")).select("*", "g.*").drop("g")
-    totals = rows.groupBy("corpus").agg(F.sum(F.levenshtein("output", "truth")).alias("errors"), F.sum(F.length("truth")).alias("letters"))
+    totals = rows.groupBy("corpus").agg(F.sum(edits("output", "truth")).alias("errors"), F.sum(F.length("truth")).alias("letters"))
     rate = lambda n: n / F.greatest(F.col("letters"), F.lit(1))
     return each.join(totals, "corpus").withColumn("cer", rate(F.col("errors"))).withColumn("cer_reverted", rate(F.col("errors") + F.col("saved"))).drop("errors", "letters", "saved")
 

@@ -56,7 +56,7 @@ def guard_report(s: SparkSession, d: str) -> DataFrame:
 
 def correction_counts(s: SparkSession, d: str) -> DataFrame:
     """Results by corpus and producer: lines changed, better and worse, corrections that both producers share, error rates."""
-    rows = _runs(s, d).withColumn("before", F.levenshtein("source", "truth")).withColumn("after", F.levenshtein("output", "truth"))
+    rows = _runs(s, d).withColumn("before", guards.edits("source", "truth")).withColumn("after", guards.edits("output", "truth"))
     changed = F.col("output") != F.col("source")
     shared = rows.where(changed).groupBy(*guards.KEY).agg(F.countDistinct("producer").alias("producers")).groupBy("corpus").agg(F.count("*").alias("corrections"), F.count_if(F.col("producers") > 1).alias("shared"))
     each = rows.groupBy("corpus", "producer").agg(
