@@ -8,10 +8,11 @@ logistic model on their presence is fitted in numpy by gradient descent on the n
 
 where ``prior`` is the class prior: the share of positives among labels, but no more than marked words
 allow (their share in unlabelled text over their share in positives).  The fit sees at most ``positives`` and ``unlabelled`` documents,
-taken by a hash of their ids: both bounds are parameters, 6000 and 12000 by default.  Scoring reads
+taken by a hash of their ids: both bounds are parameters, 6000 and 12000 by default, and at most ``MOST_WORDS`` words count.  Scoring reads
 every whole text.  Labels, language, source and doc_id never enter a score.
 
-A null or empty text has no marked word and gets the model's base score; a null label is no label;
+A null or empty text has no marked word and gets the model's base score, ``NO_EVIDENCE`` at most, and under half of one in the
+number of unlabelled documents if no word marks positives; a null label is no label;
 rows with a null doc_id are left out; repeated rows are scored alike; without any positive the
 prior is 0 and every score is 0.  Other columns are not looked at.
 """
@@ -30,6 +31,8 @@ from .common import crc_mod4, flat, keyed, slices, tidy
 from .hashing import text_words
 
 MIN_DOCS, MIN_GAIN, MIN_POSTERIOR, MOST_WORDS, CAUTION = 4, 20.0, 0.4, 4096, 0.8
+#: A document without any marked word scores at most this: the share of positives among labels says nothing about it.
+NO_EVIDENCE = 0.2
 
 
 @dataclass(frozen=True)
@@ -98,7 +101,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return out
 
     if not len(keys):
-        return Model(keys, np.zeros(0), 0.0, float(np.log(prior / (1 - prior))) if prior < 1 else 60.0)
+        # No word tells positives from unlabelled text, so nothing speaks for any document, whatever was labelled.
+        return Model(keys, np.zeros(0), 0.0, float(-np.log(2 * n_u + 1)))
     x_p, x_u = design(positive), design(unlabelled)
     # Labels may be chosen by their class, so their share is no more than a guess: the share of unlabelled documents with
     # a marked word, over that share of positives, is an upper bound of the prior.
@@ -110,7 +114,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     seen = (x_p @ w)[x_p.any(1)]
     full = max(float(np.quantile(seen, 0.05)) if len(seen) else 1.0, 1e-9)
     a, b = descend(saturated(x_p @ w / full)[:, None], saturated(x_u @ w / full)[:, None], prior, steps, 1e-6)
-    return Model(keys, w / full, float(a[0]), b)
+    return Model(keys, w / full, float(a[0]), min(b, float(np.log(NO_EVIDENCE / (1 - NO_EVIDENCE)))))
 
 
 def saturated(evidence: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pagewright.llm import common, line_index, prefix_trie, spellings
+from pagewright.llm import common, line_index, prefix_trie, spellings, toxicity
 
 
 def low(text):
@@ -204,3 +204,19 @@ def test_lines_go_on_in_a_later_job(spark, tmp_path):
     assert [r["n_dropped"] for r in first] == [0, 0]
     later = {r["doc_id"]: r["kept"] for r in line_index.dedup(docs((1, f"{shared}\nnew"), (2, "other")), folder=folder).collect()}
     assert later == {1: "new", 2: "other"}
+
+
+@pytest.mark.parametrize("share", [0.1, 0.4, 1.0])
+def test_toxicity_needs_evidence(spark, share):
+    """However many labels are toxic: where no word marks them, and where a document has none of the words that do, it isn't."""
+    r = random.Random(16)
+    word = lambda: r.choice(["red", "green", "blue", "tree", "sky", "sea"])
+    plain = [(k, " ".join(word() for _ in range(30))) for k in range(300)] + [(300, ""), (301, None), (302, " ")]
+    labels = spark.createDataFrame([(k, int(k < 200 * share)) for k in range(200)], "doc_id long, toxic int")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.classify(frame(plain), labels).collect()
+    assert len(got) == 303 and not any(x["predicted"] for x in got) and all(0 <= x["score"] <= toxicity.NO_EVIDENCE for x in got)
+    marked = [(k, f"{t} vile{k % 3}" if k < 200 * share and k % 2 and t else t) for k, t in plain]
+    got = toxicity.classify(frame(marked), labels).collect()
+    texts = dict(marked)
+    assert not any(x["predicted"] for x in got if "vile" not in (texts[x["doc_id"]] or ""))
