@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import oracle, oracle_ink, oracle_readings, oracle_texts
+from .plans import ink, oracle, oracle_ink, oracle_readings, oracle_scans, oracle_texts, readings, scans, texts
 from .plans import queries as plans
-from .plans import ink, readings, texts
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +13,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**plans.queries(), **texts.queries(), **readings.queries(), **ink.queries()}
+    return {**plans.queries(), **texts.queries(), **readings.queries(), **ink.queries(), **scans.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.oracle_sql(), **oracle_texts.oracle_sql(), **oracle_readings.oracle_sql(), **oracle_ink.oracle_sql()}
+    return {**oracle.oracle_sql(), **oracle_texts.oracle_sql(), **oracle_readings.oracle_sql(), **oracle_ink.oracle_sql(), **oracle_scans.oracle_sql()}

@@ -116,16 +116,6 @@ def interval_distance(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(b0 - a1, a0 - b1, F.lit(0))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at place int(q * (n - 1) + 0.5) of the sorted values; null if there are none."""
-    ordered = F.array_sort(values)
-    return F.when(F.size(values) > 0, F.element_at(ordered, (F.floor(F.lit(q) * (F.size(values) - 1) + 0.5) + 1).cast("int")))
-
-
-def upper_median(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int")))
-
-
 def polygon_box(points: Column) -> Column:
     """The envelope of ``x,y x,y ...``; null if any point is bad or there is none."""
     xy = F.transform(F.filter(F.split(F.trim(points), r"\s+"), lambda p: p != ""), lambda p: F.struct(whole_number(F.split(p, ",")[0]).alias("x"), whole_number(F.split(p, ",")[1]).alias("y")))
@@ -152,16 +142,6 @@ def iou(a: dict, b: dict) -> Column:
     return both / F.greatest(area(a) + area(b) - both, F.lit(1))
 
 
-def letters(text: Column, least: int = 3) -> Column:
-    """Lower-cased runs of letters of at least that length."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w) >= least)
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
-
-
 def cer_band(cer: Column) -> Column:
     return F.when(cer <= 0.05, "0-5").when(cer <= 0.15, "5-15").when(cer <= 0.30, "15-30").otherwise(">30")
 

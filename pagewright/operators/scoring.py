@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import interval_distance, nearest_rank, upper_median
+from ..functions.columns import interval_distance
+
 
 
 def boundary_errors(boxes: Column, gaps: Column) -> Column:
     """Distance of the middle of space token 2k + 1 from true gap k; null if the counts disagree."""
     n = F.size(gaps)
-    each = F.transform(
-        gaps,
-        lambda g, k: F.greatest(g["start"] - (F.element_at(boxes, 2 * k + 2)["hpos"] + F.element_at(boxes, 2 * k + 2)["width"] / 2), F.element_at(boxes, 2 * k + 2)["hpos"] + F.element_at(boxes, 2 * k + 2)["width"] / 2 - g["end"], F.lit(0.0)),
-    )
+    middle = lambda k: F.element_at(boxes, 2 * k + 2)["hpos"] + F.element_at(boxes, 2 * k + 2)["width"] / 2
+    each = F.transform(gaps, lambda g, k: interval_distance(middle(k), middle(k), g["start"], g["end"]))
     return F.when(F.size(boxes) == 2 * n + 1, each)
 
 
@@ -24,8 +23,9 @@ def scored(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("errors", F.when(F.col("error").isNull(), boundary_errors(F.col("boxes"), F.col("gaps")))).withColumn("unit", unit)
 
 
-def report(cases: DataFrame, *by: str) -> DataFrame:
-    """The distribution report of scored cases, one row for each value of ``by``.
+def report(cases: DataFrame, *by: str, upper: bool = False) -> DataFrame:
+    """The distribution report of scored cases, one row for each value of ``by``; with ``upper`` the median of an even number is the
+    upper of the two in the middle.
 
     One scan counts, for each distinct error of a group, how often it occurs; all figures, the order statistics too, come
     from these counts.  Errors are halves of pixels, so a group has few distinct ones."""
@@ -46,17 +46,12 @@ def report(cases: DataFrame, *by: str) -> DataFrame:
     total = F.col("total")
     shares = placed.groupBy(*keys).agg(
         F.sum("cases").alias("cases"), F.sum("failures").alias("failures"), F.sum("c").alias("boundaries"), (F.sum(F.col("e") * F.col("c")) / F.sum("c")).alias("mean"),
-        ((nth(F.floor((total - 1) / 2)) + nth(F.floor(total / 2))) / 2).alias("median"), F.max("e").alias("worst"),
+        ((nth(F.floor((total if upper else total - 1) / 2)) + nth(F.floor(total / 2))) / 2).alias("median"), F.max("e").alias("worst"),
         (F.sum("chars") / F.sum("sized")).alias("mean_chars"), (F.sum("within") / F.sum("sized")).alias("within_half_char"), nth(F.floor(0.9 * (total - 1) + 0.5)).alias("p90"),
     )
     return shares.fillna(0.0, ["mean", "median", "p90", "worst", "mean_chars", "within_half_char"])
 
 
-def report_line(frame: DataFrame) -> DataFrame:
-    """The report as one line of text."""
-    return frame.withColumn("line", F.format_string("%-24s cases %d boundaries %d failures %d mean %.2f p90 %.1f worst %.1f within %.1f%%", "resolver", "cases", "boundaries", "failures", "mean", "p90", "worst", F.col("within_half_char") * 100))
-
-
 def edge_errors(resolved: DataFrame) -> DataFrame:
     """For lines whose words mostly touch: the distance of each later word's predicted left edge from its true one."""
     own = F.filter("boxes", lambda b, i: i % 2 == 0)
@@ -73,11 +68,3 @@ def moved(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Boundaries whose error differs between two resolvers, cases that either failed left out."""
     both = a.select(*keys, F.col("errors").alias("x")).join(b.select(*keys, F.col("errors").alias("y")), keys)
     return both.agg(F.sum(F.size(F.filter(F.zip_with("x", "y", lambda p, q: F.abs(p - q)), lambda d: d > 1e-9))).alias("moved"), F.sum(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.size("x"))).alias("boundaries"))
-
-
-def pooled(values: Column) -> tuple[Column, Column]:
-    """(upper median, nearest-rank 0.9) of an array."""
-    return upper_median(values), nearest_rank(values, 0.9)
-
-
-__all__ = ["boundary_errors", "edge_errors", "interval_distance", "moved", "pooled", "report", "report_line", "scored", "tiling"]

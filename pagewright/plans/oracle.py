@@ -117,6 +117,8 @@ SETS = rf"""WITH t AS (SELECT role, text, lead(text) OVER (PARTITION BY conv_id
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "space_tokens": r"""WITH t AS (SELECT lang, unnest(regexp_extract_all(translate(text, ',.', chr(160) || chr(8239)), '[^A-Za-zÀ-ÿ]+')) AS token FROM documents)
+          SELECT lang, count(*) AS tokens, count_if(regexp_full_match(token, '[ \n\t\r\f\v]+'))::BIGINT AS spaces, count_if(regexp_full_match(token, '[ \n\t\r\f\v][ \n\t\r\f\v]+'))::BIGINT AS long_spaces FROM t GROUP BY 1""",
         "fallback_chain": FALLBACK,
         "advances": ADVANCES,
         "cer_by_sets": SETS,

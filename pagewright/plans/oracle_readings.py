@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import UNIT, WORDS
+from .oracle import UNIT, WHOLE, WORDS
 
 #: The figures of a report, from rows (corpus, status, e, unit) and (corpus, status, cases).
 FIGURES = """count(*) AS boundaries, round(avg(e), 6) AS mean, round(median(e), 6) AS median, round(max(e)::DOUBLE, 6) AS worst,
@@ -25,7 +25,8 @@ PAIRS = """, f AS (SELECT doc_id AS file, lang AS corpus FROM documents),
 """
 PAIRED_CUTS = WORDS + PAIRS.format(lax="no provenance") + """SELECT corpus, coalesce(pair, 'no pair') AS pair, CASE WHEN pair IS DISTINCT FROM 'checked' THEN coalesce(pair, 'no pair') WHEN line_ord % 6 = 4 THEN 'missing line' END AS error,
     count(*) AS cases, count(DISTINCT file) AS files, sum(CASE WHEN pair = 'checked' AND line_ord % 6 <> 4 THEN n - 1 END)::BIGINT AS boundaries FROM lines LEFT JOIN pairs USING (file) GROUP BY 1, 2, 3"""
+POOLED = WHOLE + f"""SELECT 'all' AS pool, (SELECT count(*) FROM lines) AS cases, 0::BIGINT AS failures, {FIGURES.replace("round(median(e), 6)", "round((list_sort(list(e)))[1 + count(*) // 2]::DOUBLE, 6)")} FROM err"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"engine_words_report": ENGINE, "last_resort_report": LAST_RESORT, "paired_cuts": PAIRED_CUTS}
+    return {"engine_words_report": ENGINE, "last_resort_report": LAST_RESORT, "paired_cuts": PAIRED_CUTS, "pooled_report": POOLED}

@@ -184,9 +184,11 @@ def polygon_boxes(s: SparkSession, d: str) -> DataFrame:
 
 
 def space_tokens(s: SparkSession, d: str) -> DataFrame:
-    codes = s.range(0, 65536).where("id < 55296 or id > 57343").select(F.col("id").alias("code"))
-    token = F.decode(F.encode(F.expr("decode(unhex(lpad(hex(code), 4, '0')), 'UTF-16BE')"), "UTF-8"), "UTF-8")
-    return codes.where(C.is_space(token)).select(F.col("code"))
+    """What stands between words: stretches that are space, and those that aren't, no-break spaces (here for commas and full stops)
+    among them."""
+    between = F.regexp_extract_all(F.translate("text", ",.", "\u00a0\u202f"), F.lit("[^A-Za-zÀ-ÿ]+"), F.lit(0))
+    tokens = derived.documents(s, d).select("lang", F.explode(between).alias("token"))
+    return tokens.groupBy("lang").agg(F.count("*").alias("tokens"), F.count_if(C.is_space(F.col("token"))).alias("spaces"), F.count_if(C.is_space(F.col("token")) & (F.length("token") > 1)).alias("long_spaces"))
 
 
 def advances(s: SparkSession, d: str) -> DataFrame:

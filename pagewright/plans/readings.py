@@ -94,5 +94,11 @@ def paired_gaps(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("corpus", "pair").agg(F.count("*").alias("cases"), F.count("blanks").alias("with_gaps"), F.count_if(F.col("snapped") != F.col("boxes")).alias("moved"))
 
 
+def pooled_report(s: SparkSession, d: str) -> DataFrame:
+    """Whole lines of all corpora in one pool, by the upper median."""
+    cases = line_cases(derived.lines(s, d)).withColumn("pool", F.lit("all"))
+    return rounded(scoring.report(scoring.scored(resolvers.resolve_distributed(cases)), "pool", upper=True), *REPORT)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (engine_words_report, gap_width_arms, last_resort_report, paired_cuts, paired_gaps)}
+    return {f.__name__: f for f in (pooled_report, engine_words_report, gap_width_arms, last_resort_report, paired_cuts, paired_gaps)}

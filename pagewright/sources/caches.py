@@ -14,27 +14,48 @@ MANIFEST = "root string, corpora map<string,array<struct<alto:string,cuts:string
 RESULTS = "corpus string, producer string, partial boolean, pages map<string,struct<texts:map<string,array<string>>>>"
 
 
+def _raw(spark: SparkSession, path) -> DataFrame:
+    """(file, value): whole files as text."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+
+def parsed(raw: DataFrame, schema: str) -> DataFrame:
+    """The fields of JSON texts (file, value), held in files or in a table."""
+    return raw.select("file", F.from_json("value", schema).alias("x")).select("file", "x.*")
+
+
 def _json(spark: SparkSession, path, schema: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", schema).alias("x"))
-    return raw.select("file", "x.*")
+    return parsed(_raw(spark, path), schema)
 
 
 def cuts(spark: SparkSession, path) -> DataFrame:
+    return cuts_of(_raw(spark, path))
+
+
+def cuts_of(raw: DataFrame) -> DataFrame:
     """(file, line_id, text, spans, error): character spans; a text whose length differs from its spans is an error row."""
-    rows = _json(spark, path, CUTS).select("file", F.explode("lines").alias("line_id", "c"))
+    rows = parsed(raw, CUTS).select("file", F.explode("lines").alias("line_id", "c"))
     spans = F.transform("c.spans", lambda s: F.struct(s[0].alias("x0"), s[1].alias("x1")))
     return rows.select("file", "line_id", "c.text", spans.alias("spans"), F.when(F.length("c.text") != F.size("c.spans"), "text and spans differ").alias("error"))
 
 
 def ink_gaps(spark: SparkSession, path) -> DataFrame:
-    rows = _json(spark, path, GAPS).select("file", F.explode("lines").alias("line_id", "g"))
+    return ink_gaps_of(_raw(spark, path))
+
+
+def ink_gaps_of(raw: DataFrame) -> DataFrame:
+    rows = parsed(raw, GAPS).select("file", F.explode("lines").alias("line_id", "g"))
     return rows.select("file", "line_id", F.transform("g", lambda s: F.struct(s[0].alias("start"), s[1].alias("end"))).alias("gaps"))
 
 
 def engine_words(spark: SparkSession, path) -> DataFrame:
+    return engine_words_of(_raw(spark, path))
+
+
+def engine_words_of(raw: DataFrame) -> DataFrame:
     """(file, line_id, text, spans): an engine's word boxes shared evenly among each word's characters; lines with an
     empty word or more words than boxes are left out."""
-    rows = _json(spark, path, WORDS).select("file", F.explode("lines").alias("line_id", "c"))
+    rows = parsed(raw, WORDS).select("file", F.explode("lines").alias("line_id", "c"))
     return rows.select("file", "line_id", "c.text", word_spans(F.split("c.text", " "), F.col("c.boxes")).alias("spans")).where("spans is not null")
 
 
@@ -45,12 +66,25 @@ def manifest(spark: SparkSession, path) -> DataFrame:
     return rows.select("corpus", "ord", full("p.alto").alias("alto"), full("p.cuts").alias("cuts"))
 
 
-def provenance(spark: SparkSession, caches, sources) -> DataFrame:
-    """(file, digest, error): each cache against the digests of the source files given."""
-    recorded = _json(spark, caches, CUTS).select("file", F.col("provenance.alto.sha256").alias("digest"))
-    actual = spark.read.format("binaryFile").load(sources).select(F.sha2("content", 256).alias("digest"), F.lit(True).alias("known"))
-    error = F.when(F.col("digest").isNull(), "no provenance").when(F.col("known").isNull(), "digest mismatch")
-    return recorded.join(actual, "digest", "left").select("file", "digest", error.alias("error"))
+def digests(spark: SparkSession, paths) -> DataFrame:
+    """(path, name, sha256) of whole files."""
+    return spark.read.format("binaryFile").load(paths).select("path", F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
+def recorded(spark: SparkSession, path) -> DataFrame:
+    """(cache, layout_digest, image_digest): what each cache says it was made from, for :func:`campaign.paired`."""
+    return _json(spark, path, CUTS).select(F.col("file").alias("cache"), F.col("provenance.alto.sha256").alias("layout_digest"), F.col("provenance.image.sha256").alias("image_digest"))
+
+
+def provenance(pairs: DataFrame, digests: DataFrame, units: str = "layout coordinates (image pixels / scale)") -> DataFrame:
+    """Adds ``provenance``, what a cache writer records, to pairs (layout, image, model, scale, image_width, image_height) of
+    file names: names and digests of the files, null for files that aren't there, and how coordinates were scaled."""
+    rows = pairs
+    for kind in ("layout", "image", "model"):
+        rows = rows.join(digests.select(F.col("name").alias(kind), F.col("sha256").alias(f"{kind}_sha256")), kind, "left")
+    file = lambda kind, *more: F.struct(F.col(kind).alias("name"), F.col(f"{kind}_sha256").alias("sha256"), *more)
+    block = F.struct(F.lit(2).alias("schema"), file("layout").alias("alto"), file("image", F.col("image_width").alias("width"), F.col("image_height").alias("height")).alias("image"), file("model").alias("model"), "scale", F.lit(units).alias("units"))
+    return rows.withColumn("provenance", block).drop("layout_sha256", "image_sha256", "model_sha256")
 
 
 def tsv_words(spark: SparkSession, path, scale: float = 1.0) -> DataFrame:
@@ -60,9 +94,28 @@ def tsv_words(spark: SparkSession, path, scale: float = 1.0) -> DataFrame:
     return rows.select("text", *[(F.col(c) / scale).alias(c) for c in ("left", "top", "width", "height")])
 
 
+def finished(raw: DataFrame) -> DataFrame:
+    """Result files without those that only dump what couldn't be delivered."""
+    return raw.where(~F.col("file").rlike(r"(^|/)(undeliverable|sak_run)[^/]*$"))
+
+
 def results(spark: SparkSession, path) -> DataFrame:
+    return results_of(_raw(spark, path))
+
+
+def results_of(raw: DataFrame) -> DataFrame:
     """(file, corpus, producer, page, line_id, source, output, truth, kind) of campaign results; partial runs are left out."""
-    rows = _json(spark, path, RESULTS).where("not coalesce(partial, false)").where(~F.col("file").rlike(r"/(undeliverable|sak_run)[^/]*$"))
+    rows = parsed(finished(raw), RESULTS).where("not coalesce(partial, false)")
     pages = rows.select("file", "corpus", "producer", F.explode("pages").alias("page", "p"))
     each = pages.select("file", "corpus", "producer", "page", F.explode("p.texts").alias("line_id", "t"))
     return each.select("file", "corpus", "producer", "page", "line_id", *[F.get("t", i).alias(n) for i, n in enumerate(("source", "output", "truth", "kind"))])
+
+
+SUMMARY = "corpus string, producer string, max_side int, prompt string, model string, partial boolean, cer_src double, cer_out double, changed bigint, better bigint, worse bigint, unanchored bigint, wrong bigint, retries bigint, fb_chunks bigint, tokens_in bigint, tokens_out bigint, seconds double, pages map<string,struct<error:string>>"
+
+
+def summary_of(raw: DataFrame) -> DataFrame:
+    """One row for each finished run (file, value): its own totals, and how many of its pages it finished and failed."""
+    rows = parsed(finished(raw), SUMMARY).where("not coalesce(partial, false) and corpus is not null")
+    failed = F.size(F.filter(F.map_values("pages"), lambda p: p["error"].isNotNull()))
+    return rows.withColumn("failed", failed).withColumn("finished", F.size("pages") - F.col("failed")).drop("pages", "partial")

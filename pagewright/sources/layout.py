@@ -160,6 +160,30 @@ def text_rows(raw: bytes) -> Iterator[tuple]:
         yield line.get("ID") or line.get("id"), text, bool(children(line, "HYP"))
 
 
+def matched_rows(raw: bytes) -> Iterator[tuple]:
+    """(line id, x0, y0, x1, y1, words) of lines that have a box and words, to be matched by their boxes: of ALTO strings those with
+    content, of PAGE all words by their first transcription."""
+    for line in (e for e in ET.fromstring(raw).iter() if local(e) == "TextLine"):
+        if line.get("HPOS") is not None:
+            x, y, w, h = (number(line, k) or 0 for k in ("HPOS", "VPOS", "WIDTH", "HEIGHT"))
+            words = [s.get("CONTENT") for s in children(line, "String") if s.get("CONTENT")]
+        else:
+            x, y, w, h = envelope(line) or (0, 0, 0, 0)
+            words = [next((u.text or "" for e in children(word, "TextEquiv") for u in e if local(u) == "Unicode"), "") for word in children(line, "Word")]
+        if w > 0 and h > 0 and words:
+            yield line.get("ID") or line.get("id"), x, y, x + w, y + h, words
+
+
+def matched_of(files: DataFrame, truth: bool = False) -> DataFrame:
+    """(file, line_id, x0, y0, x1, y1, text), the last line of each id; of ``truth`` files, lines with a blank word or a space inside
+    one are left out: their words can't be told apart."""
+    rows = _mapped(files, "file string, ord int, line_id string, x0 bigint, y0 bigint, x1 bigint, y1 bigint, words array<string>", lambda raw: ((n, *r) for n, r in enumerate(matched_rows(raw))))
+    if truth:
+        rows = rows.where(~F.exists("words", lambda w: (w == "") | w.contains(" ")))
+    last = F.max_by(F.struct("x0", "y0", "x1", "y1", F.array_join("words", " ").alias("text")), "ord").alias("last")
+    return rows.groupBy("file", "line_id").agg(last).select("file", "line_id", "last.*")
+
+
 def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 

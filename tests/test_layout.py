@@ -52,7 +52,7 @@ def test_repair_and_spaces(spark):
 
 
 def test_widths_never_fall_below_one(spark):
-    cases = spark.createDataFrame([(0, 3, ["a", " ", "b", " ", "c"]), (0, 20, ["a", " ", "bcd"]), (5, 7, []), (0, 30, ["ab", " ", "c"])], "box_hpos long, box_width long, tokens array<string>")
+    cases = spark.createDataFrame([(40, 4, ["x", " ", "yy", " ", "z", " ", "w"]), (0, 20, ["a", " ", "bcd"]), (5, 7, []), (0, 30, ["ab", " ", "c"])], "box_hpos long, box_width long, tokens array<string>")
     got = [[b["width"] for b in r["boxes"]] for r in resolvers.resolve_proportional(cases).collect()]
     assert got[1] == [4, 3, 13] and got[2] == [] and got[3] == [17, 5, 8]
     assert min(got[0]) >= 1
@@ -121,15 +121,15 @@ def test_reports_read_documents(spark, tmp_path):
 def test_reproject():
     source = ["un deux", "trois quatre", "cinq"]
     assert K.reproject(source, source) == source
-    assert K.signals(["abc", "def"], K.reproject(["abc", "def"], ["abc", "de", "f"]))[1] == [1]
+    assert K.signals(["kind words", "roof"], K.reproject(["kind words", "roof"], ["kind words", "ro", "of"]))[1] == [1]
     assert len(K.reproject(source, ["un deux trois quatre cinq"])) == 3
 
 
 def test_letter_widths_are_recovered():
     import numpy as np
 
-    size = {"i": 4, "m": 12, "a": 8}
-    words = ["mia", "ami", "iii", "mm", "aa", "maim", "ia", "am"]
+    size = {"l": 3, "o": 9, "w": 14}
+    words = ["low", "owl", "wool", "lo", "ww", "oll", "wow", "lll"]
     glyphs, _, space, _ = fit(words, np.array([sum(size[c] for c in w) for w in words], float), np.array([6.0, 6.0]))
     assert all(abs(glyphs[c] - w) < 1e-2 for c, w in size.items()) and space == 6
 
@@ -225,3 +225,39 @@ def test_scales_and_marks(spark):
     assert [tuple(r) for r in got] == [("ok", 4), ("off", 0), ("stated", 999), ("unknown", 2)]
     texts = spark.createDataFrame([("é".encode().decode("latin-1"),), ("Å\u0093uvre",), ("é",), ("œ",), (None,)], "t string")
     assert [r[0] for r in texts.select(repair_mojibake(F.col("t"), marked=False)).collect()] == ["é", "œuvre", "é", "œ", None]
+
+
+def test_lines_to_match(spark, tmp_path):
+    """Of truth files, lines with words that can't be told apart are left out; the last line of an id counts."""
+    from pagewright.sources import layout
+
+    alto = '<alto><TextLine ID="a" HPOS="1.9" VPOS="2" WIDTH="10" HEIGHT="5"><String CONTENT="one"/><String CONTENT=""/><String CONTENT="two"/></TextLine><TextLine ID="a" HPOS="3" VPOS="2" WIDTH="4" HEIGHT="5"><String CONTENT="last"/></TextLine><TextLine ID="b" HPOS="1" WIDTH="0" HEIGHT="5"><String CONTENT="x"/></TextLine><TextLine ID="c" HPOS="1" WIDTH="9" HEIGHT="5"/></alto>'
+    word = lambda *texts: "<Word><Coords points='0,0 1,1'/>" + "".join(f"<TextEquiv><Unicode>{t}</Unicode></TextEquiv>" for t in texts) + "</Word>"
+    line = lambda key, points, *words: f"<TextLine id='{key}'><Coords points='{points}'/>{''.join(words)}</TextLine>"
+    page = "<PcGts>" + line("a", "5,6 9,20", word("good", "better"), word("text")) + line("b", "0,0 9,9", word("two words")) + line("c", "0,0 9,9", word("")) + line("d", "", word("no box")) + "</PcGts>"
+    frame = spark.createDataFrame([("s", bytearray(alto, "utf-8")), ("t", bytearray(page, "utf-8"))], "file string, content binary")
+    got = lambda file, truth: {tuple(r)[1:] for r in layout.matched_of(frame.where(f"file = '{file}'"), truth).collect()}
+    assert got("s", False) == {("a", 3, 2, 7, 7, "last")}
+    assert got("t", True) == {("a", 5, 6, 9, 20, "good text")} and {r[0] for r in got("t", False)} == {"a", "b", "c"}
+
+
+def test_what_a_cache_was_made_from(spark, tmp_path):
+    import hashlib
+
+    from pagewright.operators import campaign
+    from pagewright.sources import caches
+
+    for name in ("p.xml", "p.png", "m.bin"):
+        (tmp_path / name).write_bytes(name.encode())
+    digests = caches.digests(spark, [str(tmp_path / n) for n in ("p.xml", "p.png", "m.bin")])
+    pairs = spark.createDataFrame([("p.xml", "p.png", "m.bin", 1.5, 30, 40), ("gone.xml", "p.png", "m.bin", 1.0, 1, 1)], "layout string, image string, model string, scale double, image_width int, image_height int")
+    rows = {r["layout"]: r["provenance"] for r in caches.provenance(pairs, digests).collect()}
+    sha = lambda name: hashlib.sha256(name.encode()).hexdigest()
+    assert rows["p.xml"]["schema"] == 2 and tuple(rows["p.xml"]["alto"]) == ("p.xml", sha("p.xml")) and tuple(rows["p.xml"]["image"]) == ("p.png", sha("p.png"), 30, 40) and rows["gone.xml"]["alto"]["sha256"] is None
+    (tmp_path / "good.json").write_text(f'{{"provenance": {{"schema": 2, "alto": {{"sha256": "{sha("p.xml")}"}}}}, "lines": {{}}}}')
+    (tmp_path / "old.json").write_text('{"lines": {}}')
+    recorded = caches.recorded(spark, [str(tmp_path / "good.json"), str(tmp_path / "old.json")])
+    names = recorded.withColumn("cache", F.substring_index("cache", "/", -1))
+    manifest = spark.createDataFrame([("c", "p", "good.json"), ("c", "q", "old.json")], "corpus string, file string, cache string")
+    sources = spark.createDataFrame([("p", sha("p.xml"), None), ("q", sha("p.png"), None)], "file string, layout_digest string, image_digest string")
+    assert {r["file"]: r["status"] for r in campaign.paired(manifest, names, sources).collect()} == {"p": "checked", "q": "no provenance"}

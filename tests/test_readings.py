@@ -121,3 +121,19 @@ def test_inversions(spark):
     got = {x["g"]: x["inversions"] for x in matching.inversions(spark.createDataFrame(rows, "g long, k long, v long"), "g", "k", "v").collect()}
     by = {g: [v for h, _, v in rows if h == g] for g in range(1, 4)}
     assert got == {g: sum(a > b for i, a in enumerate(vs) for b in vs[i + 1 :]) for g, vs in by.items()}
+
+
+def test_pages_as_a_stream(spark, tmp_path):
+    """Files that arrive are triaged as in one batch, and a stream that goes on doesn't do them again."""
+    from pagewright.operators.triage import triage
+    from pagewright.streaming.pages import triage_stream
+
+    boxes = derived.boxes(spark, DATA)
+    for part in (0, 1):
+        boxes.where(f"file % 2 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        arriving = spark.readStream.schema(boxes.schema).parquet(f"{tmp_path}/in")
+        triage_stream(arriving, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert {r["batch"] for r in got.select("batch").distinct().collect()} == {0, 1}
+    want = triage(boxes)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
