@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import characters, gaps, interleaved, right
@@ -56,6 +56,18 @@ def all_cases(lines: DataFrame, runs: tuple[int, ...] = (2, 3)) -> DataFrame:
     return _in_line_box(_case(rows, "run", F.struct("hpos", "width", "vpos", "height").alias("line")), F.col("run") == 0)
 
 
+def rotating(lines: DataFrame, most: int = 200, least_step: int = 4) -> DataFrame:
+    """The lines of a page that a campaign corrupts, with ``at``, the first of the two neighbouring words to join: one line of
+    ``least_step`` or, on long pages, as many as give about ``most`` lines, ``most`` at most; the place moves on from line to line.
+
+    Lines without two words have nothing to join and don't count."""
+    page = Window.partitionBy("corpus", "file")
+    rows = lines.where(F.size("words") >= 2).withColumn("k", F.row_number().over(page.orderBy("line_ord")) - 1)
+    step = F.greatest(F.lit(least_step), F.floor(F.count("*").over(page) / most))
+    chosen = rows.withColumn("step", step).where((F.col("k") % F.col("step") == 0) & (F.col("k") < most * F.col("step")))
+    return chosen.withColumn("at", (F.col("k") % (F.size("words") - 1)).cast("int")).drop("step")
+
+
 def glued(words, at: int):
     """The words with number ``at`` and the next one made one element."""
     a, b = F.element_at(words, at + 1), F.element_at(words, at + 2)

@@ -13,5 +13,18 @@ SUMMARY = """SELECT lang AS corpus, source AS producer, count_if(doc_id % 3 = 0)
   FROM documents GROUP BY 1, 2 HAVING min(doc_id) % 5 <> 3 AND min(doc_id) % 7 <> 5 AND min(doc_id) % 4 <> 2"""
 
 
+CUTS = WORDS + """SELECT file::VARCHAR AS file, CASE WHEN line_ord % 7 = 3 THEN 'text and spans differ' END AS error, count(*) AS lines, sum(chars + n - 1)::BIGINT AS chars, sum(right_x)::BIGINT AS right_edge
+  FROM (SELECT lines.*, 100 + width - CASE WHEN line_ord % 7 = 3 THEN 4 + unicode(line[-1]) % 13 ELSE 0 END AS right_x FROM lines) GROUP BY 1, 2"""
+FOLDED = """SELECT doc_id, length(text) AS chars, md5(strip_accents(lower(text))) AS folded FROM documents WHERE text IS NOT NULL"""
+TOKENS = r"""WITH t AS (SELECT lang, list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda w: length(w) >= 3) AS a, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2) AS b FROM documents)
+  SELECT lang, sum(len(a))::BIGINT AS words, sum(len(list_distinct(a)))::BIGINT AS different, sum(len(b))::BIGINT AS parts FROM t GROUP BY 1"""
+ROTATING = WORDS + """, r AS (SELECT file, line_ord, n, row_number() OVER (PARTITION BY file ORDER BY line_ord) - 1 AS at_line, greatest(4, count(*) OVER (PARTITION BY file) // 20) AS step FROM lines),
+  c AS (SELECT file, line_ord, at_line % (n - 1) AS place FROM r WHERE at_line % step = 0 AND at_line < 20 * step)
+  SELECT file, count(*) AS lines, sum(place)::BIGINT AS places, sum(next_hpos + next_width - hpos)::BIGINT AS width, max(md5(text || next_text)) AS top FROM c JOIN x USING (file, line_ord) WHERE k = place GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"band_lines": BAND, "last_texts": LAST, "matched_scans": MATCHED, "cache_scans": CACHES, "campaign_summary": SUMMARY}
+    return {
+        "band_lines": BAND, "last_texts": LAST, "matched_scans": MATCHED, "cache_scans": CACHES, "campaign_summary": SUMMARY,
+        "cut_scans": CUTS, "folded_texts": FOLDED, "word_tokens": TOKENS, "rotating_sample": ROTATING,
+    }

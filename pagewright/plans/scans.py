@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import gaps
+from ..functions.columns import gaps, right
+from ..functions.kernels import folded
+from ..operators.cases import rotating
 from ..sources import caches, derived, layout
+from .queries import _cuts
 
 
 def band_lines(s: SparkSession, d: str) -> DataFrame:
@@ -52,5 +55,35 @@ def campaign_summary(s: SparkSession, d: str) -> DataFrame:
     return out.select("corpus", "producer", "changed", "tokens_in", F.round("seconds", 6).alias("seconds"), "finished", "failed")
 
 
+def cut_scans(s: SparkSession, d: str) -> DataFrame:
+    """Cut caches as JSON, one for each file, read back; where a span is missing, the line is an error row."""
+    spans = F.transform("spans", lambda x: F.array(x["x0"], x["x1"]))
+    short = F.when(F.col("line_ord") % 7 == 3, F.slice(spans, 1, F.size("spans") - 1)).otherwise(spans)
+    rows = _cuts(s, d).select(F.col("file").cast("string").alias("file"), F.col("line_ord").cast("string").alias("id"), F.struct("text", short.alias("spans")).alias("c"))
+    held = rows.groupBy("file").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("id", "c"))).alias("lines"))).alias("value"))  # bounded by the file
+    return caches.cuts_of(held).groupBy("file", "error").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.sum(F.element_at("spans", -1)["x1"]).alias("right_edge"))
+
+
+def folded_texts(s: SparkSession, d: str) -> DataFrame:
+    """Texts in lower case without accents, one character for one."""
+    return derived.documents(s, d).where("text is not null").select("doc_id", F.length("text").alias("chars"), F.md5(folded("text")).alias("folded"))
+
+
+def word_tokens(s: SparkSession, d: str) -> DataFrame:
+    """Words by the two rules of text reports: runs of three letters or more, and parts between blanks of more than two characters."""
+    low = F.lower("text")
+    letters = F.filter(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w) >= 3)
+    parts = F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 2)
+    rows = derived.documents(s, d).select("lang", letters.alias("a"), parts.alias("b"))
+    return rows.groupBy("lang").agg(F.sum(F.size("a")).alias("words"), F.sum(F.size(F.array_distinct("a"))).alias("different"), F.sum(F.size("b")).alias("parts"))
+
+
+def rotating_sample(s: SparkSession, d: str) -> DataFrame:
+    """The words that a campaign joins, twenty lines of a page at most."""
+    rows = rotating(derived.lines(s, d), 20)
+    a, b = F.element_at("words", F.col("at") + 1), F.element_at("words", F.col("at") + 2)
+    return rows.groupBy("file").agg(F.count("*").alias("lines"), F.sum("at").alias("places"), F.sum(right(b) - a["hpos"]).alias("width"), F.max(F.md5(F.concat(a["text"], b["text"]))).alias("top"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (band_lines, last_texts, matched_scans, cache_scans, campaign_summary)}
+    return {f.__name__: f for f in (band_lines, last_texts, matched_scans, cache_scans, campaign_summary, cut_scans, folded_texts, word_tokens, rotating_sample)}

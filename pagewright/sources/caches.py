@@ -59,10 +59,12 @@ def engine_words_of(raw: DataFrame) -> DataFrame:
     return rows.select("file", "line_id", "c.text", word_spans(F.split("c.text", " "), F.col("c.boxes")).alias("spans")).where("spans is not null")
 
 
-def manifest(spark: SparkSession, path) -> DataFrame:
-    """(corpus, ord, alto, cuts) with the root put before relative paths."""
+def manifest(spark: SparkSession, path, home: str | None = None) -> DataFrame:
+    """(corpus, ord, alto, cuts) with the root put before relative paths; a root that begins with ``~`` lies below ``home``."""
     rows = _json(spark, path, MANIFEST).select("root", F.explode("corpora").alias("corpus", "pairs")).select("root", "corpus", F.posexplode("pairs").alias("ord", "p"))
-    full = lambda c: F.when(F.col(c).startswith("/") | F.col("root").isNull(), F.col(c)).otherwise(F.concat_ws("/", "root", c))
+    below = lambda c: F.when(c.rlike("^~(/|$)"), F.concat(F.lit(home.rstrip("/")), F.substr(c, F.lit(2)))).otherwise(c) if home else c
+    root = below(F.col("root"))
+    full = lambda c: F.when(F.col(c).rlike("^[/~]") | root.isNull(), below(F.col(c))).otherwise(F.concat_ws("/", root, c))
     return rows.select("corpus", "ord", full("p.alto").alias("alto"), full("p.cuts").alias("cuts"))
 
 

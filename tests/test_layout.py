@@ -159,6 +159,8 @@ def test_caches(spark, tmp_path):
     assert caches.ink_gaps(spark, str(tmp_path / "g.json")).first()["gaps"][0]["end"] == 140
     (tmp_path / "m.json").write_text('{"root": "/r", "corpora": {"k": [{"alto": "a.xml", "cuts": "/c.json"}]}}')
     assert caches.manifest(spark, str(tmp_path / "m.json")).first()[2:] == ("/r/a.xml", "/c.json")
+    (tmp_path / "h.json").write_text('{"root": "~/r", "corpora": {"k": [{"alto": "a.xml", "cuts": "~/c.json"}]}}')
+    assert caches.manifest(spark, str(tmp_path / "h.json"), "/home/x/").first()[2:] == ("/home/x/r/a.xml", "/home/x/c.json")
     (tmp_path / "e.json").write_text('{"lines": {"a": {"text": "ab c", "boxes": [[0, 10], [20, 24]]}, "b": {"text": "q r", "boxes": [[0, 1]]}}}')
     assert [tuple(s) for s in caches.engine_words(spark, str(tmp_path / "e.json")).collect()[0]["spans"]] == [(0, 5), (5, 10), (10, 20), (20, 24)]
 
