@@ -53,5 +53,33 @@ LINES = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split
   SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r"""
 
 
+#: Every word of every text, in order.
+ALL_WORDS = r"""WITH d AS (SELECT doc_id, {text} AS text FROM documents),
+  s AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+  w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM s)"""
+
+WINDOWS = ALL_WORDS.format(text="coalesce(text, '')") + """,
+  g AS (SELECT *, CASE WHEN i + 34 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS win FROM w),
+  twice AS (SELECT win FROM g WHERE win IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+  m AS (SELECT doc_id, word, i, max((twice.win IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM g LEFT JOIN twice USING (win))
+  SELECT s.doc_id, any_value(len(ws))::BIGINT AS n_words, count_if(gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM s LEFT JOIN m USING (doc_id) GROUP BY 1"""
+
+NEAR = ALL_WORDS.format(text=LOWER.format("coalesce(text, '')")).replace("WITH d", "WITH RECURSIVE d", 1) + """,
+  g AS (SELECT DISTINCT doc_id, hash(gram) AS gram FROM (SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS gram FROM w) WHERE i + 2 <= n OR i = 1),
+  size AS (SELECT d.doc_id, count(gram) AS n FROM d LEFT JOIN g USING (doc_id) GROUP BY 1),
+  pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+  link AS (SELECT a, b FROM pairs JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+  edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+  reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other)
+  SELECT size.doc_id, n AS n_shingles, component_id, size.doc_id = component_id AS kept FROM size JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
+
+BYTES = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+  p AS (SELECT doc_id, i, hex(h[i:i]) AS byte, CASE WHEN i + 99 <= octet_length(h) THEN hash(h[i:i + 99]) END AS win FROM (SELECT doc_id, h, unnest(range(1, octet_length(h) + 1)) AS i FROM d)),
+  f AS (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM p),
+  m AS (SELECT doc_id, i, byte, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+  e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM m)
+  SELECT d.doc_id, any_value(octet_length(h))::BIGINT AS n_bytes, count_if(gone)::BIGINT AS n_removed, count_if(starts)::BIGINT AS n_spans, sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256 FROM d LEFT JOIN e USING (doc_id) GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_spellings": SPELLINGS, "op12_prefix_trie": TRIE, "op13_line_index": LINES}
+    return {"op1_suffix_dedup": BYTES, "op6_bbit_minhash": NEAR, "op9_window_index": WINDOWS, "op11_spellings": SPELLINGS, "op12_prefix_trie": TRIE, "op13_line_index": LINES}
