@@ -5,55 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import characters, gaps, interleaved, right
+from ..functions.arrays import window_batches
+from ..functions.columns import WORDS, right
 
 KEYS = ["corpus", "file", "line_ord"]
+LINE = ("hpos", "width", "vpos", "height")
 
 
-def _case(frame: DataFrame, *carried) -> DataFrame:
-    """Boxes, tokens and gaps of a ``words`` window, and columns to carry; windows with overlapping words are no cases."""
-    w = F.col("words")
-    clear = F.forall(gaps(w), lambda g: g["end"] >= g["start"])
-    first, last = F.element_at(w, 1), F.element_at(w, -1)
-    return frame.where(clear).select(
-        *KEYS, "first", w.alias("words"), F.array_join(F.transform(w, lambda x: x["text"]), "").alias("source"), interleaved(w).alias("tokens"), gaps(w).alias("gaps"),
-        first["hpos"].alias("box_hpos"), (right(last) - first["hpos"]).alias("box_width"), (characters(w) + F.size(w) - 1).alias("n_chars"), *carried,
-    )
+CASE = f"words {WORDS}, source string, tokens array<string>, gaps array<struct<start:bigint,end:bigint>>, box_hpos long, box_width long, n_chars long"
+
+
+def _cases(lines: DataFrame, runs: tuple[int, ...], *carried: str) -> DataFrame:
+    """Windows of every ``run`` neighbouring words (0: the whole line) with their boxes, tokens and gaps, ``run`` and the columns to
+    carry; windows with overlapping words are no cases.  They are cut from Arrow batches of lines: each word of a line is taken
+    once for each window that holds it."""
+    rows = lines.select(*KEYS, *carried, F.col("words").cast(WORDS).alias("words"))
+    others = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "words"]
+    return rows.mapInArrow(window_batches(runs), ", ".join([*others, "run int", "first int", CASE]))
 
 
 def merge_cases(lines: DataFrame, run: int = 2) -> DataFrame:
     """One case for every ``run`` neighbouring words."""
-    starts = F.when(F.size("words") >= run, F.sequence(F.lit(0), F.size("words") - run)).otherwise(F.array().cast("array<int>"))
-    return _case(lines.withColumn("first", F.explode(starts)).withColumn("words", F.slice("words", F.col("first") + 1, run)))
+    return _cases(lines, (run,)).drop("run")
 
 
 def line_cases(lines: DataFrame, in_line_box: bool = False) -> DataFrame:
     """One case for every line: all its words, in their union box or in the line's own if that holds it."""
-    rows = lines.withColumn("first", F.lit(0))
-    return _in_line_box(_case(rows, F.struct("hpos", "width", "vpos", "height").alias("line")), F.lit(True)) if in_line_box else _case(rows)
+    return _in_line_box(_cases(lines, (0,), *LINE), F.lit(True)).drop("run") if in_line_box else _cases(lines, (0,)).drop("run")
 
 
 def _in_line_box(cases: DataFrame, wanted) -> DataFrame:
     """Puts cases in the box of ``line`` where they are ``wanted`` so and it holds them."""
-    line = F.col("line")
+    line = {c: F.col(c) for c in LINE}
     holds = wanted & (line["hpos"] <= F.col("box_hpos")) & (right(line) >= F.col("box_hpos") + F.col("box_width"))
     pick = lambda name, plain: F.when(holds, line[name]).otherwise(plain)
     boxed = {"box_hpos": pick("hpos", F.col("box_hpos")), "box_width": pick("width", F.col("box_width")), "box_vpos": pick("vpos", F.lit(0)), "box_height": pick("height", F.lit(0))}
-    return cases.withColumns(boxed).drop("line")
+    return cases.withColumns(boxed).drop(*LINE)
 
 
 def all_cases(lines: DataFrame, runs: tuple[int, ...] = (2, 3)) -> DataFrame:
     """Cases of every ``run`` neighbouring words, and whole lines in their own boxes (``run`` 0), in one pass."""
-    n = F.size("words")
-    none = F.array().cast("array<struct<run:int,first:int>>")
-
-    def starts(run: int):
-        return F.when(n >= run, F.transform(F.sequence(F.lit(0), n - run), lambda i: F.struct(F.lit(run).alias("run"), i.alias("first")))).otherwise(none)
-
-    every = F.explode(F.concat(F.array(F.struct(F.lit(0).alias("run"), F.lit(0).alias("first"))), *map(starts, runs))).alias("window")
-    rows = lines.select("*", every).withColumn("first", F.col("window.first")).withColumn("run", F.col("window.run"))
-    rows = rows.withColumn("words", F.when(F.col("run") == 0, F.col("words")).otherwise(F.slice("words", F.col("first") + 1, F.greatest("run", F.lit(1)))))
-    return _in_line_box(_case(rows, "run", F.struct("hpos", "width", "vpos", "height").alias("line")), F.col("run") == 0)
+    return _in_line_box(_cases(lines, (0, *runs), *LINE), F.col("run") == 0)
 
 
 def rotating(lines: DataFrame, most: int = 200, least_step: int = 4) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import aligned_of
 from ..functions.kernels import support_of, transferred
 from .resolvers import resolve_proportional
 from .scoring import boundary_errors
@@ -25,7 +26,7 @@ def read_status(cases: DataFrame, readings: DataFrame, keys: tuple[str, ...] = K
 def status_of(rows: DataFrame, least: float = LEAST_SUPPORT) -> DataFrame:
     """Adds ``support`` and ``status`` to cases that have a reading (``read``, ``spans``; null: none)."""
     rows = rows.withColumn("support", F.when(F.col("read").isNotNull(), support_of("read", F.array_join("tokens", ""))))
-    return rows.withColumn("status", F.when(F.col("read").isNull(), "missing").when(F.col("support") < least, "weak").otherwise("read"))
+    return _with_status(rows, least)
 
 
 def resolve_read(cases: DataFrame, missing_is_error: bool = True, last_resort: bool = False) -> DataFrame:
@@ -37,12 +38,27 @@ def resolve_read(cases: DataFrame, missing_is_error: bool = True, last_resort: b
     glyphs = F.col("glyphs") if "glyphs" in cases.columns else F.lit(None).cast("map<string,double>")
     usable = F.col("status") == "read"
     asked = F.struct(F.when(usable, F.col("read")).alias("read"), "spans", "tokens", F.col("box_hpos").alias("hpos"), F.col("box_width").alias("width"), glyphs.alias("glyphs"))
-    base = resolve_proportional(cases).drop("error").withColumnRenamed("boxes", "base").withColumn("got", transferred(asked))
+    base = resolve_proportional(cases).drop("error").withColumnRenamed("boxes", "base")
+    base = base.withColumn("got", F.col("got.arms")[0] if "got" in cases.columns else transferred(asked))
     refused = F.when(F.col("status") == "missing", F.lit("missing line") if missing_is_error else F.lit(None)).when(F.col("status") == "weak", F.lit("low support") if last_resort else F.lit(None))
     out = base.withColumn("error", F.when(usable, F.col("got.error")).otherwise(refused))
     return out.withColumn("boxes", F.when(usable, F.col("got.boxes")).when(F.col("error").isNull(), F.col("base"))).drop("base", "got")
 
 
+def _aligned(*glyphs: Column) -> Column:
+    return aligned_of("read", "spans", "tokens", "box_hpos", "box_width", F.array(*[g.cast("map<string,double>") for g in glyphs]))
+
+
+def read_boxes(cases: DataFrame, least: float = LEAST_SUPPORT, **rules) -> DataFrame:
+    """:func:`status_of` and :func:`resolve_read` in one pass over cases that have a reading: each is aligned once."""
+    rows = cases.withColumn("got", _aligned(F.lit(None))).withColumn("support", F.col("got.support"))
+    return resolve_read(_with_status(rows, least), **rules)
+
+
+def _with_status(rows: DataFrame, least: float) -> DataFrame:
+    return rows.withColumn("status", F.when(F.col("read").isNull(), "missing").when(F.col("support") < least, "weak").otherwise("read"))
+
+
 def relative(models: DataFrame) -> DataFrame:
     """Width models (glyphs, space, unit) with ``glyphs`` scaled so that the upper median letter is 1, the space among them; a
     model without letters scales by its unit."""
@@ -53,13 +69,12 @@ def relative(models: DataFrame) -> DataFrame:
     return rows.withColumn("glyphs", F.map_concat(letters, F.create_map(F.lit(" "), F.col("space") / F.col("scale")))).drop("scale")
 
 
-def boundary_arms(cases: DataFrame, widths: dict[str, Column], *keys: str) -> DataFrame:
-    """(keys, one error for each name): every boundary of the cases with a ``status`` that were read, transferred under those
+def boundary_arms(cases: DataFrame, widths: dict[str, Column], *keys: str, least: float = LEAST_SUPPORT) -> DataFrame:
+    """(keys, one error for each name): every boundary of the cases that were read (``read``, ``spans``), transferred under those
     letter widths (null: none); null where an arm failed.  Other cases fall back alike under every arm."""
-    rows = cases.where("status = 'read'")
-    for name, glyphs in widths.items():
-        rows = rows.withColumn(name, transferred(F.struct("read", "spans", "tokens", F.col("box_hpos").alias("hpos"), F.col("box_width").alias("width"), glyphs.alias("glyphs"))))
-    errors = [F.when(F.col(name)["error"].isNull(), boundary_errors(F.col(name)["boxes"], F.col("gaps"))).alias(name) for name in widths]
+    rows = cases.where("read is not null").withColumn("got", _aligned(*widths.values())).where(F.col("got.support") >= least)
+    arm = lambda k: F.col("got.arms")[k]
+    errors = [F.when(arm(k)["error"].isNull(), boundary_errors(arm(k)["boxes"], F.col("gaps"))).alias(name) for k, name in enumerate(widths)]
     return rows.select(*keys, F.explode(F.arrays_zip(*errors)).alias("x")).select(*keys, "x.*")
 
 

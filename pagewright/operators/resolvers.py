@@ -1,85 +1,37 @@
 """Pixel-blind resolvers: where do a case's tokens lie, given only its box?
 
-``registry`` maps names to functions from tokens' weights to integer widths, all folds over
-arrays.  Integer weights (10 a character, 6 a space) keep the sums exact; the boundary of token k is
-rounded half to even from the running sum.
+``registry`` maps names to resolvers, which add ``boxes`` to cases; widths are worked out for Arrow batches of cases at once
+(:mod:`pagewright.functions.arrays`).  Integer weights (10 a character, 6 a space) keep the sums exact; the boundary of token k
+is rounded half to even from the running sum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import before_each, chunked_fold, is_space
+from ..functions.arrays import distributed_of, proportional_of, weighted_of
 
+BOX = ("box_hpos", "box_width")
 
-def weight(token: Column) -> Column:
-    return F.length(token) * F.when(is_space(token), 6).otherwise(10)
 
-
-def _running(weights: Column, cut) -> Column:
-    """Widths from rounding the running sum of weights; ``cut`` turns a sum into the boundary before rounding."""
-    def step(a: dict, w: Column) -> tuple[dict, Column]:
-        cum = a["cum"] + w
-        now = F.rint(cut(cum)).cast("bigint")
-        return {"cum": cum, "prev": now}, now - a["prev"]
-
-    return chunked_fold(weights, {"cum": F.lit(0.0), "prev": F.lit(0).cast("bigint")}, "bigint", step)
-
-
-def shared_by(cases: DataFrame, by_unit: bool) -> DataFrame:
-    """Adds ``_w``, the widths of ``tokens`` in ``box_width``: by adding up ``weight * unit`` with the weights 1 and 0.6
-    and one unit, or by one division ``width * sum / total`` for each boundary of ``_weights``."""
-    if by_unit:
-        # The total is taken over whole numbers, so it is exact; unit and weights are columns, worked out once.
-        rows = cases.withColumn("_n", F.transform("tokens", weight)).withColumn("_total", F.aggregate("_n", F.lit(0).cast("bigint"), lambda a, n: a + n))
-        rows = rows.withColumn("_unit", F.col("box_width") / (F.col("_total") / F.lit(10.0)))
-        rows = rows.withColumn("_steps", F.transform("tokens", lambda t: F.when(is_space(t), F.length(t) * F.lit(0.6)).otherwise(F.length(t).cast("double")) * F.col("_unit")))
-        widths = _running(F.col("_steps"), lambda c: c)
-    else:
-        rows = cases.withColumn("_total", F.aggregate("_weights", F.lit(0.0), lambda a, w: a + w))
-        widths = _running(F.col("_weights"), lambda c: F.col("box_width") * c / F.col("_total"))
-    even = F.transform("tokens", lambda t: F.floor(F.col("box_width") / F.size("tokens")).cast("bigint"))
-    none = F.array().cast("array<bigint>")
-    rows = rows.withColumn("_w", F.when(F.size("tokens") == 0, none).when(F.col("_total") <= 0, even).otherwise(widths))
-    return rows.drop("_n", "_total", "_unit", "_steps")
-
-
-def at_least_one(widths: Column) -> Column:
-    """No width below 1: what is missing is taken from the widest (the first of equal ones), down to 1, until repaid."""
-    floored = F.transform(widths, lambda w: F.greatest(w, F.lit(1).cast("bigint")))
-    owed = F.aggregate(widths, F.lit(0).cast("bigint"), lambda a, w: a + F.greatest(1 - w, F.lit(0).cast("bigint")))
-
-    def pay(a: Column, _: Column) -> Column:
-        most = F.array_max(a["w"])
-        take = F.least(a["owed"], most - 1)
-        at = F.array_position(a["w"], most) - 1
-        return F.struct(F.transform(a["w"], lambda w, i: F.when(i == at, w - take).otherwise(w)).alias("w"), (a["owed"] - take).alias("owed"))
-
-    repaid = F.aggregate(floored, F.struct(floored.alias("w"), owed.alias("owed")), pay, lambda a: a["w"])
-    return F.when(owed > 0, repaid).otherwise(widths)
-
-
-def placed(hpos: Column, widths: Column, tokens: Column) -> Column:
-    """Boxes (text, hpos, width) of tokens laid out from ``hpos``."""
-    at = before_each(widths, hpos)
-    return F.arrays_zip(tokens.alias("text"), at.alias("hpos"), widths.alias("width"))
-
-
-def laid_out(rows: DataFrame) -> DataFrame:
-    """Adds ``boxes`` from ``_w``.  Each step is a column of its own, so no fold is worked out twice."""
-    rows = rows.withColumn("_w1", at_least_one(F.col("_w")))
-    return rows.withColumn("boxes", placed(F.col("box_hpos"), F.col("_w1"), F.col("tokens"))).drop("_w", "_w1").withColumn("error", F.lit(None).cast("string"))
+def _resolved(cases: DataFrame, boxes) -> DataFrame:
+    return cases.withColumn("boxes", boxes).withColumn("error", F.lit(None).cast("string"))
 
 
 def resolve_proportional(cases: DataFrame) -> DataFrame:
-    return laid_out(shared_by(cases, True))
+    """Adds up ``weight * unit`` with the weights 1 and 0.6 and one unit for the whole box."""
+    return _resolved(cases, proportional_of("tokens", *BOX))
 
 
 def resolve_distributed(cases: DataFrame) -> DataFrame:
     """Exact integer weights, one division a boundary."""
-    rows = cases.withColumn("_weights", F.transform("tokens", lambda t: weight(t).cast("double")))
-    return laid_out(shared_by(rows, False)).drop("_weights")
+    return _resolved(cases, distributed_of("tokens", *BOX))
+
+
+def resolve_weighted(cases: DataFrame, weights: str) -> DataFrame:
+    """One division a boundary, by a column of weights, one for each token."""
+    return _resolved(cases, weighted_of("tokens", *BOX, weights))
 
 
 registry = {"proportional": resolve_proportional, "distributed": resolve_distributed}
@@ -89,3 +41,9 @@ def coalesced(first: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFra
     """The first resolver's boxes where it gave any, else the fallback's."""
     other = fallback.select(*keys, F.col("boxes").alias("_boxes"))
     return first.join(other, keys, "left").withColumn("boxes", F.coalesce("boxes", "_boxes")).drop("_boxes")
+
+
+def fallen_back(first: DataFrame, fallback) -> DataFrame:
+    """The boxes that cases have, else those of the ``fallback`` resolver, case by case: nothing is joined or shuffled."""
+    other = fallback(first.withColumnRenamed("boxes", "_boxes").drop("error"))
+    return other.withColumn("boxes", F.coalesce("_boxes", "boxes")).drop("_boxes")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import error_counts
 from ..functions.columns import interval_distance
 
 
@@ -27,19 +28,13 @@ def report(cases: DataFrame, *by: str, upper: bool = False) -> DataFrame:
     """The distribution report of scored cases, one row for each value of ``by``; with ``upper`` the median of an even number is the
     upper of the two in the middle.
 
-    One scan counts, for each distinct error of a group, how often it occurs; all figures, the order statistics too, come
+    One scan counts, by Arrow batches and then in all, for each distinct error of a group, how often it occurs; all figures, the order statistics too, come
     from these counts.  Errors are halves of pixels, so a group has few distinct ones."""
     keys = list(by)
-    # One reference to ``errors``, so that the optimizer doesn't repeat the folds (or the Python kernel) that make it.
-    item = lambda k, e, failed: F.struct(k.cast("int").alias("k"), e.cast("double").alias("e"), F.lit(failed).alias("failed"))
-    rows = F.coalesce(F.transform("errors", lambda e, k: item(k, e, False)), F.array(item(F.lit(None), F.lit(None), True)))
-    each = cases.select(*keys, "unit", F.explode_outer(rows).alias("x")).select(*keys, "unit", "x.*")
-    chars = F.when(F.col("unit") > 0, F.col("e") / F.col("unit"))
-    once = F.col("k").isNull() | (F.col("k") == 0)
-    counts = each.groupBy(*keys, "e").agg(
-        F.count_if(once).alias("cases"), F.count_if(F.col("failed")).alias("failures"), F.count("e").alias("c"),
-        F.count(chars).alias("sized"), F.sum(chars).alias("chars"), F.count_if(chars <= 0.5).alias("within"),
-    )
+    rows = cases.select(*keys, F.col("unit").cast("double").alias("unit"), F.col("errors").cast("array<double>").alias("errors"))
+    named = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    each = rows.mapInArrow(error_counts(tuple(keys)), named + "e double, cases long, failures long, c long, sized long, chars double, within long")
+    counts = each.groupBy(*keys, "e").agg(*[F.sum(c).alias(c) for c in ("cases", "failures", "c", "sized", "chars", "within")])
     group = Window.partitionBy(*keys)
     placed = counts.withColumn("upto", F.sum("c").over(group.orderBy(F.asc_nulls_first("e")))).withColumn("total", F.sum("c").over(group))
     nth = lambda place: F.min(F.when(F.col("upto") > place, F.col("e")))

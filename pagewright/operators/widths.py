@@ -9,21 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import advance_counts
 from ..functions.columns import is_space
 from ..functions.kernels import fold, folded
-from .resolvers import laid_out, shared_by
+from .resolvers import resolve_weighted
 
 MODEL = "corpus string, file long, parity int, glyphs map<string,double>, constant double, space double, unit double"
 
 
 def learn_advances(cuts: DataFrame, *by: str) -> DataFrame:
-    """(by, glyph, advance, n) from cuts (file, line_ord, text, spans): the distance to the next character's start against
-    the line's median, then the median of each folded character, of all cuts or by ``by``."""
-    each = cuts.select("file", "line_ord", F.posexplode(F.arrays_zip(F.split("text", "").alias("c"), F.col("spans").alias("s"))).alias("k", "x"))
-    following = F.lead(F.col("x.s.x0")).over(Window.partitionBy("file", "line_ord").orderBy("k"))
-    step = each.select("file", "line_ord", F.col("x.c").alias("c"), F.greatest(F.lit(0), F.coalesce(following, F.col("x.s.x1")) - F.col("x.s.x0")).alias("step")).where("step > 0")
-    scale = F.percentile("step", F.lit(0.5)).over(Window.partitionBy("file", "line_ord"))
-    return step.withColumn("advance", F.col("step") / scale).groupBy(*by, folded("c").alias("glyph")).agg(F.percentile("advance", F.lit(0.5)).alias("advance"), F.count("*").alias("n"))
+    """(by, glyph, advance, n) from cuts (file, line_ord, text, spans), one row a line: the distance to the next character's start
+    against the line's median, then the median of each folded character, of all cuts or by ``by``.
+
+    A line's own figures are worked out where the line is; what is shuffled are counts of distinct advances."""
+    rows = cuts.select(*by, "text", "spans")
+    named = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in by)
+    counts = rows.mapInArrow(advance_counts(by), named + "glyph string, advance double, n long").groupBy(*by, "glyph", "advance").agg(F.sum("n").alias("n"))
+    return counts.groupBy(*by, "glyph").agg(F.percentile("advance", F.lit(0.5), F.col("n")).alias("advance"), F.sum("n").alias("n"))
 
 
 def ridge(counts: np.ndarray, widths: np.ndarray, unit: float) -> np.ndarray:
@@ -84,6 +86,12 @@ def parities(lines: DataFrame) -> DataFrame:
     return lines.select("corpus", "file", "line_ord", ((F.row_number().over(order) - 1) % 2).cast("int").alias("parity"))
 
 
+def in_pages(cases: DataFrame) -> DataFrame:
+    """Cases of whole lines with their ``parity`` by the order of their page's cases, as :func:`parities` gives it."""
+    order = Window.partitionBy("corpus", "file").orderBy("line_ord")
+    return cases.withColumn("parity", ((F.row_number().over(order) - 1) % 2).cast("int"))
+
+
 def resolve_learned(cases: DataFrame, lines: DataFrame) -> DataFrame:
     """Cases laid out by their page's own letter widths, never learned from their own half."""
     rows = cases.join(parities(lines), ["corpus", "file", "line_ord"]).join(cross_fit(lines), ["corpus", "file", "parity"], "left")
@@ -92,5 +100,5 @@ def resolve_learned(cases: DataFrame, lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("folded", F.transform(F.split(folded(F.array_join("tokens", "\n")), "\n"), lambda t: t))
     pairs = F.zip_with("tokens", "folded", lambda t, f: F.struct(t.alias("t"), f.alias("f")))
     weights = F.transform(pairs, lambda p: F.when(is_space(p["t"]), F.length(p["t"]) * F.col("space")).otherwise(F.col("constant") + F.aggregate(letters(p["f"]), F.lit(0.0), lambda a, c: a + glyph(c))))
-    laid = laid_out(shared_by(rows.withColumn("_weights", weights), False))
+    laid = resolve_weighted(rows.withColumn("_weights", weights), "_weights")
     return laid.withColumn("boxes", F.when(F.col("glyphs").isNotNull(), F.col("boxes"))).withColumn("error", F.when(F.col("glyphs").isNull(), "no model")).drop("_weights", "folded", "glyphs", "constant", "space", "unit", "parity")
