@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import support_of
+from ..functions.kernels import edits_of, support_of
 from ..functions.likeness import unanchored_runs_of
 
 LIMITS, INVENTED = (2, 3, 4), 3
@@ -14,8 +14,8 @@ KEY = ("corpus", "page", "ord", "output")
 
 
 def edits(a: str, b: str) -> Column:
-    """Edits between two texts; most pairs are equal and cost nothing."""
-    return F.when(F.col(a) == F.col(b), 0).otherwise(F.levenshtein(a, b))
+    """Edits between two texts; null if either is."""
+    return edits_of(a, b)
 
 
 def corrections(rows: DataFrame) -> DataFrame:
