@@ -5,10 +5,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import places
 from .kernels import opcodes
 
 #: The characters that break a word at a line end.
@@ -20,6 +21,8 @@ OWNER = T.StructType([
     T.StructField("cut", T.IntegerType()), T.StructField("mark", T.StringType()),
 ])
 
+_OWNERS = pa.list_(pa.struct([("word", pa.string()), ("line", pa.int32()), ("tail_line", pa.int32()), ("cut", pa.int32()), ("mark", pa.string())]))
+
 
 def linearised(lines: list[str], hyphened: list[bool]) -> list[tuple]:
     """(word, line, tail line, cut, mark) of a page's words in order; the last three are -1, 0 and empty for whole words.
@@ -85,14 +88,23 @@ def put_back(corrected: list[str], owners: list[tuple], n_lines: int) -> list[st
     return [" ".join(own) for own in lines]
 
 
-@F.pandas_udf(T.ArrayType(OWNER))
-def linearised_of(lines: pd.Series, hyphened: pd.Series) -> pd.Series:
-    return pd.Series([linearised([t or "" for t in own], [bool(x) for x in marks]) for own, marks in zip(lines, hyphened)])
+def _pages(made, kind: pa.DataType) -> pa.Array:
+    """An array from one Python value a page: only a page's objects are held beside the compact arrays."""
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([x], kind) for x in made)])
+
 
+@F.arrow_udf(T.ArrayType(OWNER))
+def linearised_of(lines: pa.Array, hyphened: pa.Array) -> pa.Array:
+    pages = zip(lines, hyphened)
+    return _pages((linearised([t or "" for t in own.as_py()], [bool(x) for x in marks.as_py()]) if own.is_valid else None for own, marks in pages), _OWNERS)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def put_back_of(corrected: pd.Series, owners: pd.Series, n_lines: pd.Series) -> pd.Series:
-    rows = zip(corrected, owners, n_lines)
-    return pd.Series([put_back(list(words), [tuple(o[f] for f in OWNER.fieldNames()) for o in own], int(n)) for words, own, n in rows])
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def put_back_of(corrected: pa.Array, owners: pa.Array, n_lines: pa.Array) -> pa.Array:
+    def made():
+        at, flat = places(owners), owners.flatten()
+        for i, (words, n) in enumerate(zip(corrected, n_lines)):
+            own = flat.slice(at[i], at[i + 1] - at[i])
+            yield put_back(words.as_py(), list(zip(*(own.field(k).to_pylist() for k in range(own.type.num_fields)))), n.as_py())
 
+    return _pages(made(), pa.list_(pa.string()))

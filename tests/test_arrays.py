@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagewright.functions import arrays
+from pagewright.functions import arrays, kernels, rejoin
 from pagewright.operators import cases, readings, resolvers, scoring, widths
 from pagewright.plans import queries as plans
 from pagewright.plans import readings as reading_plans
@@ -117,3 +119,40 @@ def test_fallback_keeps_what_there_is(lines):
     keys = ["corpus", "file", "line_ord", "first"]
     want = resolvers.coalesced(rows, resolvers.resolve_proportional(cases.merge_cases(lines, 2)), keys)
     assert resolvers.fallen_back(rows, resolvers.resolve_proportional).select(*keys, "boxes").orderBy(*keys).collect() == want.select(*keys, "boxes").orderBy(*keys).collect()
+
+
+def test_distance_is_levenshteins(spark):
+    rng = random.Random(8)
+    pairs = [("", ""), ("", "abc"), ("kitten", "sitting"), ("x" * 70, "x" * 70 + "y")]
+    pairs += [tuple("".join(rng.choice("abé𝔸") for _ in range(rng.randrange(0, 150))) for _ in range(2)) for _ in range(200)]
+    rows = spark.createDataFrame(pairs + [(None, "a")], "a string, b string").selectExpr("a", "b", "levenshtein(a, b) d").collect()
+    assert [r["d"] for r in rows] == [None if r["a"] is None else kernels.distance(r["a"], r["b"]) for r in rows]
+
+
+def test_long_lines_are_compared_in_time():
+    text = "".join(random.Random(1).choice("abcde ") for _ in range(30_000))
+    began = time.monotonic()
+    assert kernels.distance(text, text.replace("e", "c")) == text.count("e")
+    assert time.monotonic() - began < 20  # a table of all pairs of characters has 900 million places
+
+
+def test_readings_with_holes_align_as_difflib():
+    rng = random.Random(2)
+    for alphabet, n in (("ab", 150), ("abcdefgh ", 400), ("aab c", 260)):
+        for _ in range(12):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            for read in ("".join(c for i, c in enumerate(text) if i % 17 >= 3), "".join(c for c in text if rng.random() < 0.9), text[n // 2 :] + text[: n // 2]):
+                want = [tuple(m) for m in SequenceMatcher(None, read, text, autojunk=False).get_matching_blocks() if m.size]
+                assert kernels.blocks(read, text) == want
+    read, text = "".join(map(chr, range(1000, 1200))), "".join(map(chr, range(2000, 2200)))
+    assert kernels.blocks(read + "a" + read, text + "a" + text) == [(200, 200, 1)]  # nothing else in common on either side
+
+
+def test_pages_are_put_back_one_at_a_time(spark, monkeypatch):
+    """No more than a page's words are Python objects at once."""
+    held = []
+    lists = pa.array([["ein wort", "und noch"]] * 50), pa.array([[False, False]] * 50)
+    corrected, size = pa.array([["ein", "wort", "und", "noch"]] * 50), pa.array([2] * 50)
+    monkeypatch.setattr(rejoin.pa, "array", lambda x, *a, real=pa.array: held.append(len(x)) or real(x, *a))
+    texts = rejoin.put_back_of.func(corrected, rejoin.linearised_of.func(*lists), size)
+    assert texts.to_pylist() == lists[0].to_pylist() and max(held) == 1
