@@ -29,9 +29,9 @@ def merge_cases(lines: DataFrame, run: int = 2) -> DataFrame:
     return _cases(lines, (run,)).drop("run")
 
 
-def line_cases(lines: DataFrame, in_line_box: bool = False) -> DataFrame:
-    """One case for every line: all its words, in their union box or in the line's own if that holds it."""
-    return _in_line_box(_cases(lines, (0,), *LINE), F.lit(True)).drop("run") if in_line_box else _cases(lines, (0,)).drop("run")
+def line_cases(lines: DataFrame, in_line_box: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One case for every line: all its words, in their union box or in the line's own if that holds it; other columns if ``carried``."""
+    return _in_line_box(_cases(lines, (0,), *LINE, *carried), F.lit(True)).drop("run") if in_line_box else _cases(lines, (0,), *carried).drop("run")
 
 
 def _in_line_box(cases: DataFrame, wanted) -> DataFrame:

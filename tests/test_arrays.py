@@ -156,3 +156,11 @@ def test_pages_are_put_back_one_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(rejoin.pa, "array", lambda x, *a, real=pa.array: held.append(len(x)) or real(x, *a))
     texts = rejoin.put_back_of.func(corrected, rejoin.linearised_of.func(*lists), size)
     assert texts.to_pylist() == lists[0].to_pylist() and max(held) == 1
+
+
+def test_paired_cuts_joins_words_only(spark, tmp_path):
+    docs = [(k, "ein wort und noch\neins", "de", "s", 1) for k in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = reading_plans.paired_cuts(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [k for k, line in enumerate(plan) if "Join " in line]
+    assert joins and not any("tokens" in line or "spans" in line for line in plan[joins[0] :])
