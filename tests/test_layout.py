@@ -263,3 +263,44 @@ def test_what_a_cache_was_made_from(spark, tmp_path):
     manifest = spark.createDataFrame([("c", "p", "good.json"), ("c", "q", "old.json")], "corpus string, file string, cache string")
     sources = spark.createDataFrame([("p", sha("p.xml"), None), ("q", sha("p.png"), None)], "file string, layout_digest string, image_digest string")
     assert {r["file"]: r["status"] for r in campaign.paired(manifest, names, sources).collect()} == {"p": "checked", "q": "no provenance"}
+
+
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["alto", "page", "djvu"])
+def test_pages_are_written_where_documents_are_read(spark, tmp_path, kind):
+    """Texts are dealt out once and no word is shuffled or gathered; odd characters come back, and a number that isn't one spoils its line."""
+    from pagewright.sources import derived
+
+    texts = ['a & "b" <c>\n\n  x\ty \r z\nd\x01 e', None, " \n ", "solo", "Ã¼ber é\n" + " ".join(["wörd"] * 300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    files = derived.files(spark, str(tmp_path), kind)
+    plan = plan_of(files)
+    assert plan.count("Exchange") <= 1 and "Aggregate" not in plan and "xml" not in plan
+    got = {(r["file"], r["line_ord"]): [w["text"] for w in r["words"]] for r in layout.lines_of(files, kind).collect()}
+    # DjVu words are stripped and read as they are; a word of white space alone is none there, and its line isn't usable.
+    second, umlaut = ({("0", 1): ["d\ufffd", "e"]}, "Ã¼ber") if kind == "djvu" else ({("0", 1): ["x\ty", "\r", "z"], ("0", 2): ["d\ufffd", "e"]}, "über")
+    assert got == {("0", 0): ["a", "&", '"b"', "<c>"], **second, ("4", 0): [umlaut, "é"], ("4", 1): ["wörd"] * 300}
+
+
+def test_numbers_and_polygons_at_once_are_those_one_by_one():
+    texts = ["12", "-7", "007", "3.9", "-3.9", "1e3", " 5", "", "x", "nan", "inf", "1e40", "-0", "٣"]
+    values, known = layout.wholes(texts)
+    assert [int(v) if k else None for v, k in zip(values, known)] == [layout.whole(t) for t in texts] == [12, -7, 7, 3, -3, 1000, 5, None, None, None, None, None, 0, 3]
+    points = ["0,0 9,4", "3,4", "5,5 1,9 -2,0", "1.5,2 3,4", "1,2  3,4", "1", "", "1,2 x,y", "1,2,3 4,5,6", "inf,2"]
+    values, known = layout.envelopes(points)
+    assert [tuple(map(int, values[:, i])) if known[i] else None for i in range(len(points))] == [layout.enclosed(p) for p in points]
+    assert layout.enclosed("5,5 1,9 -2,0") == (-2, 0, 7, 9)
+
+
+def test_page_lines_without_a_box_or_with_bad_words(spark):
+    word = '<Word><Coords points="{0}"/><TextEquiv><Unicode>{1}</Unicode></TextEquiv></Word>'
+    line = lambda box, *words: f'<TextLine>{box}{"".join(word.format(*w) for w in words)}</TextLine>'
+    box = '<Coords points="0,5 40,20"/>'
+    good = (("0,5 9,20", "a"), ("12,5 40,20", "b"))
+    lines = [line("", *good), line(box, *good), line(box, good[0]), line(box, good[1], good[0]), line(box, ("0,5 0,20", "a"), good[1]), line(box, ("0,5 9", "a"), good[1]), line(box, ("0,5 9,20", ""), good[1]), line('<Coords points="7,5 7,20"/>', *good)]
+    files = spark.createDataFrame([(n, f'<p:PcGts xmlns:p="urn:p"><p:Page>{"".join(lines)}</p:Page></p:PcGts>'.encode()) for n in ("a", "b")], "file string, content binary").coalesce(1)
+    got = [(r["file"], r["line_ord"], r["line_id"], r["hpos"], r["vpos"], r["width"], r["height"]) for r in layout.lines_of(files, "page").collect()]
+    assert got == [(n, *r) for n in ("a", "b") for r in ((0, "line-0", 0, 5, 40, 15), (1, "line-1", 0, 5, 40, 15))]
