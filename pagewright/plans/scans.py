@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import gaps, right
+from ..functions.columns import right
 from ..functions.kernels import folded
 from ..operators.cases import rotating
 from ..sources import caches, derived, layout
-from .queries import _cuts
 
 
 def band_lines(s: SparkSession, d: str) -> DataFrame:
@@ -32,14 +31,8 @@ def matched_scans(s: SparkSession, d: str) -> DataFrame:
 
 def cache_scans(s: SparkSession, d: str) -> DataFrame:
     """Caches of words and of blanks as JSON, one for each file, read back: lines, characters with their places, and blanks."""
-    lines = derived.lines(s, d)
-    text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
-    boxes = F.transform("words", lambda w: F.array(w["hpos"], w["hpos"] + w["width"]))
-    blanks = F.transform(gaps(F.col("words")), lambda g: F.array(g["start"], g["end"]))
-    rows = lines.select(F.col("file").cast("string").alias("file"), F.col("line_ord").cast("string").alias("id"), F.struct(text.alias("text"), boxes.alias("boxes")).alias("read"), blanks.alias("blanks"))
-    held = lambda c: rows.groupBy("file").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("id", c))).alias("lines"))).alias("value"))  # noqa: E731  bounded by the file
-    words = caches.engine_words_of(held("read")).select("file", "line_id", F.size("spans").alias("chars"), F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["x1"] - x["x0"]).alias("covered"))
-    found = caches.ink_gaps_of(held("blanks")).select("file", "line_id", F.size("gaps").alias("blanks"), F.aggregate("gaps", F.lit(0).cast("bigint"), lambda a, g: a + g["end"] - g["start"]).alias("blank"))
+    words = caches.engine_words_of(derived.caches(s, d, "words")).select("file", "line_id", F.size("spans").alias("chars"), F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["x1"] - x["x0"]).alias("covered"))
+    found = caches.ink_gaps_of(derived.caches(s, d, "gaps")).select("file", "line_id", F.size("gaps").alias("blanks"), F.aggregate("gaps", F.lit(0).cast("bigint"), lambda a, g: a + g["end"] - g["start"]).alias("blank"))
     both = words.join(found, ["file", "line_id"])
     return both.groupBy("file").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.sum("covered").alias("covered"), F.sum("blanks").alias("blanks"), F.sum("blank").alias("blank"))
 
@@ -57,11 +50,7 @@ def campaign_summary(s: SparkSession, d: str) -> DataFrame:
 
 def cut_scans(s: SparkSession, d: str) -> DataFrame:
     """Cut caches as JSON, one for each file, read back; where a span is missing, the line is an error row."""
-    spans = F.transform("spans", lambda x: F.array(x["x0"], x["x1"]))
-    short = F.when(F.col("line_ord") % 7 == 3, F.slice(spans, 1, F.size("spans") - 1)).otherwise(spans)
-    rows = _cuts(s, d).select(F.col("file").cast("string").alias("file"), F.col("line_ord").cast("string").alias("id"), F.struct("text", short.alias("spans")).alias("c"))
-    held = rows.groupBy("file").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("id", "c"))).alias("lines"))).alias("value"))  # bounded by the file
-    return caches.cuts_of(held).groupBy("file", "error").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.sum(F.element_at("spans", -1)["x1"]).alias("right_edge"))
+    return caches.cuts_of(derived.caches(s, d, "cuts")).groupBy("file", "error").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.sum(F.element_at("spans", -1)["x1"]).alias("right_edge"))
 
 
 def folded_texts(s: SparkSession, d: str) -> DataFrame:

@@ -304,3 +304,33 @@ def test_page_lines_without_a_box_or_with_bad_words(spark):
     files = spark.createDataFrame([(n, f'<p:PcGts xmlns:p="urn:p"><p:Page>{"".join(lines)}</p:Page></p:PcGts>'.encode()) for n in ("a", "b")], "file string, content binary").coalesce(1)
     got = [(r["file"], r["line_ord"], r["line_id"], r["hpos"], r["vpos"], r["width"], r["height"]) for r in layout.lines_of(files, "page").collect()]
     assert got == [(n, *r) for n in ("a", "b") for r in ((0, "line-0", 0, 5, 40, 15), (1, "line-1", 0, 5, 40, 15))]
+
+
+def test_caches_are_written_where_documents_are_read(spark, tmp_path):
+    """JSON caches of each document, without a shuffle of lines or spans; odd characters come back."""
+    import json
+
+    from pagewright.sources import derived
+
+    texts = ['a "b\\\n\n  x\x01 ünï\nsolo', None, "solo", "\n\n\nab cd"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for kind in ("cuts", "words", "gaps"):
+        frame = derived.caches(spark, str(tmp_path), kind)
+        assert plan_of(frame).count("Exchange") <= 1 and "Aggregate" not in plan_of(frame)
+        got[kind] = {r["file"]: json.loads(r["value"])["lines"] for r in frame.collect()}
+    w = lambda t: sum(4 + ord(c) % 13 for c in t)
+    assert {k: set(v) for k, v in got["words"].items()} == {"0": {"0", "2"}, "3": {"3"}}
+    assert got["words"]["0"]["2"] == {"text": "x\x01 ünï", "boxes": [[100, 100 + w("x\x01")], [106 + w("x\x01"), 106 + w("x\x01") + w("ünï")]]}
+    assert got["gaps"]["0"]["0"] == [[100 + w("a"), 106 + w("a")]]
+    assert [len(got["cuts"][f][o]["spans"]) for f, o in (("0", "0"), ("0", "2"), ("3", "3"))] == [5, 6, 4]  # of line 3 the last is missing
+    (words, cut) = caches.engine_words_of(derived.caches(spark, str(tmp_path), "words")), caches.cuts_of(derived.caches(spark, str(tmp_path), "cuts"))
+    assert plan_of(words).count("ArrowEvalPython") == 1
+    assert {(r["file"], r["line_id"]): len(r["spans"]) for r in words.collect()} == {("0", "0"): 5, ("0", "2"): 6, ("3", "3"): 5}
+    assert {(r["file"], r["line_id"]): r["error"] for r in cut.collect()} == {("0", "0"): None, ("0", "2"): None, ("3", "3"): "text and spans differ"}
+
+
+def test_word_spans_of_odd_boxes(spark):
+    frame = spark.createDataFrame([(["ab", "c"], [[0, 5], [9, 10], [1, 2]]), (["ab", "c"], [[0, 5]]), (["", "c"], [[0, 5], [6, 7]]), (None, [[0, 5]]), (["a"], None), ([], []), (["ab", "c", "d"], [[0, None], [3, 4], None])], "w array<string>, b array<array<bigint>>")
+    got = [None if r["s"] is None else [tuple(x) for x in r["s"]] for r in frame.select(C.word_spans(F.col("w"), F.col("b")).alias("s")).collect()]
+    assert got == [[(0, 2), (2, 5), (5, 9), (9, 10)], None, None, None, None, [], [(None, None), (None, None), (3, 4), (4, None), (None, None)]]
