@@ -157,6 +157,45 @@ def cut_of(words: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([lines, spans], ["text", "spans"])
 
 
+@F.arrow_udf(T.ArrayType(SPAN))
+def word_spans_of(words: pa.Array, boxes: pa.Array) -> pa.Array:
+    """A span for each character of each row's words and of one space between neighbours, from word boxes [left, right]; null where a
+    word is empty or has no box."""
+    at, box_at, texts = places(words), places(boxes), words.flatten()
+    n, own, length = np.diff(at), np.diff(box_at), numbers(pc.utf8_length(texts))
+    unknown = pc.or_(pc.is_null(words), pc.is_null(boxes)).to_numpy(zero_copy_only=False)
+    fits = ~unknown & (own >= n) & (totals((length == 0).astype(np.int64), at) == 0)
+    held = ragged(at[:-1][fits], n[fits])
+    each = boxes.flatten().take(pa.array(ragged(box_at[:-1][fits], n[fits])))
+    # A box that is null or has no two numbers gives spans without edges.
+    edge_at, edges = places(each), each.flatten()
+    whole = np.diff(edge_at) >= 2
+    value, known = numbers(edges), pc.is_valid(edges).to_numpy(zero_copy_only=False)
+    place = np.where(whole, edge_at[:-1], len(value))
+    value, known = np.append(value, (0, 0)), np.append(known, (False, False))
+    left, right, has_left, has_right = value[place], value[place + 1], known[place], known[place + 1]
+    length = length[held]
+    first = np.zeros(len(held), bool)
+    first[(np.cumsum(n[fits]) - n[fits])[n[fits] > 0]] = True
+    size = length + (~first & np.append(False, has_right[:-1])[: len(held)])
+    start = np.cumsum(size) - size
+    k = ragged(np.zeros(len(length), np.int64), length)
+    char = np.repeat(start + size - length, length) + k
+    x0, x1 = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
+    no0, no1 = np.zeros(len(x0), bool), np.zeros(len(x0), bool)
+    from_, one = np.repeat(left.astype(float), length), np.repeat((right - left) / np.maximum(length, 1), length)
+    x0[char], x1[char] = np.rint(from_ + k * one).astype(np.int64), np.rint(from_ + (k + 1) * one).astype(np.int64)
+    no0[char] = no1[char] = np.repeat(~(has_left & has_right), length)
+    space = np.flatnonzero(size > length)
+    x0[start[space]], x1[start[space]] = right[space - 1], left[space]
+    no1[start[space]] = ~has_left[space]
+    spans = pa.StructArray.from_arrays([pa.array(x0, mask=no0), pa.array(x1, mask=no1)], ["x0", "x1"])
+    many = np.zeros(len(n), np.int64)
+    many[fits] = totals(size, np.append(0, np.cumsum(n[fits])))
+    bounds = np.append(0, np.cumsum(many)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds, mask=np.append(~fits, False)), spans)
+
+
 #: Words of lines that are cut into windows at once; a longer line alone, whole.
 WORDS_AT_ONCE = 1 << 16
 

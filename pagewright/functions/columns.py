@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import word_spans_of
+
 WORDS = "array<struct<text:string,hpos:bigint,width:bigint>>"
 #: Values that :func:`chunked_fold` gathers at once.
 FOLD = 64
@@ -73,20 +75,7 @@ def before_each(values: Column, start: Column) -> Column:
 def word_spans(words: Column, boxes: Column) -> Column:
     """A span for each character of words with one space between them, from word boxes [left, right]: even within a word, and a
     space from one box to the next.  Null where a word is empty or has no box."""
-    fits = (F.size(boxes) >= F.size(words)) & ~F.exists(words, lambda w: w == "")
-    used = F.slice(boxes, 1, F.size(words))
-    pairs = F.arrays_zip(words.alias("w"), used.alias("b"))
-
-    def step(a: dict, pair: Column) -> tuple[dict, Column]:
-        left, right = pair["b"][0].cast("double"), pair["b"][1].cast("double")
-        one = (right - left) / F.length(pair["w"])
-        at = lambda k: F.rint(left + k * one).cast("bigint")
-        own = F.transform(F.sequence(F.lit(0), F.length(pair["w"]) - 1), lambda k: F.struct(at(k).alias("x0"), at(k + 1).alias("x1")))
-        gap = F.when(a["right"].isNotNull(), F.array(F.struct(a["right"].alias("x0"), pair["b"][0].alias("x1")))).otherwise(F.array().cast("array<struct<x0:bigint,x1:bigint>>"))
-        return {"right": pair["b"][1]}, F.concat(gap, own)
-
-    spans = chunked_fold(pairs, {"right": F.lit(None).cast("bigint")}, "array<struct<x0:bigint,x1:bigint>>", step)
-    return F.when(fits, F.flatten(spans))
+    return word_spans_of(words, boxes)
 
 
 def line_box(words: Column) -> tuple[Column, Column]:

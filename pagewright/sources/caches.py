@@ -56,7 +56,10 @@ def engine_words_of(raw: DataFrame) -> DataFrame:
     """(file, line_id, text, spans): an engine's word boxes shared evenly among each word's characters; lines with an
     empty word or more words than boxes are left out."""
     rows = parsed(raw, WORDS).select("file", F.explode("lines").alias("line_id", "c"))
-    return rows.select("file", "line_id", "c.text", word_spans(F.split("c.text", " "), F.col("c.boxes")).alias("spans")).where("spans is not null")
+    words = F.split("c.text", " ")
+    # The rule is asked of texts and boxes, not of what is made of them, so spans are made once.
+    whole = rows.where((F.size("c.boxes") >= F.size(words)) & ~F.exists(words, lambda w: w == ""))
+    return whole.select("file", "line_id", "c.text", word_spans(words, F.col("c.boxes")).alias("spans"))
 
 
 def manifest(spark: SparkSession, path, home: str | None = None) -> DataFrame:
