@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import BOXES, char_edges, fold, matched, token_extents, whole_pixels
+from .kernels import BOXES, char_edges, fold, matched, shared_out, token_extents, whole_pixels
 
 #: White space except the three no-break spaces, which belong to words.
 SPACE = "^[\t-\r \u0085\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]+$"
@@ -157,6 +157,124 @@ def cut_of(words: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([lines, spans], ["text", "spans"])
 
 
+#: What :func:`pagewright.functions.kernels.is_space` counts as white space.
+BLANK = "^[\t-\r\x1c-\x1f \u0085\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]+$"
+#: Cells of the table of blanks by boundaries that lines of like sizes share.
+CELLS = 1 << 22
+
+
+class _Snapping:
+    """Boxes and blanks of a batch of lines, flat."""
+
+    def __init__(self, boxes: pa.Array, gaps: pa.Array, hpos: pa.Array, width: pa.Array):
+        self.boxes, self.at, self.gap_at = boxes, places(boxes), places(gaps)
+        flat, blanks = boxes.flatten(), gaps.flatten()
+        self.text, self.x, self.w = flat.field("text"), numbers(flat.field("hpos")), numbers(flat.field("width"))
+        self.low, self.high = numbers(blanks.field("start")), numbers(blanks.field("end"))
+        self.hpos, self.width = numbers(hpos), numbers(width)
+        self.n, self.gaps = np.diff(self.at), np.diff(self.gap_at)
+        self.space = pc.fill_null(pc.match_substring_regex(self.text, BLANK), False).to_numpy(zero_copy_only=False)
+
+    def made(self, x: np.ndarray, w: np.ndarray) -> pa.Array:
+        own = pa.StructArray.from_arrays([self.text, pa.array(x), pa.array(w)], ["text", "hpos", "width"])
+        bounds = pa.array(self.at.astype(np.int32), mask=np.append(pc.is_null(self.boxes).to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(bounds, own)
+
+
+def assigned(middles: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, gap_at: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
+    """:func:`pagewright.functions.kernels.assign_gaps` for many lines: the number of each boundary's blank in its line; -1 for all of a
+    line's boundaries if one of them has none.  Lines of like sizes stand in one table and go boundary by boundary together."""
+    n, m, out = np.diff(gap_at), np.diff(at), np.full(len(middles), -1)
+    size = (np.ceil(np.log2(np.maximum(n, 1))) * 64 + np.ceil(np.log2(np.maximum(m, 1)))).astype(np.int64)
+    able = (n >= m) & (m > 0) & (tolerance > 0)
+    for k in np.unique(size[able]):
+        rows = np.flatnonzero(able & (size == k))
+        for some in np.array_split(rows, -(-len(rows) * int(n[rows].max() * m[rows].max()) // CELLS) or 1):
+            some = some[np.argsort(-m[some], kind="stable")]
+            column = np.arange(int(n[some].max()))
+            inside = column < n[some][:, None]
+            index = np.where(inside, gap_at[some][:, None] + column, 0)
+            a, b, off = low[index].astype(float), high[index].astype(float), tolerance[some][:, None]
+            widest = np.where(inside, b - a, -np.inf).max(1)
+            bonus, centres = 0.75 * (b - a) / np.where(widest == 0, 1.0, widest)[:, None], (a + b) / 2
+            last, taken = np.zeros((len(some), len(column) + 1)), []
+            for j in range(int(m[some[0]])):
+                own = np.count_nonzero(m[some] > j)  # the lines with so many boundaries come first
+                away = np.abs(centres[:own] - middles[at[some[:own]] + j][:, None])
+                cost = last[:own, :-1] + np.where((away <= off[:own]) & inside[:own], away / off[:own] - bonus[:own], np.inf)
+                last[:own, 0] = np.inf
+                last[:own, 1:] = np.minimum.accumulate(cost, axis=1)
+                taken.append(cost < last[:own, :-1])
+            good, g = last[:, -1] < np.inf, np.full(len(some), len(column))
+            for j in range(len(taken) - 1, -1, -1):
+                own = len(taken[j])
+                before_ = np.where(taken[j] & (column < g[:own][:, None]), column, -1).max(1)
+                g[:own] = np.where(good[:own], before_, 0)
+                out[at[some[:own]] + j] = np.where(good[:own], before_, -1)
+    return out
+
+
+@F.arrow_udf(BOXES["boxes"].dataType)
+def snapped_of(boxes: pa.Array, gaps: pa.Array, hpos: pa.Array, width: pa.Array) -> pa.Array:
+    """:func:`pagewright.functions.kernels.snapped_to_gaps` of each row."""
+    s = _Snapping(boxes, gaps, hpos, width)
+    space = np.flatnonzero(s.space)
+    spaces = np.searchsorted(space, s.at)
+    chars = totals(numbers(pc.utf8_length(s.text)), s.at)
+    nth = assigned(s.x[space] + s.w[space] / 2, spaces, s.low, s.high, s.gap_at, 1.5 * s.width / np.maximum(chars, 1))
+    owner = np.repeat(np.arange(len(s.n)), np.diff(spaces))
+    space, owner, nth = space[nth >= 0], owner[nth >= 0], nth[nth >= 0]
+    low, high = np.maximum(s.low[s.gap_at[owner] + nth], s.hpos[owner]), s.high[s.gap_at[owner] + nth]
+    x, w = s.x.copy(), s.w.copy()
+    x[space], w[space] = low, np.maximum(1, high - low)
+    # Stretches of words before each blank and behind the last one of a line.
+    first = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+    last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+    lo = np.where(first, s.at[owner], np.append(0, space[:-1] + 1)[: len(space)])
+    left = np.where(first, s.hpos[owner], np.append(0, high[:-1])[: len(high)])
+    lo, hi = np.append(lo, space[last] + 1), np.append(space, s.at[owner[last] + 1])
+    left, right = np.append(left, high[last]), np.append(low, (s.hpos + s.width)[owner[last]])
+    one = hi - lo == 1
+    x[lo[one]], w[lo[one]] = left[one], np.maximum(1, right[one] - left[one])
+    for i in np.flatnonzero(hi - lo > 1).tolist():
+        x[lo[i] : hi[i]], w[lo[i] : hi[i]] = shared_out(s.w[lo[i] : hi[i]].astype(float), float(left[i]), float(right[i]))
+    return s.made(x, w)
+
+
+@F.arrow_udf(BOXES["boxes"].dataType)
+def widened_of(boxes: pa.Array, gaps: pa.Array, hpos: pa.Array, width: pa.Array) -> pa.Array:
+    """:func:`pagewright.functions.kernels.widened_to_ink` of each row."""
+    s = _Snapping(boxes, gaps, hpos, width)
+    if not len(s.x) or not len(s.low):
+        return s.made(s.x, s.w)
+    owner, gap_owner, place = np.repeat(np.arange(len(s.n)), s.n), np.repeat(np.arange(len(s.n)), s.gaps), np.arange(len(s.x))
+    h, end = s.hpos[owner], (s.hpos + s.width)[owner]
+    x0, x1, middle = s.x, s.x + s.w, s.x + s.w // 2
+    # Numbers of one line lie apart from those of the next one, so all lines are searched at once.
+    least = min(v.min() for v in (s.low, s.high, middle))
+    room = max(v.max() for v in (s.low, s.high, middle)) - least + 1
+    key = lambda v, whose: v - least + whose * room
+    order_low, order_high = (np.lexsort((v, gap_owner)) for v in (s.low, s.high))
+    before_ = np.searchsorted(key(s.high[order_high], gap_owner), key(middle, owner), "right")
+    behind = np.searchsorted(key(s.low[order_low], gap_owner), key(middle, owner), "left")
+    ink_from = np.where(before_ > s.gap_at[owner], s.high[order_high][np.maximum(before_ - 1, 0)], h)
+    ink_to = np.where(behind < s.gap_at[owner + 1], s.low[order_low][np.minimum(behind, len(s.low) - 1)], end)
+    x1 = np.where(s.space, x1, np.maximum(x1, np.minimum(ink_to, end)))
+    begins = place == s.at[owner]
+    previous = np.where(begins, h, np.append(0, x1[:-1]))
+    x0 = np.where(s.space, x0, np.minimum(x0, np.maximum.reduce([ink_from, previous, np.maximum(h, 0)])))
+    last = np.maximum.accumulate(np.where(s.space, -1, place))
+    following = np.minimum.accumulate(np.where(s.space, len(place), place)[::-1])[::-1]
+    left = np.where(last >= s.at[owner], x1[np.maximum(last, 0)], h)
+    right = np.where(following < s.at[owner + 1], x0[np.minimum(following, len(place) - 1)], end)
+    nth = place - np.maximum(last, s.at[owner] - 1) - 1
+    a = np.where(nth == 0, left, np.maximum(left + 1, right) + nth - 1)
+    b = np.where(nth == 0, np.maximum(left + 1, right), a + 1)
+    some = (s.gaps > 0)[owner]
+    a, b = np.where(s.space, a, x0), np.where(s.space, b, x1)
+    return s.made(np.where(some, a, s.x), np.where(some, b - a, s.w))
+
+
 @F.arrow_udf(T.ArrayType(SPAN))
 def word_spans_of(words: pa.Array, boxes: pa.Array) -> pa.Array:
     """A span for each character of each row's words and of one space between neighbours, from word boxes [left, right]; null where a

@@ -137,3 +137,35 @@ def test_pages_as_a_stream(spark, tmp_path):
     assert {r["batch"] for r in got.select("batch").distinct().collect()} == {0, 1}
     want = triage(boxes)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_snapping_of_many_lines_is_that_of_each():
+    """Random lines, of words and blanks in any order, against the kernels of one line."""
+    import random
+
+    import pyarrow as pa
+
+    from pagewright.functions import arrays, kernels
+
+    r = random.Random(11)
+    rows = []
+    for _ in range(400):
+        x, boxes = r.randint(0, 9), []
+        for _ in range(r.choice([0, 1, 3, 9, 40])):
+            w = r.randint(1, 14)
+            boxes.append((r.choice(["ab", "c", "defgh", " ", " ", "\x1c", " "]), x, w))
+            x += w + r.choice([0, 0, 2])
+        gaps = sorted((a, a + r.randint(0, 9)) for a in (r.randint(0, x + 5) for _ in range(r.choice([0, 1, 5, 45]))))
+        r.random() < 0.2 and r.shuffle(gaps)
+        rows.append((boxes, gaps, r.randint(0, 9), x))
+    # Words with one blank between them, some blanks found a little off.
+    for n in (2, 5, 17, 60):
+        boxes = [("word" if i % 2 == 0 else " ", 10 + 20 * i, 20) for i in range(2 * n - 1)]
+        rows.append((boxes, [(x + r.randint(-6, 6), x + 20) for t, x, _ in boxes if t == " " for _ in range(2) if r.random() < 0.95], 10, 20 * (2 * n - 1)))
+    box, gap = pa.list_(pa.struct([("text", pa.string()), ("hpos", pa.int64()), ("width", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    named = lambda values, names: [dict(zip(names, v)) for v in values]
+    columns = [pa.array([named(x[0], ("text", "hpos", "width")) for x in rows], box), pa.array([named(x[1], ("start", "end")) for x in rows], gap), *(pa.array([x[k] for x in rows], pa.int64()) for k in (2, 3))]
+    for many, one in ((arrays.snapped_of, kernels.snapped_to_gaps), (arrays.widened_of, kernels.widened_to_ink)):
+        got = [[tuple(b.values()) for b in own] for own in many.func(*columns).to_pylist()]
+        want = [one(*row) for row in rows]
+        assert got == want and sum(a != row[0] for a, row in zip(want, rows)) > 20
