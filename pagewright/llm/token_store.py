@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,6 +93,49 @@ def combine(crc: int, more: int, n: int) -> int:
     return _times(crc, _power(n)) ^ more
 
 
+def _times_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`_times` of many pairs of polynomials at once."""
+    a, b, out = a.astype(np.uint32), b.astype(np.uint32), np.zeros(len(a), np.uint32)
+    one, top, poly = np.uint32(1), np.uint32(31), np.uint32(0xEDB88320)
+    for _ in range(32):
+        out ^= a * (b >> top)
+        b = b << one
+        a = (a >> one) ^ (poly * (a & one))
+    return out
+
+
+@lru_cache(1)
+def _powers() -> np.ndarray:
+    """:func:`_power` of the bytes of 0, 1, ... MOST ids."""
+    n, out, base = np.arange(MOST + 1), np.full(MOST + 1, 1 << 31, np.uint32), _power(4)
+    for k in range(MOST.bit_length()):
+        odd = n >> k & 1 == 1
+        out[odd] = _times_each(out[odd], np.full(int(odd.sum()), base, np.uint32))
+        base = _times(base, base)
+    return out
+
+
+def combine_each(crcs: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """crc32 of each stretch of chunks [at[i], at[i + 1]) from its chunks' checksums and numbers of ids; 0 for none.
+
+    The first chunks of all stretches are combined with the second ones, these with the third, and so on; the few stretches
+    that are left with many chunks go one by one."""
+    size, crcs = np.diff(at), crcs.astype(np.uint32)
+    out = np.zeros(len(size), np.uint32)
+    left, k = np.flatnonzero(size > 0), 1
+    out[left] = crcs[at[left]]
+    while len(left := left[size[left] > k]) > 16 and n.max() <= MOST:
+        place = at[left] + k
+        out[left] = _times_each(out[left], _powers()[n[place]]) ^ crcs[place]
+        k += 1
+    for i in left.tolist():
+        crc = int(out[i])
+        for place in range(int(at[i]) + k, int(at[i + 1])):
+            crc = combine(crc, int(crcs[place]), 4 * int(n[place]))
+        out[i] = crc
+    return out.astype(np.int64)
+
+
 CHUNKS = "doc_id long, row long, k int, n long, digest binary, body binary"
 
 
@@ -188,14 +232,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     def follow(batches):
         for batch in batches:
-            crcs, good = [], []
-            for own, n, root in zip(*(batch.column(c).to_pylist() for c in ("c", "n_tokens", "root"))):
-                crc = 0
-                for x in own:
-                    crc = combine(crc, x["crc"], 4 * x["n"])
-                crcs.append(crc)
-                good.append(all(x["good"] for x in own) and sum(x["n"] for x in own) == n and _merkle([x["digest"] for x in own]) == root)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
+            chunks = batch.column("c")
+            own = chunks.flatten()
+            at = np.append(0, np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False)))
+            n, digests, whole = own.field("n").to_numpy(), own.field("digest").to_pylist(), own.field("good").to_numpy(zero_copy_only=False)
+            crcs = combine_each(own.field("crc").to_numpy(), n, at)
+            sums, bad = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(~whole))
+            fits = (bad[at[1:]] == bad[at[:-1]]) & (sums[at[1:]] - sums[at[:-1]] == batch.column("n_tokens").to_numpy())
+            good = [ok and _merkle(digests[lo:hi]) == root for ok, lo, hi, root in zip(fits.tolist(), at[:-1].tolist(), at[1:].tolist(), batch.column("root").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs), pa.array(good, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     return got.mapInArrow(tidy(follow), "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 

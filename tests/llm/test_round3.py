@@ -220,3 +220,20 @@ def test_toxicity_needs_evidence(spark, share):
     got = toxicity.classify(frame(marked), labels).collect()
     texts = dict(marked)
     assert not any(x["predicted"] for x in got if "vile" not in (texts[x["doc_id"]] or ""))
+
+
+def test_checksums_of_many_documents_are_combined_at_once():
+    import random
+    import zlib
+
+    import numpy as np
+
+    from pagewright.llm import token_store
+
+    r = random.Random(5)
+    sizes = [[r.choice([1, 2, 63, 64, 8192, r.randint(1, 8192)]) for _ in range(k)] for k in [0, 1, 2, 2, 3, *[r.randint(0, 4) for _ in range(40)], 30]]
+    bodies = [[r.randbytes(4 * n) for n in own] for own in sizes]
+    at = np.append(0, np.cumsum([len(own) for own in sizes]))
+    crcs, n = np.array([zlib.crc32(b) for own in bodies for b in own]), np.array([n for own in sizes for n in own])
+    assert token_store.combine_each(crcs, n, at).tolist() == [zlib.crc32(b"".join(own)) for own in bodies]
+    assert token_store.combine_each(crcs[:1], np.array([9000]), np.array([0, 1, 1])).tolist() == [int(crcs[0]), 0]
