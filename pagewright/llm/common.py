@@ -76,15 +76,20 @@ def unstage(*frames: DataFrame) -> None:
         removed(frame.sparkSession, frame._staged_at)
 
 
+def give_back() -> None:
+    """Give memory that is free, but that allocators keep, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """A function for mapInArrow that gives memory back when its partition is done: workers are used again, by tasks of
-    other operators too, and allocators keep what once was needed."""
+    other operators too."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
 

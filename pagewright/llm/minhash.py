@@ -163,25 +163,30 @@ def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, are stars: every u has one v, which is nobody's u."""
+    side = lambda doc, above: F.struct(F.col(doc).alias("doc"), F.lit(above).alias("above"))
+    ends = edges.select(F.inline(F.array(side("u", 1), side("v", 0))))
+    return ends.groupBy("doc").agg(F.sum("above").alias("above"), F.min("above").alias("least")).where("above > 1 or above = 1 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(doc, component): the least document that each one reaches, by alternating large and small stars."""
+    """(doc, component): the least document that each one reaches, by alternating large and small stars until all are stars.
+
+    Each round is a staged table.  It takes few stages, and none only to see that nothing changes any more: on many partitions the
+    driver keeps more about such rounds' tasks than the edges weigh."""
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        print_of = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == tuple(print_of) or not print_of["n"]:
-            break
-        seen = tuple(print_of)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while not settled(now):
+        both = now.select(F.inline(F.array(pair("u", "v"), pair("v", "u"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        small = large.join(least, "u").select(F.inline(F.array(pair("v", "m"), pair("u", "m")))).where("u != v").distinct()
         then = stage(small, "edges")
         unstage(now)
         now = then
-    return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc")
+    return now.select(F.col("u").alias("doc"), F.col("v").alias("component"))
 
 
 LINKS = "a long, b long"
@@ -333,7 +338,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     labels = stage(components(links), "components")
     more = stage(rest(members, labels, signed, sets_of, percent), "links")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = components(labels.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_rep = labels.withColumnRenamed("doc", "rep")
     out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(of_rep, "rep", "left")
     # The least document of a component is the least of a class in it, which stands for the class.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod4, flat, keyed, slices, tidy
+from .common import crc_mod4, flat, give_back, keyed, slices, tidy
 from .hashing import text_words
 
 MIN_DOCS, MIN_GAIN, MIN_POSTERIOR, MOST_WORDS, CAUTION = 4, 20.0, 0.4, 4096, 0.8
@@ -166,7 +166,10 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 6000, unlabe
     rows = keyed(documents).join(F.broadcast(ids), "doc_id").mapInArrow(tidy(features), "kind int, words binary").toArrow()
     words = [np.frombuffer(w.as_buffer(), np.uint64) for w in rows.column("words")]
     kinds = rows.column("kind").to_pylist()
-    return fit([w for w, k in zip(words, kinds) if k == 1], [w for w, k in zip(words, kinds) if k == 0], prior)
+    model = fit([w for w, k in zip(words, kinds) if k == 1], [w for w, k in zip(words, kinds) if k == 0], prior)
+    del rows, words
+    give_back()  # the driver lives on, for other operators too
+    return model
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
