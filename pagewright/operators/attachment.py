@@ -2,7 +2,8 @@
 
 A page's lines aren't paired.  Only lines whose text is unlike their own are looked up, and a line that is looked up meets its
 page's lines in blocks of ``BLOCK`` ordinals by ``BLOCK``: a task holds two blocks, whatever the page's length, and upper bounds
-(:mod:`pagewright.functions.likeness`) leave few pairs to compare exactly.
+(:mod:`pagewright.functions.likeness`) leave few pairs to compare exactly.  How like its own line a changed line is decides what is
+looked up and is asked for again and again, so it is worked out once, and staged.
 """
 
 from __future__ import annotations
@@ -20,6 +21,20 @@ MARGIN, TWIN, LEAST = 0.15, 0.85, 0.35
 _SLACK = 1e-9
 
 
+def _tasks(frame: DataFrame) -> int:
+    return 4 * frame.sparkSession.sparkContext.defaultParallelism
+
+
+def valued(lines: DataFrame, a: str, b: str) -> DataFrame:
+    """Changed lines (page, ord, output, a, b) with the likeness of their columns a and b as ``own``, staged.
+
+    Lines are dealt out to several tasks for each core: by its bytes the work would seem to need only a few."""
+    from ..llm.common import stage  # the subpackage may be absent
+
+    changed = lines.where(~F.col("output").eqNullSafe(F.col("source"))).select("page", "ord", *dict.fromkeys([a, b, "output"]))
+    return stage(changed.repartition(_tasks(lines), "page", "ord", "output").withColumn("own", likeness_of(a, b)), "valued")
+
+
 def best_other(queries: DataFrame, lines: DataFrame, twin: float | None = None) -> DataFrame:
     """(page, ord, score, other): for each query (page, ord, text, floor, own_text) the other line (page, ord, text) of its page
     that is most like it, of equal ones the last; only where the floor is reached.
@@ -47,6 +62,8 @@ def best_other(queries: DataFrame, lines: DataFrame, twin: float | None = None)
 
     keys = ["page", "here", "there"]
     spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])  # both sides come from one frame: columns of their own
+    tasks = _tasks(lines)  # comparing takes long for its bytes: none are joined
+    spread, met = spread.repartition(tasks, *keys), met.repartition(tasks, *keys)
     found = spread.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(run, "page long, ord long, score double, other long")
     best = found.groupBy("page", "ord").agg(F.max(F.struct("score", "other")).alias("best"))
     return best.select("page", "ord", "best.score", "best.other")
@@ -55,8 +72,7 @@ def best_other(queries: DataFrame, lines: DataFrame, twin: float | None = None)
 def misattached(lines: DataFrame, margin: float = MARGIN, twin: float = TWIN) -> DataFrame:
     """(page, ord, own, other, score, wrong) of changed lines (page, ord, source, output, truth) that another line's truth
     fits better than their own by more than the margin; ``wrong`` unless that other truth is their own one's twin."""
-    changed = lines.where(~F.col("output").eqNullSafe(F.col("source"))).withColumn("own", likeness_of("truth", "output"))
-    asked = changed.where(F.col("own") + margin <= 1)
+    asked = valued(lines, "truth", "output").where(F.col("own") + margin <= 1)
     queries = asked.select("page", "ord", F.col("output").alias("text"), (F.col("own") + margin).alias("floor"), F.col("truth").alias("own_text"))
     best = best_other(queries, lines.select("page", "ord", F.col("truth").alias("text"))).where("score is not null")
     truths = lines.select("page", F.col("ord").alias("other"), F.col("truth").alias("other_truth"))
@@ -70,7 +86,7 @@ def margin_veto(lines: DataFrame, least: float = LEAST, margin: float = MARGIN,
     A change is accepted if it is ``least`` like its own source or more, and by more than the margin more like it than like
     any other source of the page; with ``twin``, sources so like its own don't count.  Verdicts: ``accepted``, ``unlike``,
     ``nearer elsewhere``."""
-    changed = lines.where(~F.col("output").eqNullSafe(F.col("source"))).withColumn("own", likeness_of("source", "output"))
+    changed = valued(lines, "source", "output")
     asked = changed.where(F.col("own") >= least).select("page", "ord", F.col("output").alias("text"), (F.col("own") - margin).alias("floor"), F.col("source").alias("own_text"))
     best = best_other(asked, lines.select("page", "ord", F.col("source").alias("text")), twin)
     verdict: Column = F.when(F.col("own") < least, "unlike").when(F.col("own") > F.coalesce(F.col("score"), F.lit(-1.0)) + margin, "accepted").otherwise("nearer elsewhere")

@@ -228,3 +228,14 @@ def test_recourse(spark):
     readings = spark.createDataFrame([(1, 0, "abcdefxyzq"), (1, 1, "abcdezzzzz"), (1, 3, "abcdefghij"), (1, 4, ""), (1, 5, None)], "page long, ord long, read string")
     got = {r["ord"]: (r["recourse"], r["support"]) for r in guards.recourse(vetoed, readings).collect()}
     assert got == {0: ("given back", 0.6), 1: ("refused", 0.5), 2: ("no reading", None), 3: (None, None), 4: ("refused", 0.0), 5: ("no reading", None)}
+
+
+def test_of_equally_like_texts_the_last_is_best_whatever_the_order():
+    text = "".join(chr(97 + k % 26) for k in range(49))  # 1 / 49 * 49 isn't 1 in floating point
+    for ids in ([0, 1, 2], [2, 0, 1], [1, 0, 2]):
+        assert L.best_of(text, L.Texts([text] * 3), ids, 9, 0.5) == (1.0, 2)
+
+
+def test_likeness_to_the_own_line_is_worked_out_once(page_lines):
+    for found, most in ((attachment.misattached(page_lines), 1), (attachment.margin_veto(page_lines), 0)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") <= most
