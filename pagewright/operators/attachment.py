@@ -77,7 +77,7 @@ def misattached(lines: DataFrame, margin: float = MARGIN, twin: float = TWIN) ->
     best = best_other(queries, lines.select("page", "ord", F.col("truth").alias("text"))).where("score is not null")
     truths = lines.select("page", F.col("ord").alias("other"), F.col("truth").alias("other_truth"))
     pairs = asked.select("page", "ord", "own", "truth").join(best, ["page", "ord"]).where(F.col("score") > F.col("own") + margin).join(truths, ["page", "other"])
-    return pairs.select("page", "ord", "own", "other", "score", (likeness_of("truth", "other_truth") < twin).alias("wrong"))
+    return pairs.repartition(_tasks(lines), "page", "ord").select("page", "ord", "own", "other", "score", (likeness_of("truth", "other_truth") < twin).alias("wrong"))
 
 
 def margin_veto(lines: DataFrame, least: float = LEAST, margin: float = MARGIN, twin: float | None = TWIN) -> DataFrame:
