@@ -334,3 +334,12 @@ def test_word_spans_of_odd_boxes(spark):
     frame = spark.createDataFrame([(["ab", "c"], [[0, 5], [9, 10], [1, 2]]), (["ab", "c"], [[0, 5]]), (["", "c"], [[0, 5], [6, 7]]), (None, [[0, 5]]), (["a"], None), ([], []), (["ab", "c", "d"], [[0, None], [3, 4], None])], "w array<string>, b array<array<bigint>>")
     got = [None if r["s"] is None else [tuple(x) for x in r["s"]] for r in frame.select(C.word_spans(F.col("w"), F.col("b")).alias("s")).collect()]
     assert got == [[(0, 2), (2, 5), (5, 9), (9, 10)], None, None, None, None, [], [(None, None), (None, None), (3, 4), (4, None), (None, None)]]
+
+
+def test_read_back_xml_moves_each_text_once(spark, tmp_path):
+    from pagewright.plans import queries as plans
+
+    spark.createDataFrame([(k, "some words\nof lines", "en") for k in range(5)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (plans.alto_lines, plans.xml_texts):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Repartition") + plan.count("Exchange") == 1 and not any(x in plan for x in ("Sort", "Aggregate", "Join"))
