@@ -237,3 +237,44 @@ def test_checksums_of_many_documents_are_combined_at_once():
     crcs, n = np.array([zlib.crc32(b) for own in bodies for b in own]), np.array([n for own in sizes for n in own])
     assert token_store.combine_each(crcs, n, at).tolist() == [zlib.crc32(b"".join(own)) for own in bodies]
     assert token_store.combine_each(crcs[:1], np.array([9000]), np.array([0, 1, 1])).tolist() == [int(crcs[0]), 0]
+
+
+def test_words_are_encoded_once_whatever_their_case_gap_or_mark():
+    """op5_token_store: where a vocabulary lower-cases and drops white space, neither makes a new stretch of a word; nor do marks."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from pagewright.llm.common import flat
+    from pagewright.llm.segments import LibraryIds
+
+    for name, most in (("word_bpe_49k.json", 5), ("byte_bpe_50k.json", 8)):
+        library, seen = LibraryIds(public_tokenizers.path(name)), []
+        learn = library.learn
+        library.learn = lambda stretches: seen.extend(stretches) or learn(stretches)  # noqa: B023
+        texts = ["Horse horse\nhorse horse$$$ horse%", "HORSE%", " horse$$$", "horse"]
+        for _ in range(2):
+            _, ids, at = next(library.batches(*flat(pa.array(texts))))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(seen) <= most and len(seen) == len(set(seen))
+
+
+def test_folded_texts_keep_the_librarys_ids(monkeypatch):
+    """Letters that only one case of composes with a mark, contractions and marks next to letters, with a cache that overflows."""
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from pagewright.llm import segments
+    from pagewright.llm.common import flat
+
+    monkeypatch.setattr(segments, "TABLE", 8)
+    monkeypatch.setattr(segments, "CACHE_MOST", 4)
+    monkeypatch.setattr(segments, "slices", lambda offsets: ((i, min(i + 7, len(offsets) - 1)) for i in range(0, len(offsets) - 1, 7)))
+    r = random.Random(8)
+    parts = ["H", "h", "J", "T", "W", "I", "K", "̱", "̌", "̈", "̊", "̇", "̸", "K", "É", "é", "×", "'S", "'ll", "'", "=", "<", "$", "7", "_", " ", "  ", "\n", "\r", "longerwordthansixteenletters"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(800)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = segments.LibraryIds(public_tokenizers.path(name))
+        got = [ids[a:b].tolist() for _, ids, at in library.batches(*flat(pa.array(texts))) for a, b in zip(at, at[1:])]
+        assert got == [library.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
