@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import BOXES, char_edges, fold, matched, shared_out, token_extents, whole_pixels
+from .alignment import coded, fold_codes, many_blocks, ragged
+from .kernels import BOXES, LEAST_WEIGHT, fold, shared_out
 
 #: White space except the three no-break spaces, which belong to words.
 SPACE = "^[\t-\r \u0085\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]+$"
@@ -19,6 +20,7 @@ SPACE = "^[\t-\r \u0085\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]
 SPAN = T.StructType([T.StructField("x0", T.LongType()), T.StructField("x1", T.LongType())])
 CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))])
 ALIGNED = T.StructType([T.StructField("support", T.DoubleType()), T.StructField("arms", T.ArrayType(BOXES))])
+_MAP = pa.list_(pa.struct([("key", pa.string()), ("value", pa.float64())]))
 _ALL = pa.list_(pa.struct([("text", pa.string()), ("hpos", pa.int64()), ("width", pa.int64())]))
 
 
@@ -318,12 +320,6 @@ def word_spans_of(words: pa.Array, boxes: pa.Array) -> pa.Array:
 WORDS_AT_ONCE = 1 << 16
 
 
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places ``start, start + 1, ...`` of stretches of some sizes, one behind the other."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def _list(size: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), values)
 
@@ -410,36 +406,134 @@ def error_counts(keys: tuple[str, ...]):
     return run
 
 
+def spelt(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, places) of texts; null ones are empty."""
+    return coded(pc.fill_null(texts, "").to_pylist())
+
+
+def listed(codes: np.ndarray, rule) -> np.ndarray:
+    """Which code points a rule for one character holds for, asked once for each distinct one."""
+    return np.isin(codes, [c for c in np.unique(codes).tolist() if rule(chr(c))])
+
+
+class Aligned:
+    """Readings of a batch of rows, aligned with the text of the rows' tokens, all rows together: ``support`` (what the reading accounts
+    for), ``why`` (a reason for which there can be no boxes, or None), and boxes for the rows without one.
+
+    ``unread`` are rows that have no reading."""
+
+    def __init__(self, codes: np.ndarray, code_at: np.ndarray, unread: np.ndarray, edges: np.ndarray, span_at: np.ndarray, tokens: pa.Array, hpos: np.ndarray, width: np.ndarray):
+        self.token_at, self.hpos, self.width = places(tokens), hpos, width
+        self.n = np.diff(self.token_at)
+        self.letters, self.letter_at = spelt(tokens.flatten())
+        self.target_at = self.letter_at[self.token_at]
+        size = np.diff(self.target_at)
+        row, i, j, n = many_blocks(fold_codes(codes), code_at, fold_codes(self.letters), self.target_at)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.support = np.where(size > 0, np.bincount(row, n, len(size)) / size, 0.0)
+        differs, narrow = np.diff(code_at) != np.diff(span_at), width < self.n
+        self.why = np.where(unread, "missing line", np.where(differs, "text and spans differ", np.where(narrow, "impossible request", None)))
+        held = np.equal(self.why[row], None)
+        self.known = np.zeros(len(self.letters), bool)
+        self.lo, self.hi = np.zeros(len(self.letters)), np.zeros(len(self.letters))
+        to, from_ = ragged((self.target_at[row] + j)[held], n[held]), ragged((span_at[row] + i)[held], n[held])
+        self.known[to], self.lo[to], self.hi[to] = True, edges[from_, 0], edges[from_, 1]
+
+    def edges(self, weight: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:func:`pagewright.functions.kernels.char_edges` of rows, from the weights of their characters."""
+        size = np.diff(self.target_at)[rows]
+        at, place = np.append(0, np.cumsum(size)), ragged(self.target_at[:-1][rows], size)
+        known, lo, hi = self.known[place], self.lo[place], self.hi[place]
+        left, right = np.repeat(self.hpos[rows].astype(float), size), np.repeat((self.hpos + self.width)[rows].astype(float), size)
+        if known.all():
+            return lo, hi
+        begin, end, here = np.repeat(at[:-1], size), np.repeat(at[1:], size), np.arange(len(place))
+        upto = running(weight, at)
+        so_far = np.where(here == begin, 0.0, np.append(0.0, upto[:-1]))
+        before_ = np.maximum.accumulate(np.where(known, here, -1))
+        after = np.minimum.accumulate(np.where(known, here, len(here))[::-1])[::-1]
+        has, more = before_ >= begin, after < end
+        from_x = np.where(has, hi[before_], left)
+        to_x = np.maximum(from_x, np.where(more, lo[np.minimum(after, len(here) - 1)], right))
+        base = np.where(has, upto[before_], 0.0)
+        step = (to_x - from_x) / np.where(known, 1.0, np.where(more, so_far[np.minimum(after, len(here) - 1)], upto[end - 1]) - base)
+        return np.where(known, lo, from_x + (so_far - base) * step), np.where(known, hi, from_x + (upto - base) * step)
+
+    def boxes(self, rows: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the tokens of rows, left edges, widths) in whole pixels, by weights of the rows' characters (none: all alike)."""
+        n = self.n[rows]
+        place, at = ragged(self.token_at[:-1][rows], n), np.append(0, np.cumsum(n))
+        size = np.diff(self.letter_at)[place]
+        letters = ragged(self.letter_at[:-1][place], size)
+        lo, hi = self.edges(np.ones(len(letters)) if weight is None else weight, rows)
+        # Words cover their characters, blanks what lies between words; of neighbouring blanks the first takes all the room.
+        a, b, some = np.full(len(place), np.inf), np.full(len(place), -np.inf), size > 0
+        starts = (np.cumsum(size) - size)[some]
+        if len(starts):
+            a[some], b[some] = np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
+        word = totals((~listed(self.letters, str.isspace))[letters].astype(np.int64), np.append(0, np.cumsum(size))) > 0
+        begin, end, here = np.repeat(at[:-1], n), np.repeat(at[1:], n), np.arange(len(place))
+        left, right = np.repeat(self.hpos[rows], n), np.repeat((self.hpos + self.width)[rows], n)
+        last = np.maximum.accumulate(np.where(word, here, -1))
+        following = np.minimum.accumulate(np.where(word, here, len(here))[::-1])[::-1]
+        start = np.where(last >= begin, b[last] if len(b) else b, left)
+        stop = np.maximum(start, np.where(following < end, a[np.minimum(following, len(here) - 1)] if len(a) else a, right))
+        first = here == np.maximum(last, begin - 1) + 1
+        lo, hi = np.where(word, a, np.where(first, start, stop)), np.where(word, b, stop)
+        # Whole pixels, as whole_pixels of the kernels gives them; rows lie apart, so one running maximum serves all.
+        nth, behind = here - begin, end - here
+        edges = np.stack([np.minimum(np.rint(lo), right - behind) - nth, np.minimum(np.rint(hi), right - behind + 1) - nth - 1], 1)
+        edges = (np.maximum(edges, left[:, None]) - left[:, None]).astype(np.int64)
+        apart = (np.repeat(np.arange(len(n)), n) * (int(self.width.max(initial=0)) + 1))[:, None]
+        edges = np.maximum.accumulate((edges + apart).ravel()).reshape(-1, 2) - apart + left[:, None]
+        x, end_ = edges[:, 0] + nth, edges[:, 1] + nth + 1
+        return place, x, end_ - x
+
+    def weights(self, rows: np.ndarray, glyphs: pa.Array) -> np.ndarray:
+        """The weights of the rows' characters by a map of letter widths for each row; letters that it lacks, and all without a map, weigh 1."""
+        if pa.types.is_map(glyphs.type):
+            glyphs = glyphs.cast(_MAP)
+        at = places(glyphs)
+        keys, values = (glyphs.flatten().field(k) for k in (0, 1))
+        one = pc.equal(pc.utf8_length(keys), 1).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(rows)), np.diff(at))[one]
+        held = owner * (1 << 21) + spelt(keys.filter(pa.array(one)))[0]
+        order = np.argsort(held, kind="stable")
+        held, own = held[order], numbers(values, float)[one][order]
+        size = np.diff(self.target_at)[rows]
+        asked = np.repeat(np.arange(len(rows)), size) * (1 << 21) + fold_codes(self.letters)[ragged(self.target_at[:-1][rows], size)]
+        place = np.minimum(np.searchsorted(held, asked), max(len(held) - 1, 0))
+        return np.where(held[place] == asked, np.maximum(LEAST_WEIGHT, own[place]), 1.0) if len(held) else np.ones(len(asked))
+
+
+def aligned_rows(read: pa.Array, spans: pa.Array, tokens: pa.Array, hpos: np.ndarray, width: np.ndarray) -> Aligned:
+    """:class:`Aligned` of readings that are texts with spans (x0, x1)."""
+    flat = spans.flatten()
+    edges = np.stack([numbers(flat.field("x0"), float), numbers(flat.field("x1"), float)], 1)
+    return Aligned(*spelt(read), pc.is_null(read).to_numpy(zero_copy_only=False), edges, places(spans), tokens, hpos, width)
+
+
 @F.arrow_udf(ALIGNED)
 def aligned_of(read: pa.Array, spans: pa.Array, tokens: pa.Array, hpos: pa.Array, width: pa.Array, arms: pa.Array) -> pa.Array:
     """What a reading accounts for of the tokens' text, and for each of ``arms`` (letter widths; null: none) the tokens' boxes from
     its spans or a reason.  A text is aligned once, whatever is asked of it; null readings give null."""
-    at, token_at, arm_at = places(spans), places(tokens), places(arms)
-    flat, texts = spans.flatten(), tokens.flatten()
-    edges = np.stack([numbers(flat.field("x0"), float), numbers(flat.field("x1"), float)], 1)
-    words, many = texts.to_pylist(), np.diff(arm_at)
-    glyphs = [None if g is None else dict(g) for g in arms.flatten().to_pylist()]
-    support, errors, taken, xs, ws = [], [], [], [], []
-    for i, (text, x, w) in enumerate(zip(read.to_pylist(), numbers(hpos).tolist(), numbers(width).tolist())):
-        own, target = words[token_at[i] : token_at[i + 1]], "".join(words[token_at[i] : token_at[i + 1]])
-        found = matched(text, target) if text is not None else []
-        support.append(None if text is None else sum(n for _, _, n in found) / len(target) if target else 0.0)
-        why = "missing line" if text is None else "text and spans differ" if len(text) != at[i + 1] - at[i] else "impossible request" if w < len(own) else None
-        for own_glyphs in glyphs[arm_at[i] : arm_at[i + 1]]:
-            errors.append(why)
-            taken.append(len(own) if why is None else 0)
-            if why is None and own:
-                left, right = float(x), float(x + w)
-                lo, hi = char_edges(text, edges[at[i] : at[i + 1]], target, left, right, own_glyphs, found)
-                a, b = whole_pixels(*token_extents(own, lo, hi, left, right), x, w)
-                xs.append(a)
-                ws.append(b)
-    taken = np.array(taken, np.int64)
-    place = ragged(np.repeat(token_at[:-1], many)[: len(taken)], taken)
-    boxes = pa.StructArray.from_arrays([texts.cast(pa.string()).take(pa.array(place)), *[pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (xs, ws)]], ["text", "hpos", "width"])
-    bounds = pa.array(np.append(0, np.cumsum(taken)).astype(np.int32), mask=np.array([e is not None for e in errors] + [False], bool))
-    each = pa.StructArray.from_arrays([pa.ListArray.from_arrays(bounds, boxes), pa.array(errors, pa.string())], ["boxes", "error"])
-    return pa.StructArray.from_arrays([pa.array(support, pa.float64()), _list(many, each)], ["support", "arms"])
+    got = aligned_rows(read, spans, tokens, numbers(hpos), numbers(width))
+    arm_at, glyphs, texts = places(arms), arms.flatten(), tokens.flatten()
+    many = np.diff(arm_at)
+    row = np.repeat(np.arange(len(many)), many)
+    good = np.equal(got.why[row], None)
+    plain = pc.is_null(glyphs).to_numpy(zero_copy_only=False)
+    taken = np.where(good, got.n[row], 0)
+    bounds = np.append(0, np.cumsum(taken))
+    place, x, w = (np.zeros(int(bounds[-1]), np.int64) for _ in range(3))
+    for which in (good & plain, good & ~plain):
+        some = np.flatnonzero(which)
+        if len(some):
+            to = ragged(bounds[:-1][some], taken[some])
+            place[to], x[to], w[to] = got.boxes(row[some], None if plain[some[0]] else got.weights(row[some], glyphs.take(pa.array(some))))
+    boxes = pa.StructArray.from_arrays([texts.cast(pa.string()).take(pa.array(place)), pa.array(x), pa.array(w)], ["text", "hpos", "width"])
+    each = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32), mask=np.append(~good, False)), boxes), pa.array(got.why[row], pa.string())], ["boxes", "error"])
+    return pa.StructArray.from_arrays([pa.array(got.support, mask=pc.is_null(read).to_numpy(zero_copy_only=False)), _list(many, each)], ["support", "arms"])
 
 
 def advance_counts(by: tuple[str, ...]):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import places
+from .alignment import stretches_of
+from .arrays import places, ragged
 from .kernels import opcodes
 
+#: Words of pages that are aligned at once; a longer page alone, whole.
+PAGES_AT_ONCE = 1 << 14
+
 #: The characters that break a word at a line end.
 HYPHENS = "-¬‐‑­"
 #: A word with the line it begins on; for a joined one also the line of its tail (else -1), the length of its head, and the
@@ -46,13 +48,15 @@ def linearised(lines: list[str], hyphened: list[bool]) -> list[tuple]:
     return out
 
 
-def edits(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
-    """Stretches (from, to in a; from, to in b) by which two lists of words are aligned; a word counts as one letter."""
+def edits(pages: list[tuple[list[str], list[str]]]):
+    """For each pair of lists of words the stretches (from, to in the first; from, to in the second) by which they are aligned; a word
+    counts as one letter."""
     number: dict[str, int] = {}
-    one, two = ([number.setdefault(w, len(number)) for w in words] for words in (a, b))
-    if len(number) < 0x110000:
-        return opcodes("".join(map(chr, one)), "".join(map(chr, two)))
-    return [code[1:] for code in SequenceMatcher(None, one, two, autojunk=False).get_opcodes()]  # more words than letters
+    sides = []
+    for k in (0, 1):
+        codes = np.array([number.setdefault(w, len(number)) for page in pages for w in page[k]], np.int64)
+        sides += [codes, np.append(0, np.cumsum([len(page[k]) for page in pages])).astype(np.int64)]
+    return stretches_of(*sides)
 
 
 def resplit(word: str, head: str, tail: str) -> int:
@@ -64,8 +68,8 @@ def resplit(word: str, head: str, tail: str) -> int:
     return min(len(head), len(word))
 
 
-def put_back(corrected: list[str], owners: list[tuple], n_lines: int) -> list[str]:
-    """The text of every line after its words were corrected.
+def put_back(corrected: list[str], owners: list[tuple], n_lines: int, stretches: np.ndarray | None = None) -> list[str]:
+    """The text of every line after its words were corrected; ``stretches`` are those of :func:`edits`, if they are known.
 
     Each corrected word goes where the source word at its place in the alignment is from; words beyond a stretch's source
     words go with its last one, words inserted where nothing was with the one behind (at the end: before).  Without any
@@ -74,8 +78,11 @@ def put_back(corrected: list[str], owners: list[tuple], n_lines: int) -> list[st
     if not owners:
         return [""] * n_lines
     place = np.zeros(len(corrected), np.int64)
-    for i, i_end, j, j_end in edits([o[0] for o in owners], corrected):
-        place[j:j_end] = np.minimum(i + np.arange(j_end - j), max(i, i_end - 1))
+    if stretches is None:
+        (stretches,) = edits([([o[0] for o in owners], corrected)])
+    i, i_end, j, j_end = stretches.T
+    size = j_end - j
+    place[ragged(j, size)] = np.minimum(ragged(i, size), np.repeat(np.maximum(i, i_end - 1), size))
     for word, k in zip(corrected, np.minimum(place, len(owners) - 1).tolist()):
         whole, line, tail_line, cut, mark = owners[k]
         if tail_line < 0:
@@ -103,8 +110,15 @@ def linearised_of(lines: pa.Array, hyphened: pa.Array) -> pa.Array:
 def put_back_of(corrected: pa.Array, owners: pa.Array, n_lines: pa.Array) -> pa.Array:
     def made():
         at, flat = places(owners), owners.flatten()
-        for i, (words, n) in enumerate(zip(corrected, n_lines)):
-            own = flat.slice(at[i], at[i + 1] - at[i])
-            yield put_back(words.as_py(), list(zip(*(own.field(k).to_pylist() for k in range(own.type.num_fields)))), n.as_py())
+        lo, n = 0, len(corrected)
+        while lo < n:  # some pages are aligned together
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PAGES_AT_ONCE, "right")) - 1)
+            whole = flat.slice(at[lo], at[hi] - at[lo]).field("word").to_pylist()
+            words = corrected.slice(lo, hi - lo).to_pylist()
+            aligned = edits([(whole[at[k] - at[lo] : at[k + 1] - at[lo]], own) for k, own in zip(range(lo, hi), words)])
+            for k, own, stretches in zip(range(lo, hi), words, aligned):
+                page = flat.slice(at[k], at[k + 1] - at[k])
+                yield put_back(own, list(zip(*(page.field(c).to_pylist() for c in range(page.type.num_fields)))), n_lines[k].as_py(), stretches)
+            lo = hi
 
     return _pages(made(), pa.list_(pa.string()))
