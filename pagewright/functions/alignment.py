@@ -36,12 +36,12 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fold_codes(codes: np.ndarray) -> np.ndarray:
     """:func:`pagewright.functions.kernels.fold` of code points, worked out once for each distinct one."""
-    own, number = _numbered(codes)
+    own, number = numbered(codes)
     table = np.array([ord(fold_char(chr(c))) for c in own.tolist()], np.uint32)
     return table[number] if len(own) else codes
 
 
-def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct code points in order, the number of each code point among them)."""
     seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
     seen[codes] = True
@@ -50,7 +50,7 @@ def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _alone(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """The blocks of one pair by :func:`pagewright.functions.kernels.blocks`, however many pairs of equal stretches it has."""
-    own, number = _numbered(np.concatenate([a, b]))
+    own, number = numbered(np.concatenate([a, b]))
     if len(own) >= 0x110000:  # more of them than letters
         return [tuple(m) for m in SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks() if m.size]
     text = number.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
@@ -157,7 +157,7 @@ def _found(k: int, stretches: _Stretches, a: np.ndarray, b: np.ndarray, ranges:
 def _aligned(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, ...]:
     pairs = np.arange(len(a_at) - 1)
     # A place between neighbouring texts, so that no run goes from one to the next.
-    _, number = _numbered(np.concatenate([a, b]))
+    _, number = numbered(np.concatenate([a, b]))
     rows, starts = [], []
     for values, at in ((number[: len(a)] + 1, a_at), (number[len(a) :] + 1, b_at)):
         row = np.zeros(len(values) + len(pairs), np.int64)

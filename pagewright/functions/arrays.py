@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .alignment import coded, fold_codes, many_blocks, ragged
+from .alignment import fold_codes, many_blocks, numbered, ragged
 from .kernels import BOXES, LEAST_WEIGHT, fold, shared_out
 
 #: White space except the three no-break spaces, which belong to words.
@@ -144,7 +144,7 @@ def cut_of(words: pa.Array) -> pa.Array:
     # Every word but a line's first has a space before its characters.
     size = length + ~first
     start = np.cumsum(size) - size
-    codes = np.frombuffer("".join(pc.fill_null(text, "").to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    codes = spelt(text)[0].astype(np.int64)
     wide = 4 + codes % 13
     chars = np.append(0, np.cumsum(length))
     left = np.repeat(hpos, length) + before(wide, chars)
@@ -408,12 +408,17 @@ def error_counts(keys: tuple[str, ...]):
 
 def spelt(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(code points, places) of texts; null ones are empty."""
-    return coded(pc.fill_null(texts, "").to_pylist())
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, at, raw = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]].tobytes() if raw is not None else b""
+    return np.frombuffer(data.decode().encode("utf-32-le"), np.uint32), np.append(0, np.cumsum(numbers(pc.utf8_length(texts))))
 
 
 def listed(codes: np.ndarray, rule) -> np.ndarray:
     """Which code points a rule for one character holds for, asked once for each distinct one."""
-    return np.isin(codes, [c for c in np.unique(codes).tolist() if rule(chr(c))])
+    own, number = numbered(codes)
+    return np.array([rule(chr(c)) for c in own.tolist()], bool)[number] if len(own) else np.zeros(0, bool)
 
 
 class Aligned:

@@ -13,22 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.batches import BATCH_BYTES, small_batches  # noqa: F401
+
 #: Bytes of text that a kernel handles at once; a longer document is handled alone, whole.
 SLICE_BYTES = 1 << 18
 
 
-#: Bytes of an Arrow batch between Spark and a Python worker: with both sides' copies, a task holds a few times as much.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by bytes, not only by rows, unless it has a closer bound."""
-    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(_BATCH) or "")
-    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
-        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

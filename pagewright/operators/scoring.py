@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import error_counts
 from ..functions.columns import interval_distance
-
+from ..functions.requests import COUNTS
 
 
 def boundary_errors(boxes: Column, gaps: Column) -> Column:
@@ -33,7 +33,12 @@ def report(cases: DataFrame, *by: str, upper: bool = False) -> DataFrame:
     keys = list(by)
     rows = cases.select(*keys, F.col("unit").cast("double").alias("unit"), F.col("errors").cast("array<double>").alias("errors"))
     named = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
-    each = rows.mapInArrow(error_counts(tuple(keys)), named + "e double, cases long, failures long, c long, sized long, chars double, within long")
+    return reported(rows.mapInArrow(error_counts(tuple(keys)), named + COUNTS), *keys, upper=upper)
+
+
+def reported(each: DataFrame, *by: str, upper: bool = False) -> DataFrame:
+    """:func:`report` from counts of errors (by, and the columns of ``COUNTS``)."""
+    keys = list(by)
     counts = each.groupBy(*keys, "e").agg(*[F.sum(c).alias(c) for c in ("cases", "failures", "c", "sized", "chars", "within")])
     group = Window.partitionBy(*keys)
     placed = counts.withColumn("upto", F.sum("c").over(group.orderBy(F.asc_nulls_first("e")))).withColumn("total", F.sum("c").over(group))
