@@ -56,6 +56,27 @@ def at_places(each: DataFrame, by: list[str], value: str, **places) -> DataFrame
     return placed.groupBy(*by).agg(*shares, *[F.min(F.when(F.col("upto") > place(F.col("total")), v)).alias(name) for name, place in places.items()])
 
 
+STRETCH = "corpus string, part long, place long, n long, within double, mean double"
+
+
+def stretches(parts: DataFrame, place) -> DataFrame:
+    """(corpus, part, place, n, within, mean) from counts of narrow stretches of errors (corpus, part, n, within, total): the stretch that
+    has a corpus's order statistic, and its place there; ``place`` turns the corpus's count into the statistic's place from 0."""
+    counts = parts.groupBy("corpus", "part").agg(*[F.sum(c).alias(c) for c in ("n", "within", "total")])
+    group = Window.partitionBy("corpus")
+    whole = [F.sum(c).over(group).alias(f"_{c}") for c in ("n", "within", "total")]
+    rows = counts.select("corpus", "part", F.col("n").alias("own"), F.sum("n").over(group.orderBy("part")).alias("upto"), *whole).withColumn("place", place(F.col("_n")) - F.col("upto") + F.col("own"))
+    return rows.where("place >= 0 and place < own").select("corpus", "part", "place", F.col("_n").alias("n"), (F.col("_within") / F.col("_n")).alias("within"), (F.col("_total") / F.col("_n")).alias("mean"))
+
+
+def picked(each: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(corpus, n, within, mean, p90) from counts of the errors (corpus, e, c) of :func:`stretches`."""
+    counts = each.groupBy("corpus", "e").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("corpus").orderBy("e")))
+    held = counts.withColumnRenamed("corpus", "_corpus")
+    met = wanted.join(held, F.col("corpus").eqNullSafe(F.col("_corpus"))).where("upto > place")
+    return met.groupBy("corpus", "n", "within", "mean").agg(F.min("e").alias("p90"))
+
+
 def summary(each: DataFrame, by: list[str], value: str = "e") -> DataFrame:
     """n, the share within half a character, the mean and the value at 0.9 * (n - 1), cut to a whole place."""
     return at_places(each, by, value, p90=lambda n: F.floor(0.9 * (n - 1)))
