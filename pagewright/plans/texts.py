@@ -19,8 +19,8 @@ def misattached_lines(s: SparkSession, d: str) -> DataFrame:
 def margin_veto(s: SparkSession, d: str) -> DataFrame:
     """What the veto by margin makes of every corpus's changed lines, strictly and with twins exempt."""
     lines = derived.returned(s, d)
-    corpora = lines.select("page", "corpus").distinct()
-    one = lambda twin, rule: attachment.margin_veto(lines, twin=twin).join(corpora, "page").groupBy("corpus", "verdict").agg(F.count("*").alias("lines")).withColumn("rule", F.lit(rule))
+    corpora, changed = lines.select("page", "corpus").distinct(), attachment.valued(lines, "source", "output")  # for both rules
+    one = lambda twin, rule: attachment.margin_veto(lines, twin=twin, changed=changed).join(corpora, "page").groupBy("corpus", "verdict").agg(F.count("*").alias("lines")).withColumn("rule", F.lit(rule))
     return one(None, "strict").unionByName(one(attachment.TWIN, "twins exempt"))
 
 

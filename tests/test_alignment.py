@@ -84,3 +84,22 @@ def test_readings_of_many_rows():
             want, why = kernels.transfer(read, [(s["x0"], s["x1"]) for s in spans], tokens, hpos, width, glyphs)
             assert arm["error"] == why and (want is None) == (arm["boxes"] is None)
             assert want is None or [(b["text"], b["hpos"], b["width"]) for b in arm["boxes"]] == want
+
+
+@pytest.mark.parametrize("twin", [None, 0.7])
+def test_best_of_each(twin, monkeypatch):
+    """Of every text the best other one, as one text after the other finds it."""
+    monkeypatch.setattr(likeness, "STATES", 40)
+    rng = random.Random(9)
+    bodies = [a[:200] for a, _ in some_pairs(rng, 60, 260)] + ["", "ab" * 70, "ab" * 70, "abc " * 50]
+    among, ids = likeness.Texts(bodies), list(range(100, 100 + len(bodies)))
+    texts = [rng.choice([b, b[:40][::-1] + b, b.upper()]) for b in bodies]
+    floors, own_texts = [rng.choice([0.05, 0.4, 0.8]) for _ in texts], [rng.choice(bodies) for _ in texts]
+    spare = lambda own: (lambda i: likeness.likeness(own, bodies[i]) >= twin) if twin else None
+    want = [likeness.best_of(t, among, ids, k, f, spare(own)) for t, k, f, own in zip(texts, ids, floors, own_texts)]
+    assert likeness.best_of_each(texts, among, bodies, ids, ids, floors, own_texts, twin) == want
+    numbers = [among.numbers(t.casefold()) for t in texts if t]
+    which, others = (x.ravel() for x in np.meshgrid(np.arange(len(numbers)), np.arange(len(bodies))))
+    got = likeness.common_subsequences(numbers, which, among, others)
+    for k in rng.sample(range(len(which)), 300):
+        assert got[k] == likeness.common_subsequence(numbers[which[k]], among.matrix(others[k : k + 1]), len(among.letters))[0]
