@@ -103,3 +103,11 @@ def test_best_of_each(twin, monkeypatch):
     got = likeness.common_subsequences(numbers, which, among, others)
     for k in rng.sample(range(len(which)), 300):
         assert got[k] == likeness.common_subsequence(numbers[which[k]], among.matrix(others[k : k + 1]), len(among.letters))[0]
+
+
+def test_distances(monkeypatch):
+    monkeypatch.setattr(likeness, "STATES", 60)
+    rng = random.Random(11)
+    pairs = [("", ""), ("", "abc"), ("a" * 70, "b" * 65), *some_pairs(rng, 150, 90), *some_pairs(rng, 20, 300)]
+    pairs += [(a, a[:20] + "x" + a[20:].replace("a", "b")) for a, _ in pairs]
+    assert likeness.distances([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [kernels.distance(a, b) for a, b in pairs]
