@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.alignment import coded, fold_codes
 from ..functions.arrays import advance_counts
 from ..functions.columns import is_space
-from ..functions.kernels import fold, folded
+from ..functions.kernels import folded
 from .resolvers import resolve_weighted
 
 MODEL = "corpus string, file long, parity int, glyphs map<string,double>, constant double, space double, unit double"
@@ -39,30 +38,31 @@ def ridge(counts: np.ndarray, widths: np.ndarray, unit: float) -> np.ndarray:
 
 def fit(texts: list[str], widths: np.ndarray, blanks: np.ndarray) -> tuple[dict[str, float], float, float, float]:
     """(glyph widths, constant, space, unit): fitted twice, the second time without boxes that don't add up."""
-    rows = [Counter(fold(t)) for t in texts]
-    keep = [i for i, r in enumerate(rows) if r]
-    rows, widths = [rows[i] for i in keep], widths[keep]
-    if not rows:
-        return {}, 0.0, 0.6, 1.0
-    glyphs = sorted({c for r in rows for c in r})
-    place = {c: i for i, c in enumerate(glyphs)}
-    counts = np.zeros((len(rows), len(glyphs) + 1))
-    for i, r in enumerate(rows):
-        for c, k in r.items():
-            counts[i, place[c]] = k
+    codes, at = coded(texts)
+    letters, own, *rest = fit_letters(fold_codes(codes), np.diff(at), widths, blanks)
+    return dict(zip(map(chr, letters.tolist()), own.tolist())), *rest
+
+
+def fit_letters(codes: np.ndarray, size: np.ndarray, widths: np.ndarray, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """(letters, their widths, constant, space, unit) from the folded code points of texts of some sizes; see :func:`fit`."""
+    widths, size = widths[size > 0], size[size > 0]
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0), 0.0, 0.6, 1.0
+    letters, place = np.unique(codes, return_inverse=True)
+    counts = np.bincount(np.repeat(np.arange(len(size)), size) * (len(letters) + 1) + place, minlength=len(size) * (len(letters) + 1)).reshape(len(size), -1).astype(float)
     counts[:, -1] = 1
     unit = float(widths.sum() / counts.sum())
     beta = ridge(counts, widths, unit)
     off = widths - counts @ beta
     spread = np.abs(off - np.median(off))
     good = spread <= max(3 * 1.4826 * float(np.median(spread)), 1.0)
-    if not good.all() and good.sum() >= len(glyphs) + 1:
+    if not good.all() and good.sum() >= len(letters) + 1:
         seen = np.append((counts[good, :-1] > 0).any(0), True)
         again = ridge(counts[good][:, seen], widths[good], unit)
         beta[seen] = again
     floor = 0.05 * unit
     space = max(floor, float(np.median(blanks))) if len(blanks) else 0.6 * unit
-    return {c: max(floor, float(beta[place[c]])) for c in glyphs}, max(0.0, float(beta[-1])), space, unit
+    return letters.astype(np.int64), np.maximum(floor, beta[:-1]), max(0.0, float(beta[-1])), space, unit
 
 
 def cross_fit(lines: DataFrame) -> DataFrame:
