@@ -40,7 +40,7 @@ def running(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     size = np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
     for k in np.unique(size[n > 0]):
         rows = np.flatnonzero((size == k) & (n > 0))
-        for some in np.array_split(rows, -(-(len(rows) << int(k)) // (1 << 21))):
+        for some in np.array_split(rows, min(len(rows), -(-(len(rows) << int(k)) // (1 << 21)))):
             column = np.arange(int(n[some].max()))
             inside = column < n[some][:, None]
             index = (at[some][:, None] + column)[inside]
@@ -191,7 +191,7 @@ def assigned(middles: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndar
     able = (n >= m) & (m > 0) & (tolerance > 0)
     for k in np.unique(size[able]):
         rows = np.flatnonzero(able & (size == k))
-        for some in np.array_split(rows, -(-len(rows) * int(n[rows].max() * m[rows].max()) // CELLS) or 1):
+        for some in np.array_split(rows, min(len(rows), -(-len(rows) * int(n[rows].max() * m[rows].max()) // CELLS))):
             some = some[np.argsort(-m[some], kind="stable")]
             column = np.arange(int(n[some].max()))
             inside = column < n[some][:, None]

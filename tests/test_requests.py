@@ -2,12 +2,15 @@
 
 import json
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions.arrays import cut_of
+from pagewright.functions import arrays
+from pagewright.functions.arrays import cut_of, snapped_of, widened_of
 from pagewright.operators import readings as R
-from pagewright.operators import resolvers, scoring, truth, widths
+from pagewright.operators import campaign, resolvers, scoring, truth, widths
 from pagewright.operators.cases import line_cases
 from pagewright.plans import queries, readings
 from pagewright.sources import derived
@@ -101,10 +104,59 @@ def test_gap_width_arms(spark, tmp_path):
 
 def test_whole_files(monkeypatch):
     """However batches are cut, a file's documents stay together."""
-    import pyarrow as pa
-
     monkeypatch.setattr(derived, "FILES_AT_ONCE", 10)
     table = pa.table({"file": [None, 1, 1, 1, 2, 3, 3, 4], "text": ["abcdef"] * 8})
     for most in (1, 2, 3, 8):
         got = [b.column("file").to_pylist() for b in derived.whole_files(table.to_batches(max_chunksize=most))]
         assert sum(got, []) == table["file"].to_pylist() and all(not set(a) & set(b) for a, b in zip(got, got[1:])) and len(got) > 2
+
+
+def test_ink_snap_report(spark):
+    got = queries.ink_snap_report(spark, DATA)
+    bounded(spark, got)
+    same(got, queries.rounded(scoring.report(scoring.scored(queries._with_gaps(spark, DATA).withColumn("boxes", widened_of("boxes", "some", "box_hpos", "box_width"))), "corpus"), *queries.REPORT))
+
+
+def by_lines(spark, data):
+    """What paired_cuts and paired_gaps give, with lines joined."""
+    pairs, lines = readings.cache_pairs(spark, data, "cuts")[0], derived.lines(spark, data).select(*queries.KEYS, "words")
+    entries = lines.where("line_ord % 6 <> 4").select(F.concat(F.lit("cuts-"), F.col("file").cast("string")).alias("cache"), "line_ord", F.col("words").alias("own"))
+    joined = line_cases(campaign.with_cache(lines, pairs, entries), carried=("pair", "own")).withColumn("cut", F.when(F.col("own").isNotNull(), cut_of("own")))
+    answered = scoring.scored(R.read_boxes(joined.withColumn("read", F.col("cut.text")).withColumn("spans", F.col("cut.spans")).drop("cut", "own")))
+    error = F.when(campaign.usable("pair"), F.col("error")).otherwise(F.col("pair"))
+    cuts = answered.groupBy("corpus", "pair", error.alias("error")).agg(F.count("*").alias("cases"), F.countDistinct("file").alias("files"), F.sum(F.size("errors")).alias("boundaries"))
+    pairs, names = readings.cache_pairs(spark, data, "gaps")
+    entries = line_cases(derived.lines(spark, data)).where("line_ord % 6 <> 4").join(names, "file").select("cache", "line_ord", F.col("gaps").alias("blanks"))
+    cases = campaign.with_cache(resolvers.resolve_proportional(line_cases(derived.lines(spark, data))), pairs, entries).repartition(*queries.KEYS)
+    rows = cases.withColumn("snapped", snapped_of("boxes", F.coalesce("blanks", F.array().cast("array<struct<start:bigint,end:bigint>>")), "box_hpos", "box_width"))
+    return cuts, rows.groupBy("corpus", "pair").agg(F.count("*").alias("cases"), F.count("blanks").alias("with_gaps"), F.count_if(F.col("snapped") != F.col("boxes")).alias("moved"))
+
+
+def test_pairs_join_texts(spark, tmp_path):
+    """Also files that come twice, in one corpus and in two, and texts that are null."""
+    docs = [(k, f"ein wort und {k} noch\neins\nzwei drei\n\nvier fünf\nsechs sieben\nacht neun", "de", "s", 1) for k in range(60)]
+    docs += [(7, "noch ein text", "de", "s", 1), (22, "noch ein text", "en", "s", 1), (61, None, "de", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    cuts, gaps = by_lines(spark, str(tmp_path))
+    for got, want in ((readings.paired_cuts(spark, str(tmp_path)), cuts), (readings.paired_gaps(spark, str(tmp_path)), gaps)):
+        assert "words" not in plan_of(got) and "gaps:" not in plan_of(got)
+        same(got, want)
+
+
+def test_lines_of_another_cache():
+    """A line's entry is the line of its number in the text that its cache was made of."""
+    rows = [("de", 5, "a b\nc d\ne f", "checked", True, None), ("de", 6, "g h\ni\nj k\nl m", "checked", False, "n o p\nq r\n\ns t"), ("de", 7, "u v", "no pair", False, None)]
+    names = ["corpus", "file", "text", "pair", "held", "cached"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "cached" else None) for n, c in zip(names, zip(*rows))], names)
+    got = [(r["file"], r["line_ord"], None if r["own"] is None else " ".join(w["text"] for w in r["own"])) for lines in derived._paired_lines(batch) for r in lines.to_pylist()]
+    assert got == [(5, 0, "a b"), (5, 1, "c d"), (5, 2, "e f"), (6, 0, "n o p"), (6, 2, None), (6, 3, "s t"), (7, 0, None)]
+
+
+def test_a_line_longer_than_the_table_of_blanks(monkeypatch):
+    monkeypatch.setattr(arrays, "CELLS", 20)
+    n = np.arange(9)
+    edges = [[{"start": int(20 * k + 12), "end": int(20 * k + 18)} for k in n]]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    boxes = [[{"text": "word" if k % 2 == 0 else " ", "hpos": 10 * k, "width": 10} for k in range(19)]]
+    got = arrays.snapped_of.func(pa.array(boxes), pa.array(edges, kind), pa.array([0]), pa.array([190])).to_pylist()[0]
+    assert [(b["hpos"], b["hpos"] + b["width"]) for b in got if b["text"] == " "] == [(20 * k + 12, 20 * k + 18) for k in n]
